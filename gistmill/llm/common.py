@@ -35,19 +35,21 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int"), F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0) -> DataFrame:
-    """(doc_id, text, label) of at most `per_class` rows of each class: the first
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label, extra columns) of at most `per_class` rows of each class: the first
     in the order of a hash of the id, none from fold `left_out`.
 
     Null labels and ids are passed over; a doc_id with several labels takes the
-    largest; of repeated documents one row is kept.
+    largest; of repeated documents one row is kept.  The second result counts
+    all labelled ids by class, for undoing the balance of the sample.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     ids = ids.where(fold(F.col("doc_id")) != left_out)
     order = F.xxhash64(F.lit(label), "doc_id")
     picked = [ids.where(F.col("label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
-    return docs.select("doc_id", "text").join(few, "doc_id").dropDuplicates(["doc_id"])
+    totals = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
+    return docs.select("doc_id", "text", *extra).join(few, "doc_id").dropDuplicates(["doc_id"]), totals
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:

@@ -9,6 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from gistmill.llm.common import read
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.quality import scored
+
+    return scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.decontamination import findings
+
+    return findings(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.secrets import scanned
+
+    return scanned(read(spark, sf_dir, "documents")).drop("scores")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.mixing import mixed
+
+    return mixed(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.toxicity import scored
+
+    return scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gistmill.llm.jaccard_join import jaccard_join
 
@@ -20,4 +50,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gistmill.llm import mixing
+
+    return {"op6_mixing": mixing.oracle()}

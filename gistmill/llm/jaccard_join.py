@@ -18,7 +18,9 @@ frequent class, so that class may be bounded and approximate.
 Each index key first offers pairs with its smallest member only (a star), which
 verification settles exactly.  Keys whose members are not in one component then
 offer the pairs across components, cut by size and by an exact lower bound of
-the symmetric difference (parity bitmaps), and those are verified too.  Every
+the symmetric difference (parity bitmaps), and those are verified too.  Before
+whole texts meet, sketches of a bit a shingle rule out all pairs well below the
+limit.  Every
 link is thus either verified or inside one component already.
 
 Defined cases: a null text is empty; a null doc_id gets no links and a null
@@ -80,11 +82,31 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
     return np.unique(np.concatenate(out))
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
     """Bit i: whether an odd number of shingles fall on i; the bits in which two
     sets differ are never more than the shingles in which they differ."""
-    bits = np.bincount((s & np.uint64(64 * _SIG_WORDS - 1)).astype(np.int64), minlength=64 * _SIG_WORDS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    return (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The set's size and its parity bitmap of as many bits, to a power of two."""
+    bits = max(64 * _SIG_WORDS, 1 << max(0, len(s) - 1).bit_length())
+    return len(s).to_bytes(8, "big") + np.packbits(parity(s, bits)).tobytes()
+
+
+def may_link(one: bytes, two: bytes, percent: int) -> bool:
+    """Whether sketches allow a link: sizes, then the least difference.  A longer
+    bitmap is folded to the other's length, which keeps the bound.
+    |A ^ B| = |A| + |B| - 2i and i / (|A| + |B| - i) >= t give |A ^ B| <= (|A| + |B|)(1 - t) / (1 + t)."""
+    n, m = int.from_bytes(one[:8], "big"), int.from_bytes(two[:8], "big")
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(one, np.uint8, offset=8), np.frombuffer(two, np.uint8, offset=8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
 
 
 def _sets_and_counts(k: int):
@@ -133,65 +155,74 @@ def _keys(k: int, percent: int, frequent):
         often = Lookup(frequent.value)
         for batch in batches:
             ids, text = columns(batch, "doc_id", "text")
-            a, b, sig, keys, n = [], [], [], [], []
+            a, b, sig, full, keys, n = [], [], [], [], [], []
             for s in shingle_sets(strings(text), k):
                 d = digest(s)
                 a.append(d[0])
                 b.append(d[1])
                 n.append(len(s))
-                sig.append(parity(s))
+                sig.append(np.packbits(parity(s, 64 * _SIG_WORDS)).tobytes())
+                full.append(sketch(s))
                 keys.append(prefix_keys(s, often.find(s) >= 0, percent).view(np.int64))
             cut = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
-                ["rep", "n", "a", "b", "sig", "keys"],
+                [ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(full, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
+                ["rep", "n", "a", "b", "sig", "sketch", "keys"],
             )
 
     return run
 
 
-def _verify(k: int, percent: int):
-    """Rows come sorted by (x, part, role): the text of x, then those to compare."""
+def links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _compare(read, same):
+    """Rows come sorted by (x, part, role): what x holds, then those to compare
+    with it.  read: a column of payloads to one value each; same: the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, against = None, []
         for batch in batches:
-            x, part, role, y, text = columns(batch, "x", "part", "role", "y", "text")
-            x, part, role, y = (c.to_numpy(zero_copy_only=False) for c in (x, part, role, y))
+            x, part, role, y = (c.to_numpy(zero_copy_only=False) for c in columns(batch, "x", "part", "role", "y"))
             a, b = [], []
-            for i, s in enumerate(shingle_sets(strings(text), k)):
+            for i, value in enumerate(read(batch.column(batch.schema.get_field_index("payload")))):
                 if at != (x[i], part[i]):
                     at, against = (x[i], part[i]), []
                 if role[i] == 0:
-                    against.append(s)
-                    continue
-                for t in against:
-                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                        continue
-                    pos = np.searchsorted(t, s)
-                    both = int((t[np.minimum(pos, len(t) - 1)] == s).sum())
-                    if both and 100 * both >= percent * (len(s) + len(t) - both):
-                        a.append(x[i])
-                        b.append(y[i])
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    against.append(value)
+                elif any(same(value, other) for other in against):
+                    a.append(x[i])
+                    b.append(y[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "y"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose texts link.  The text of x goes once to each part
-    of about 64 partners, that of y once to each pair."""
-    pairs = table(pairs, "pairs")
+def _kept(pairs: DataFrame, payload: DataFrame, read, same, label: str) -> DataFrame:
+    """The pairs (x, y) that pass a test of their payloads (y, payload).  The
+    payload of x goes once to each part of about 64 partners, that of y to each pair."""
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / 64).alias("parts"))
     dealt = pairs.join(parts, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y")
-    texts = docs.select(F.col("doc_id").alias("y"), "text")
-    right = dealt.join(texts, "y").select("x", "part", F.lit(1).alias("role"), "y", "text")
+    right = dealt.join(payload, "y").select("x", "part", F.lit(1).alias("role"), "y", "payload")
     heads = parts.select(F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    left = heads.join(texts, "y").select(F.col("y").alias("x"), "part", F.lit(0).alias("role"), "y", "text")
+    left = heads.join(payload, "y").select(F.col("y").alias("x"), "part", F.lit(0).alias("role"), "y", "payload")
     rows = left.unionByName(right).repartition("x", "part").sortWithinPartitions("x", "part", "role")
-    return table(rows.mapInArrow(_verify(k, percent), "a long, b long"), "links")
+    return table(rows.mapInArrow(_compare(read, same), "x long, y long"), label).distinct()
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose texts link: sketches first, then the whole texts of
+    the pairs that these allow."""
+    likely = _kept(table(pairs, "pairs"), sketches, lambda c: c.to_pylist(), lambda s, t: may_link(s, t, percent), "likely")
+    texts = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("payload"))
+    same = _kept(likely, texts, lambda c: shingle_sets(strings(c), k), lambda s, t: links(s, t, percent), "links")
+    return same.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
@@ -205,19 +236,16 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
     classes = table(sets.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, keys array<long>")
-    keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "keys"), "keys")
+    keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, sketch binary, keys array<long>")
+    keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "sketch", "keys"), "keys")
     entries = keyed.select("rep", F.explode("keys").alias("key")).distinct()
     shared = entries.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
     live = table(entries.join(shared.select("key", "head"), "key"), "live")
 
     stars = live.where("rep <> head").select(F.col("head").alias("x"), F.col("rep").alias("y")).distinct()
-    size = keyed.groupBy("rep").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    for side in ("x", "y"):
-        stars = stars.join(size.select(F.col("rep").alias(side), F.col("low").alias(f"{side}l"), F.col("high").alias(f"{side}h")), side)
-    stars = stars.where((100 * F.col("xh") >= percent * F.col("yl")) & (100 * F.col("yh") >= percent * F.col("xl"))).select("x", "y")
-    links = verified(stars, docs, k, percent)
-    first = components(links).select(F.col("node").alias("rep"), "component")
+    sketches = keyed.select(F.col("rep").alias("y"), F.col("sketch").alias("payload"))
+    starred = verified(stars, sketches, docs, k, percent)
+    first = components(starred).select(F.col("node").alias("rep"), "component")
 
     placed = live.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = table(placed, "placed")
@@ -228,14 +256,13 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     p, q = wide.alias("p"), wide.alias("q")
     differ = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(_SIG_WORDS)), F.lit(0))
     n, m = F.col("p.n"), F.col("q.n")
-    # |A ^ B| = |A| + |B| - 2i and i / (|A| + |B| - i) >= t give |A ^ B| <= (|A| + |B|)(1 - t) / (1 + t)
     may = (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.head") != F.col("p.rep"))
     may &= (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
     across = p.join(q, (F.col("p.key") == F.col("q.key")) & may).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct()
-    more = verified(across, docs, k, percent)
+    more = verified(across, sketches, docs, k, percent)
 
     copies = sets.where("n > 0 and doc_id is not null").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(more).unionByName(copies))
+    final = components(starred.unionByName(more).unionByName(copies))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

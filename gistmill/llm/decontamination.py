@@ -112,7 +112,7 @@ class Index:
             if a == b:
                 continue
             text = b" ".join(raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
-            held[_class(b - a)].append(np.array([len(self.items), a, b]))
+            held[_class(int(b - a))].append(np.array([len(self.items), a, b]))
             self.items.append((item_id, text, int(b - a), int(max_edit * len(text))))
         self.plans = {size: plan(size) for size in held}
         keys, owners = [], []

@@ -35,6 +35,28 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int"), F.lit(-1))
 
 
+def first_by_hash(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most `most` rows, the first in the order of a hash of `keys`; a hash
+    threshold set from the count leaves few rows to sort."""
+    n = df.count()
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int((1.2 * most + 100) / n * (1 << 40)))
+    return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)), *keys).limit(most)
+
+
+def largest(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows whose count reaches the least power of two that at most `most` rows
+    reach, found from a histogram of at most 64 rows; nothing is sorted."""
+    level = F.floor(F.log2(F.col(count))).cast("int")
+    rows = sorted(((r.level, r.n) for r in df.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, 63
+    for lev, n in rows:
+        if held + n > most:
+            break
+        held, least = held + n, lev
+    return df.where(F.col(count) >= F.lit(1 << least).cast("long"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, label, extra columns) of at most `per_class` rows of each class: the first
     in the order of a hash of the id, none from fold `left_out`.
@@ -45,8 +67,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     ids = ids.where(fold(F.col("doc_id")) != left_out)
-    order = F.xxhash64(F.lit(label), "doc_id")
-    picked = [ids.where(F.col("label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
+    picked = [first_by_hash(ids.where(F.col("label") == v), per_class, "doc_id") for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
     totals = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
     return docs.select("doc_id", "text", *extra).join(few, "doc_id").dropDuplicates(["doc_id"]), totals

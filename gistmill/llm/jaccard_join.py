@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import components, table
+from gistmill.llm.common import components, largest, table
 from gistmill.llm.kernel import Lookup, columns, mix, shingle_sets, strings
 
 FREQUENT_COUNT = 48
@@ -232,7 +232,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     base = table(docs.mapInArrow(_sets_and_counts(k), "kind int, doc_id long, n long, a long, b long"), "sets")
     sets = base.where("kind = 0").select("doc_id", "n", "a", "b")
     counts = base.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_COUNT)
-    top = counts.orderBy(F.desc("c"), "a").limit(FREQUENT_MOST).select("a").toArrow()["a"].to_numpy()
+    top = largest(counts, "c", FREQUENT_MOST).select("a").toArrow()["a"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
     classes = table(sets.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")

@@ -21,6 +21,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.warc import archived
+
+    return archived(spark, read(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gistmill.llm.secrets import scanned
 
@@ -33,6 +39,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.url_filter import judged
+
+    return judged(read(spark, sf_dir, "pages"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.language_model import scored
+
+    return scored(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gistmill.llm.toxicity import scored
 
@@ -50,6 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gistmill.llm import mixing
+    from gistmill.llm import mixing, warc
 
-    return {"op6_mixing": mixing.oracle()}
+    return {"op4_warc": warc.ORACLE, "op6_mixing": mixing.oracle()}

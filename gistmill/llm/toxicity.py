@@ -1,7 +1,9 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings.
 
-Words are runs of letters and digits (A-Z lowered), hashed to 2**21 buckets;
-buckets met in fewer than two training texts share one fixed zero vector.
+Words are runs of letters and digits (A-Z lowered), hashed to 2**21 buckets, and
+so are their beginnings of five and four bytes.  A word takes the embedding of its
+own bucket if enough training texts have it, else that of its longer, then its
+shorter beginning, else one fixed zero vector.
 Filters one, two and three words wide run over the whole text, each is pooled by
 its maximum, and a logistic layer weighs the pools.  Training is plain numpy on
 the driver, on a bounded sample of labelled rows (at most TRAIN_PER_CLASS of
@@ -36,7 +38,9 @@ from gistmill.llm.common import fold, labelled_sample
 from gistmill.llm.kernel import NOT_LETTER, buffers, columns, groups, hashes, strings, words
 
 BUCKET_BITS = 21
-TRAIN_PER_CLASS = 5_000
+TRAIN_PER_CLASS = 4_000
+HEADS = (5, 4)
+LEAST = (5, 3, 3)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 12
@@ -45,10 +49,12 @@ THRESHOLD_RANGE = (0.3, 0.7)
 
 
 def bucketed(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word buckets of a group of texts, and by text the range of its words."""
+    """A row for each word of a group of texts: the buckets of the word and of its
+    beginnings; and by text the range of its words."""
     data, off = buffers(arr)
     starts, ends, at = words(data, off, NOT_LETTER)
-    return (hashes(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), at
+    parts = [hashes(data, starts, np.minimum(ends, starts + n)) ^ np.uint64(n << 43) for n in HEADS]
+    return np.stack([(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for h in (hashes(data, starts, ends), *parts)], 1), at
 
 
 def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +73,7 @@ def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    keep: np.ndarray  # buckets with a row, ascending; row 0 is for all others
+    keep: list[np.ndarray]  # by word, longer, shorter beginning: buckets with a row; row 0 is for all others
     taps: list[np.ndarray] = field(default_factory=list)  # by width: rows x width x filters
     bias: list[np.ndarray] = field(default_factory=list)
     out: np.ndarray | None = None
@@ -77,10 +83,17 @@ class Model:
     constant: float | None = None
 
     def rows(self, buckets: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_map"):
-            self._map = np.zeros(1 << BUCKET_BITS, np.int32)
-            self._map[self.keep] = np.arange(1, len(self.keep) + 1)
-        return self._map[buckets]
+        if not hasattr(self, "_maps"):
+            self._maps, first = [], 1
+            for keep in self.keep:
+                self._maps.append(np.zeros(1 << BUCKET_BITS, np.int32))
+                self._maps[-1][keep] = np.arange(first, first + len(keep))
+                first += len(keep)
+        out = self._maps[0][buckets[:, 0]]
+        for i in range(1, len(self._maps)):
+            none = np.flatnonzero(out == 0)
+            out[none] = self._maps[i][buckets[none, i]]
+        return out
 
     def raw(self, buckets: np.ndarray, at: np.ndarray) -> np.ndarray:
         ids, bounds = padded(self.rows(buckets), at)
@@ -122,30 +135,28 @@ def _best_f1(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(grid[best[np.argmin(np.abs(grid[best] - 0.5))]])
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int, int] | None = None, *, epochs: int = 6, seed: int = 7) -> Model:
+def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int, int] | None = None, *, epochs: int = 4, seed: int = 7) -> Model:
     """texts: word buckets of each sampled text; langs only choose thresholds;
     totals: labelled rows by class, to calibrate to their true share."""
     rng = np.random.default_rng(seed)
     if len(y) < 10 or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), constant=float(y.mean()) if len(y) else 0.5)
+        return Model([], constant=float(y.mean()) if len(y) else 0.5)
     calib = rng.random(len(y)) < 0.2
     for v in (0, 1):  # both parts have both classes
         which = np.flatnonzero(y == v)
         calib[which[:2]] = [True, False] if len(which) > 1 else [False]
-    once = [np.unique(t) for t in texts]
-    seen = np.concatenate(once)
-    keep, df = np.unique(seen, return_counts=True)
-    keep = keep[df >= 2]
-    model = Model(keep)
+    model = Model([])
+    for i, least in enumerate(LEAST):
+        bucket, df = np.unique(np.concatenate([np.unique(t[:, i]) for t in texts]), return_counts=True)
+        model.keep.append(bucket[df >= least])
     rows = [model.rows(t) for t in texts]
-    n = len(keep) + 1
-    # how much likelier a word is in positives starts the first embedding dimension
-    odds = np.zeros(n)
+    n = sum(map(len, model.keep)) + 1
+    # how much likelier a row is in positives, less for rare rows, starts the first embedding dimension
     part = np.flatnonzero(~calib)
-    for v in (1, 0):
-        ids = np.concatenate([model.rows(once[i]) for i in part if y[i] == v])
-        total = int((y[part] == v).sum())
-        odds += (1 if v else -1) * np.log((np.bincount(ids, minlength=n) + 0.3) / (total + 0.6))
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(rows[i]) for i in part if y[i] == v)]), minlength=n) for v in (0, 1)]
+    share = [(c + 0.3) / ((y[part] == v).sum() + 0.6) for v, c in enumerate(count)]
+    met = count[0] + count[1]
+    odds = np.log(share[1] / share[0]) * met / (met + 8)
     emb = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
     emb[:, 0] = np.clip(odds, -3, 3) / 3
     emb[0] = 0
@@ -203,7 +214,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int,
             total = np.zeros((len(hit), DIM), np.float32)
             np.add.at(total, back, move)
             ada[hit] += (total * total).sum(1)
-            emb[hit] -= 3 * rate * total / np.sqrt(ada[hit])[:, None]
+            emb[hit] -= rate * total / np.sqrt(ada[hit])[:, None]
             emb[0] = 0
     model.taps = [np.ascontiguousarray(np.stack([emb @ f[j] for j in range(len(f))], 1).astype(np.float32)) for f in filt]
     model.bias, model.out, model.out_bias = bias, out, float(out_b)
@@ -238,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", left_out: i
     sample, totals = labelled_sample(docs, labels, label, per_class, left_out=left_out, extra=("lang",))
     got = sample.select("doc_id", "text", "lang", "label").mapInArrow(_hashed, "doc_id long, lang string, label int, words binary")
     rows = got.toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(b, np.int32) for b in rows["words"].to_pylist()]
+    texts = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(HEADS)) for b in rows["words"].to_pylist()]
     return train(texts, rows["label"].to_numpy().astype(int), rows["lang"].to_pylist(), totals)
 
 

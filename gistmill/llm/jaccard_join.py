@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from gistmill.llm.common import components, largest, table
 from gistmill.llm.kernel import Lookup, columns, mix, shingle_sets, strings
 
-FREQUENT_COUNT = 48
-FREQUENT_MOST = 131_072
+FREQUENT_COUNT = 24
+FREQUENT_MOST = 1 << 20  # 8 MB sent to each executor
 _SIG_WORDS = 8
 _FLUSH = 3_000_000
 

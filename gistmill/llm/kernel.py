@@ -159,14 +159,16 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys.astype(np.uint64))
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        bits = min(25, max(20, len(keys).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each x in the sorted keys, -1 where absent."""
         out = np.full(len(x), -1, np.int64)
         if len(self.keys):
-            may = np.flatnonzero(self.table[(x >> np.uint64(44)).astype(np.int64)])
+            may = np.flatnonzero(self.table[(x >> self.shift).astype(np.int64)])
             pos = np.searchsorted(self.keys, x[may])
             ok = self.keys[np.minimum(pos, len(self.keys) - 1)] == x[may]
             out[may[ok]] = pos[ok]

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gistmill.functions import vocab
 
@@ -68,18 +69,24 @@ def _char(code: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(units), "UTF-16BE")).otherwise("")
 
 
-@F.pandas_udf("string")
-def match_key(s: pd.Series) -> pd.Series:
+_QUOTES_AND_DASHES = str.maketrans({**dict.fromkeys("‘’´`", "'"), **dict.fromkeys("“”", '"'), **dict.fromkeys("-\u00ad\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2043")})
+
+
+def match_form(text: str | None) -> str | None:
     """Normal form for matching: NFKC, straight quotes, no space or dash, lower case."""
-    table = str.maketrans({**dict.fromkeys("‘’´`", "'"), **dict.fromkeys("“”", '"'), **dict.fromkeys("-\u00ad\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2043")})
+    if text is None:
+        return None
+    kept = unicodedata.normalize("NFKC", text).translate(_QUOTES_AND_DASHES)
+    return "".join(ch for ch in kept if not ch.isspace() and ch != "\ufeff").lower()
+
+
+def match_key(c: Column | str) -> Column:
+    """match_form of a column, in Arrow batches: Spark has no NFKC."""
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        kept = unicodedata.normalize("NFKC", text).translate(table)
-        return "".join(ch for ch in kept if not ch.isspace() and ch != "﻿").lower()
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(match_form)
 
-    return s.map(one)
+    return F.pandas_udf(run, StringType())(c)
 
 
 def find_quote(haystack: Column, quote: Column) -> Column:

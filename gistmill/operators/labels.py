@@ -24,7 +24,7 @@ def palette(i: Column) -> Column:
 
 
 def _exploded(sets: DataFrame, keys: list[str], most: int) -> DataFrame:
-    rows = sets.select(*keys, F.size("raw").alias("n"), F.posexplode(F.slice("raw", 1, most)).alias("ord", "e"))
+    rows = sets.select(*keys, F.posexplode(F.slice("raw", 1, most)).alias("ord", "e"))
     key = F.substring(F.regexp_replace(F.lower("e.key"), "[^a-z]", ""), 1, 12)
     return rows.withColumn("key", key).withColumn("bad", F.coalesce(key.isin("", "none"), F.lit(True)))
 

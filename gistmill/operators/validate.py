@@ -12,6 +12,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gistmill.functions import vocab
 
@@ -75,9 +76,11 @@ def loose_json_text(text: str | None) -> str | None:
         return found
 
 
-@F.pandas_udf("string")
-def loose_json(s: pd.Series) -> pd.Series:
-    return s.map(loose_json_text)
+def loose_json(c: Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(loose_json_text)
+
+    return F.pandas_udf(run, StringType())(c)
 
 
 def entries(replies: DataFrame, *names: str, bare: bool = False) -> DataFrame:

@@ -146,10 +146,10 @@ def adaptive_selection(replies: DataFrame, keys: list[str]) -> DataFrame:
 def accepted(replies: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
     """keys, accepted: whether a reply stands.  An empty result stands only when empty
     is allowed and the array was empty."""
-    n = valid.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = valid.groupBy(*keys).agg(F.count("*").alias("__n"))
     out = replies.join(n, keys, "left")
     empty = F.col("allow_empty") & (F.size("items") == 0)
-    return out.select(*keys, F.coalesce((F.coalesce("n", F.lit(0)) > 0) | empty, F.lit(False)).alias("accepted"))
+    return out.select(*keys, F.coalesce((F.coalesce("__n", F.lit(0)) > 0) | empty, F.lit(False)).alias("accepted"))
 
 
 def reduced(replies: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ an item's is a candidate.  Item lengths fall into doubling classes; a class
 samples as many steps as its shortest item has words, so an emission nearly
 always lies in the item.
 
-Every candidate is verified exactly: the least edit distance, in characters,
+A candidate goes on when at least MIN_EQUAL of the emitted places of one walk agree
+with the item's (its Hamming distance).  It is then verified exactly: the least edit distance, in characters,
 between the normalised item and any stretch of the normalised text about the
 window, by a bit-parallel automaton on whole-number arithmetic.  A text holds an
 item when that distance is at most floor(max_edit * item length).
@@ -37,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.common import table
-from gistmill.llm.kernel import NOT_LETTER, Lookup, buffers, columns, groups, hashes, mix, strings, words
+from gistmill.llm.kernel import LOWER, NOT_LETTER, Lookup, buffers, columns, groups, hashes, mix, strings, words
 
 MAX_EDIT = 0.1
 WALKS = 2
 REPEATS = 5
 SAMPLES = 3
+MIN_EQUAL = 0.4
+GRAM = 4
 LONGEST_CLASS = 64
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
@@ -79,6 +82,10 @@ def infix_distance(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def grams(text: str) -> list[str]:
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
 def _class(n: int) -> int:
     return min(LONGEST_CLASS, 1 << (n.bit_length() - 1))
 
@@ -113,14 +120,20 @@ class Index:
                 continue
             text = b" ".join(raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
             held[_class(int(b - a))].append(np.array([len(self.items), a, b]))
-            self.items.append((item_id, text, int(b - a), int(max_edit * len(text))))
+            self.items.append((item_id, text, int(b - a), int(max_edit * len(text)), grams(text)))
         self.plans = {size: plan(size) for size in held}
         keys, owners = [], []
+        self.size = np.zeros(len(self.items), np.int64)
+        self.emitted = np.zeros((WALKS, len(self.items), LONGEST_CLASS), np.uint64)
         for size, some in held.items():
-            for _, a, b in some:
+            for item, a, b in some:
+                self.size[item] = min(b - a, LONGEST_CLASS)
                 for key in self.walk(h[a:b], {size: self.plans[size]}, 1):
                     keys.append(key[1][0])
-                    owners.append(_)
+                    owners.append(item)
+                for walk in range(WALKS):
+                    for j, out in self.emissions(h[a:b], np.zeros(1, np.int64), walk, int(self.size[item])):
+                        self.emitted[walk, item, j] = out[0]
         keys, owners = np.array(keys, np.uint64), np.array(owners, np.int64)
         order = np.argsort(keys, kind="stable")
         self.lookup = Lookup(np.unique(keys))
@@ -151,6 +164,27 @@ class Index:
             for (size, _), k in keys.items():
                 yield size, k
 
+    @staticmethod
+    def emissions(h: np.ndarray, at: np.ndarray, walk: int, steps: int) -> Iterator[tuple[int, np.ndarray]]:
+        """By step, the words that a walk emits from each of some windows."""
+        h = np.concatenate([h, np.zeros(steps + 1, np.uint64)])
+        bits = h if walk == 0 else mix(h + np.uint64(walk))
+        move = at.copy()
+        for j in range(steps):
+            yield j, h[move]
+            move += ((bits[move] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+
+    def near(self, h: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the Hamming distance of windows and items is small in some walk."""
+        best = np.zeros(len(at))
+        size = self.size[item]
+        for walk in range(WALKS):
+            equal = np.zeros(len(at))
+            for j, out in self.emissions(h, at, walk, int(size.max())):
+                equal += (out == self.emitted[walk, item, j]) & (j < size)
+            best = np.maximum(best, equal / size)
+        return best >= MIN_EQUAL
+
     def find(self, arr: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item number, distance) of a group of texts: the least distance
         found for each item in each text."""
@@ -161,23 +195,37 @@ class Index:
         if not len(starts):
             return
         h = hashes(data, starts, ends)
-        found: set[tuple[int, int]] = set()
+        pairs = [np.zeros(0, np.int64)]
         for _, keys in self.walk(h, self.plans, len(h)):
             hit = self.lookup.find(keys)
-            for w in np.flatnonzero(hit >= 0):
-                for item in self.owners[self.first[hit[w]] : self.last[hit[w]]]:
-                    found.add((int(item), int(w)))
+            at_word = np.flatnonzero(hit >= 0)
+            a, n = self.first[hit[at_word]], self.last[hit[at_word]] - self.first[hit[at_word]]
+            owner = self.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+            pairs.append(owner * len(h) + np.repeat(at_word, n))
+        pairs = np.unique(np.concatenate(pairs))
+        if not len(pairs):
+            return
+        pairs = pairs[self.near(h, pairs % len(h), pairs // len(h))]
+        # the normalised text of the group: words with a space after each
+        length = ends - starts
+        inside = ~NOT_LETTER[data]
+        normal = np.full(int(length.sum()) + len(length), 32, np.uint8)
+        normal[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = LOWER[data[inside]]
+        begin = np.cumsum(np.append(0, length + 1))
         best: dict[tuple[int, int], int] = {}
         read_to: dict[tuple[int, int], int] = {}
-        for item, w in sorted(found):
-            _, text, n, most = self.items[item]
+        for item, w in zip((pairs // len(h)).tolist(), (pairs % len(h)).tolist(), strict=True):
+            _, text, n, most, own = self.items[item]
             row = int(np.searchsorted(at, w, "right")) - 1
             if best.get((row, item)) == 0 or read_to.get((row, item), -1) >= w:
                 continue
             slack = most // 2 + 2
             lo, hi = max(at[row], w - slack), min(at[row + 1], w + n + slack)
             read_to[row, item] = w + slack // 2
-            near = b" ".join(data[starts[x] : ends[x]].tobytes().translate(_LOWER) for x in range(lo, hi)).decode("utf-8", "replace")
+            near = normal[begin[lo] : begin[hi] - 1].tobytes().decode("utf-8", "replace")
+            held = set(grams(near))
+            if sum(g in held for g in own) < len(own) - GRAM * most:
+                continue  # each edit spoils at most GRAM stretches, so the distance is over `most`
             d = infix_distance(text, near, most)
             if d is None:
                 continue
@@ -204,7 +252,7 @@ def _scan(block, max_edit: float):
             ids, text = columns(batch, "doc_id", "text")
             arr = strings(text)
             rows, items, dist = [], [], []
-            for lo, hi in groups(arr):
+            for lo, hi in groups(arr, 512 << 10):
                 for row, item, d in index.find(arr.slice(lo, hi - lo)):
                     rows.append(lo + row)
                     items.append(index.items[item][0])
@@ -231,7 +279,7 @@ def _clean(block, max_edit: float):
         for batch in batches:
             arr = strings(batch.column(batch.schema.get_field_index("text")))
             keep = np.ones(len(arr), bool)
-            for lo, hi in groups(arr):
+            for lo, hi in groups(arr, 512 << 10):
                 for row, _, _ in index.find(arr.slice(lo, hi - lo)):
                     keep[lo + row] = False
             yield batch.filter(pa.array(keep))

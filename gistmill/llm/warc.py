@@ -180,10 +180,11 @@ def write_archive(pages: DataFrame, *, dedupe_from: int = 0, folder: str | None
     leads = F.col("d").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     tied = leads & F.coalesce("tied", F.lit(False))
     keep = ["page_id", "url", "html", "size", "digest", "first", "leads"]
-    plain = joined.withColumn("leads", leads).where(~tied).select(*keep)
-    # rows that repeat the leading page_id: one is the response
-    nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    rows = plain.unionByName(joined.where(tied).withColumn("leads", nth == 1).select(*keep))
+    rows = joined.withColumn("leads", leads).select(*keep)
+    if not first.where("tied").isEmpty():  # rows that repeat the leading page_id: one is the response
+        nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+        once = joined.where(tied).withColumn("leads", nth == 1).select(*keep)
+        rows = joined.where(~tied).withColumn("leads", leads).select(*keep).unionByName(once)
     rows = rows.select("page_id", "url", F.when(F.col("leads"), F.coalesce("html", F.lit(""))).alias("html"), "size", "digest", F.when(F.col("leads"), "response").otherwise("revisit").alias("type"), F.when(~F.col("leads"), F.col("first")).alias("refers_to"))
     return table(rows.mapInArrow(_write(folder), INDEX), "warc-index")
 

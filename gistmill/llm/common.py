@@ -49,7 +49,7 @@ def largest(df: DataFrame, count: str, most: int) -> DataFrame:
     reach, found from a histogram of at most 64 rows; nothing is sorted."""
     level = F.floor(F.log2(F.col(count))).cast("int")
     rows = sorted(((r.level, r.n) for r in df.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    held, least = 0, 63
+    held, least = 0, 62
     for lev, n in rows:
         if held + n > most:
             break

@@ -89,6 +89,18 @@ def match_key(c: Column | str) -> Column:
     return F.pandas_udf(run, StringType())(c)
 
 
+def match_index(nodes: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """Normal form of rendered text nodes in order and, for each of its characters, the
+    node and the place in it that it came from."""
+    out, back = [], []
+    for n, node in enumerate(nodes):
+        for i, ch in enumerate(node):
+            for kept in match_form(ch):
+                out.append(kept)
+                back.append((n, i))
+    return "".join(out), back
+
+
 def find_quote(haystack: Column, quote: Column) -> Column:
     """0-based position of a normalised quote, or of a long enough beginning; -1 if none."""
     n = F.length(quote)

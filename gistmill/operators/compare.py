@@ -43,3 +43,13 @@ def set_stats(entries: DataFrame, span: Column) -> DataFrame:
 
 def page_span(entries: DataFrame) -> DataFrame:
     return entries.agg((F.max("page") + 1).alias("span"))
+
+
+def report(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
+    """measure, set_name, value: statistics of both sets and their overlaps, in rows."""
+    stats = set_stats(entries.join(F.broadcast(page_span(entries))), F.col("span"))  # one row
+    names = ["n", "pages", "first_third", "second_third", "last_third", "mean_chars"]
+    long = stats.unpivot("set_name", names, "measure", "value").select("measure", "set_name", F.col("value").cast("double").alias("value"))
+    for x, y in ((a, b), (b, a)):
+        long = long.unionByName(overlap(entries, x, y, norm).select(F.lit(f"share in {y}").alias("measure"), F.lit(x).alias("set_name"), F.col("share").alias("value")))
+    return long

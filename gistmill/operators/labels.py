@@ -19,6 +19,19 @@ def default_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LABEL)
 
 
+def configured_labels(spark: SparkSession, mode: str, custom_json: str) -> DataFrame | None:
+    """The label set of a mode: None where labels are found in the document (auto), the
+    custom set where it is valid, else the default."""
+    if mode == "auto":
+        return None
+    if mode == "custom":
+        one = spark.createDataFrame([(0, custom_json or "")], "__set int, json string")
+        parsed = custom_labels(one, ["__set"]).drop("__set")
+        if not parsed.isEmpty():  # at most eight rows
+            return parsed
+    return default_labels(spark)
+
+
 def palette(i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, vocab.PALETTE)), (i % len(vocab.PALETTE) + 1).cast("int"))
 

@@ -190,5 +190,5 @@ def summary_text(c: Column) -> Column:
 
 
 def token_usage(replies: DataFrame) -> DataFrame:
-    clean = lambda c: F.sum(F.when(F.col(c).between(-1.7e308, 1.7e308), F.col(c)).otherwise(0)).cast("long")
+    clean = lambda c: F.sum(F.when(F.col(c).cast("double").between(-1.7e308, 1.7e308), F.col(c)).otherwise(0)).cast("long")
     return replies.groupBy("doc_id").agg(clean("usage_in").alias("tokens_in"), clean("usage_out").alias("tokens_out"))

@@ -50,8 +50,24 @@ def cache_state(complete: Column) -> Column:
 
 
 def summary_line(s: Column) -> Column:
-    """n highlights, pages and core of a run summary, in a line."""
-    return F.format_string("%d highlights · %d/%d pages · %d core", s["selections"], s["pages_covered"], s["page_span"], s["core_count"])
+    """The status line of a run summary (columns of run_summary, tokens apart): what is
+    shown once complete, what was processed while partial, nothing before."""
+    used = F.when((s["tokens_in"] > 0) | (s["tokens_out"] > 0), F.format_string(" · %,d in / %,d out tokens", s["tokens_in"], s["tokens_out"])).otherwise("")
+    pages = F.when(s["page_span"] > 0, F.format_string(" across %d/%d pages", s["pages_covered"], s["page_span"])).otherwise("")
+    core = F.when(s["core_count"] > 0, F.format_string(" · %d core", s["core_count"])).otherwise("")
+    done = F.concat(F.format_string("✓ Complete — %d highlights", s["selections"]), pages, core, used)
+    part = F.concat(F.format_string("◐ Partial — %d sentences processed", s["considered"]), used, F.lit(". Generate resumes."))
+    return F.when(s["state"] == "complete", done).when(s["state"] == "partial", part)
+
+
+def of_complete_runs(shown: DataFrame, state: DataFrame) -> DataFrame:
+    """Highlights of documents whose run is complete (state: doc_id, complete)."""
+    return shown.join(state.where(F.coalesce("complete", F.lit(True))).select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def in_order(shown: DataFrame) -> DataFrame:
+    """Highlights by document in reading order."""
+    return shown.orderBy("doc_id", "page_index", "start_char")
 
 
 def annotation_rows(shown: DataFrame, *, destination: str = "comment", prefix: bool = False) -> DataFrame:

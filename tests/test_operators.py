@@ -178,3 +178,29 @@ def test_comparison(spark, rows):
     assert rows(compare.overlap(e, "none", "a", F.lower("text"))) == [(0, 0, 0.0)]
     got = compare.set_stats(e, F.lit(3)).where("set_name = 'a'").first()
     assert (got.n, got.pages, got.first_third, got.second_third, got.last_third) == (2, 2, 1, 1, 0)
+
+
+def test_report(spark, rows):
+    e = spark.createDataFrame([(1, "a", "this one is contained in the other", 0), (1, "b", "here this one is contained in the other set", 1)], "doc_id long, set_name string, text string, page int")
+    got = {(m, s): v for m, s, v in rows(compare.report(e, "a", "b", F.lower("text")))}
+    assert got["n", "a"] == 1 and got["share in b", "a"] == 1 and len(got) == 14
+
+
+def test_status_lines(spark):
+    s = spark.createDataFrame([("complete", 24, 9, 12, 11, 812, 1000, 50), ("partial", 0, 0, 12, 0, 40, 0, 0), ("none", 0, 0, 0, 0, 0, 0, 0)], "state string, selections int, pages_covered int, page_span int, core_count int, considered int, tokens_in int, tokens_out int")
+    got = [r[0] for r in s.select(view.summary_line(F.struct("*")).alias("x")).collect()]
+    assert got[0] == "✓ Complete — 24 highlights across 9/12 pages · 11 core · 1,000 in / 50 out tokens"
+    assert got[1] == "◐ Partial — 40 sentences processed. Generate resumes." and got[2] is None
+
+
+def test_label_modes(spark):
+    assert labels.configured_labels(spark, "auto", "") is None
+    assert labels.configured_labels(spark, "custom", "nope").count() == 4
+    assert [r.key for r in labels.configured_labels(spark, "custom", '[{"key":"x","name":"X"}]').collect()] == ["x"]
+
+
+def test_complete_runs_and_order(spark, rows):
+    shown = spark.createDataFrame([(1, 1, 5), (1, 0, 9), (2, 0, 0)], "doc_id long, page_index int, start_char int")
+    state = spark.createDataFrame([(1, True), (2, False)], "doc_id long, complete boolean")
+    got = view.in_order(view.of_complete_runs(shown, state)).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 9), (1, 1, 5)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gistmill.operators import select
 from gistmill.plans import corpus_queries
 from gistmill.plans.config import SkimConfig
-from gistmill.plans.pipeline import skim, text_sentences
+from gistmill.plans.pipeline import skim, skim_evolving, summarize, text_sentences
 from gistmill.sources import epub, sinks, state
 from gistmill.streaming import skim_stream
 
@@ -62,13 +62,32 @@ def test_run_invariants(spark):
 
 def test_replay_uses_the_second_attempt(spark, rows):
     docs = spark.createDataFrame([(1, "This is a sentence long enough to be a candidate. And so is this second one, by a good margin."), (2, "A further document with one sentence that is long enough.")], "doc_id long, text string")
-    replies = spark.createDataFrame([(1, 0, 0, "sorry", 5, 1), (1, 0, 1, '<think>hm</think>{"selected":[{"id":1,"label":"goal"}]}', 5, 2), (2, 0, 0, "{}", 5, 1), (2, 0, 1, "[]", None, 1)], "doc_id long, chunk_id int, attempt int, raw string, usage_in double, usage_out double")
+    replies = spark.createDataFrame([(1, 0, 0, "sorry", 5, 1), (1, 0, 1, '<think>hm</think>{"selected":[{"id":1,"label":"goal"}]}', 5, 2), (2, 0, 0, "{}", 5, 1), (2, 0, 1, "[]", None, 1)], "doc_id long, chunk_id int, attempt int, raw string, usage_in int, usage_out int")
     run = skim(text_sentences(docs), SkimConfig(), selector=select.ReplaySelector(replies))
     assert rows(run.classified, "doc_id", "sent_id", "label", "confidence") == [(1, 1, "goal", 0.7)]
     assert rows(run.failed, "doc_id", "chunk_id") == [(2, 0)]
     assert rows(run.state, "doc_id", "complete", "tokens_in") == [(1, True, 10), (2, False, 5)]
 
 
+def test_evolving_labels(spark, rows):
+    data = [(1, i, i // 2, f"Sentence number {i} of the book, long enough to be a candidate.", "body") for i in range(12)]
+    sents = spark.createDataFrame(data, "doc_id long, sent_id long, page_index int, text string, section string")
+    replies = [(1, 0, 0, "bad", 1, 1), (1, 0, 1, '{"selected":[{"id":0,"label":"Turning Point"}]}', 1, 1), (1, 1, 0, '{"selected":[{"id":1,"label":"turning point","importance":0.9},{"id":2,"label":"Cast"}]}', 1, 1), (1, 2, 0, "no", 1, 1), (1, 2, 1, "no", 1, 1)]
+    run = skim_evolving(sents, SkimConfig(), spark.createDataFrame(replies, "doc_id long, unit_id int, attempt int, raw string, usage_in int, usage_out int"))
+    assert rows(run.classified, "sent_id", "label") == [(0, "turningpoint"), (5, "turningpoint"), (6, "cast")]
+    assert rows(run.failed, "chunk_id") == [(2,)]
+
+
+def test_summaries(spark, rows):
+    pages = spark.createDataFrame([(1, 0, "text"), (2, 0, "text"), (3, 0, "  "), (4, 0, "text")], "doc_id long, page_index int, text string")
+    cached = spark.createDataFrame([(2, "an old summary of it")], "doc_id long, tldr string")
+    replies = spark.createDataFrame([(1, 0, '{"summary": "short"}'), (1, 1, '{"summary": "a  summary that is long enough"}'), (2, 0, '{"summary": "a new summary of document two"}'), (4, 0, "x")], "doc_id long, attempt int, raw string")
+    got, asked = summarize(pages, cached, replies)
+    assert rows(asked, "doc_id") == [(1,), (4,)]
+    assert rows(got) == [(1, "a summary that is long enough"), (2, "an old summary of it")]
+    assert dict(rows(summarize(pages, cached, replies, force=True)[0]))[2] == "a new summary of document two"
+
+
 def _book(path, *, spine=True):
     opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="b" href="text/two.xhtml"/><item id="a" href="../one.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="gone"/><itemref idref="b"/></spine></package>'
     buffer = io.BytesIO()

@@ -93,3 +93,9 @@ def test_keys_and_indexes(spark):
 @pytest.mark.parametrize(("given", "want"), [("[1] Smith, J. et al. 2015. doi:10", 5), ("plain words", 0), ("12. entry", 1), ("in 1850 and 2150", 0), ("doing it", 1)])
 def test_reference_score(spark, given, want):
     assert one(spark, T.reference_score, given) == want
+
+
+def test_match_index_maps_back():
+    form, back = T.match_index(["The ﬁrst", " – “part”"])
+    assert form == 'thefirst"part"' and len(back) == len(form)
+    assert back[3] == back[4] == (0, 4) and back[form.index('"')] == (1, 3)

@@ -268,8 +268,26 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
-    """docs without those that have a smaller linked doc_id; of repeated rows of
-    the remaining id, each text once.  A null doc_id stays."""
+    """docs without those that have a smaller linked doc_id, one row for each
+    remaining id.  Rows with a null doc_id stay."""
     keep = jaccard_join(docs, k=k, percent=percent).where("component_id = doc_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def oracle(k: int = 3, percent: int = 90) -> str:
+    """The same in DuckDB SQL, for small tables: it expands all pairs."""
+    shingle = " || ' ' || ".join(f"l[i + {j}]" for j in range(k))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS l FROM documents),
+i AS (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - {k} + 2))) AS i FROM w WHERE len(l) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < {k} THEN array_to_string(l, ' ') ELSE {shingle} END AS x FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * k >= {percent} * (na.n + nb.n - k)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, c.b FROM reach r JOIN ways c ON r.b = c.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id"""

@@ -74,6 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gistmill.llm import mixing, warc
+    from gistmill.llm import jaccard_join, mixing, search, warc
 
-    return {"op4_warc": warc.ORACLE, "op6_mixing": mixing.oracle()}
+    return {"op3_topk_search": search.oracle(), "op4_warc": warc.ORACLE, "op6_mixing": mixing.oracle(), "op10_ngram_jaccard_join": jaccard_join.oracle()}

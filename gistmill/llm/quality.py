@@ -242,20 +242,20 @@ def _score(model) -> object:
         for batch in batches:
             arr = strings(batch.column(0))
             s = np.concatenate([np.zeros(0), *(m.score(features(arr.slice(lo, hi - lo))) for lo, hi in groups(arr, 1 << 20))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s)], [*batch.schema.names[1:], "__score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score (0 to 1, higher: label 1 likelier)."""
+    """The columns `keep` of docs and __score (0 to 1, higher: label 1 likelier)."""
     asked = docs.select(F.col("text").alias("__text"), *keep)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     types = dict(asked.dtypes)
-    return asked.mapInArrow(_score(sent), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double"]))
+    return asked.mapInArrow(_score(sent), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "__score double"]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) of every row."""
-    out = score(docs, fit(docs, labels), ["doc_id"])
+    out = score(docs, fit(docs, labels), ["doc_id"]).withColumnRenamed("__score", "score")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

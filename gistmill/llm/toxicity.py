@@ -263,27 +263,27 @@ def _score(model) -> object:
             score = np.concatenate(parts)
             lang = batch.column(1).to_pylist()
             bad = np.array([s >= m.threshold(x) for s, x in zip(score, lang, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score), pa.array(bad)], [*batch.schema.names[2:], "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(score), pa.array(bad)], [*batch.schema.names[2:], "__score", "__rejected"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, score, and rejected (score reaches the
-    threshold of the row's language)."""
+    """The columns `keep` of docs, __score, and __rejected (the score reaches the
+    threshold of the row's language); names that no column of docs should have."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     asked = docs.select(F.col("text").alias("__text"), lang.alias("__lang"), *keep)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     types = dict(asked.dtypes)
-    return asked.mapInArrow(_score(sent), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double", "rejected boolean"]))
+    return asked.mapInArrow(_score(sent), ", ".join([*(f"`{c}` {types[c]}" for c in keep), "__score double", "__rejected boolean"]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5), rejected of every row."""
-    out = score(docs, fit(docs, labels), ["doc_id"])
+    out = score(docs, fit(docs, labels), ["doc_id"]).withColumnsRenamed({"__score": "score", "__rejected": "rejected"})
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    return score(docs, fit(docs, labels), docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    return score(docs, fit(docs, labels), docs.columns).where(~F.col("__rejected")).select(*docs.columns)

@@ -114,6 +114,8 @@ def test_toxicity_learns_words_anywhere(spark):
     assert (p[held] == y[held]).mean() > 0.95
     kept = toxicity.without_toxic(docs_of(spark, texts), labels)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 200 < kept.count() < 330
+    clash = docs_of(spark, texts).withColumn("score", F.lit("x")).withColumn("rejected", F.lit(1)).withColumn("label", F.lit(2))
+    assert toxicity.without_toxic(clash, labels).columns == clash.columns and toxicity.without_toxic(clash, labels).count() == kept.count()
 
 
 @pytest.mark.parametrize("op", [quality.scored, toxicity.scored])

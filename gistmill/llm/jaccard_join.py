@@ -238,7 +238,8 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     classes = table(sets.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, sketch binary, keys array<long>")
     keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "sketch", "keys"), "keys")
-    entries = keyed.select("rep", F.explode("keys").alias("key")).distinct()
+    # dealt by key once, for the count of a key and for its members alike
+    entries = keyed.select("rep", F.explode("keys").alias("key")).repartition("key")
     shared = entries.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
     live = table(entries.join(shared.select("key", "head"), "key"), "live")
 
@@ -280,7 +281,8 @@ def oracle(k: int = 3, percent: int = 90) -> str:
     shingle = " || ' ' || ".join(f"l[i + {j}]" for j in range(k))
     return rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS l FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS l FROM documents),
 i AS (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - {k} + 2))) AS i FROM w WHERE len(l) > 0),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(l) < {k} THEN array_to_string(l, ' ') ELSE {shingle} END AS x FROM i),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

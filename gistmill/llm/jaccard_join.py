@@ -15,10 +15,11 @@ are frequent, and dealing them into G groups by hash puts two in one group, so
 the pairs inside the groups are indexed.  This holds for any choice of the
 frequent class, so that class may be bounded and approximate.
 
-Each index key first offers pairs with its smallest member only (a star), which
-verification settles exactly.  Keys whose members are not in one component then
-offer the pairs across components, cut by size and by an exact lower bound of
-the symmetric difference (parity bitmaps), and those are verified too.  Before
+Each index key first offers pairs with its smallest member only (a star); those
+that share enough keys are verified.  Keys whose members are not in one component
+then offer all pairs across components, cut by size, by an exact lower bound of the
+symmetric difference (parity bitmaps) and by the count of keys that a link needs,
+and those are verified too.  Before
 whole texts meet, sketches of a bit a shingle rule out all pairs well below the
 limit.  Every
 link is thus either verified or inside one component already.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.common import components, largest, table
@@ -54,15 +55,21 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _groups(n: Column) -> Column:
+    """groups_of as a column."""
+    return F.when(n < 64, 1).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.floor(n / 32)))))
+
+
 def groups_of(n: int) -> int:
     return 1 if n < 64 else 1 << ((n // 32).bit_length() - 1)
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a sorted set; `frequent` marks its frequent shingles."""
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Index keys of a sorted set, and how many frequent shingles its extended prefix
+    holds; `frequent` marks those of the set."""
     n = len(s)
-    if n - -(-percent * n // 100) < 0 or n * (100 - percent) < percent:
-        return np.zeros(0, np.uint64)  # so few that only equal sets link
+    if n * (100 - percent) < percent:
+        return np.zeros(0, np.uint64), 0  # so few that only equal sets link
     p = n - -(-percent * n // 100) + 1
     classes = {groups_of(n), groups_of(100 * n // percent)}
     rare, often = s[~frequent], s[frequent]
@@ -79,7 +86,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
             if len(part) > 1:
                 i, j = np.triu_indices(len(part), 1)
                 out.append(mix(mix(part[i]) * np.uint64(3) + part[j] + np.uint64(g)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), len(often[: max(0, p + max(classes) - len(rare))])
 
 
 def parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -155,7 +162,7 @@ def _keys(k: int, percent: int, frequent):
         often = Lookup(frequent.value)
         for batch in batches:
             ids, text = columns(batch, "doc_id", "text")
-            a, b, sig, full, keys, n = [], [], [], [], [], []
+            a, b, sig, full, keys, n, often_in = [], [], [], [], [], [], []
             for s in shingle_sets(strings(text), k):
                 d = digest(s)
                 a.append(d[0])
@@ -163,12 +170,14 @@ def _keys(k: int, percent: int, frequent):
                 n.append(len(s))
                 sig.append(np.packbits(parity(s, 64 * _SIG_WORDS)).tobytes())
                 full.append(sketch(s))
-                keys.append(prefix_keys(s, often.find(s) >= 0, percent).view(np.int64))
+                own, held = prefix_keys(s, often.find(s) >= 0, percent)
+                keys.append(own.view(np.int64))
+                often_in.append(held)
             cut = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(full, pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
-                ["rep", "n", "a", "b", "sig", "sketch", "keys"],
+                [ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(full, pa.binary()), pa.array(often_in, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
+                ["rep", "n", "a", "b", "sig", "sketch", "often", "keys"],
             )
 
     return run
@@ -236,30 +245,35 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
     classes = table(sets.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, sketch binary, keys array<long>")
-    keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "sketch", "keys"), "keys")
+    keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, sketch binary, often long, keys array<long>")
+    keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "sketch", "often", "keys"), "keys")
     # dealt by key once, for the count of a key and for its members alike
-    entries = keyed.select("rep", F.explode("keys").alias("key")).repartition("key")
-    shared = entries.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last")
-    live = table(entries.join(shared.select("key", "head"), "key"), "live")
-
-    stars = live.where("rep <> head").select(F.col("head").alias("x"), F.col("rep").alias("y")).distinct()
+    entries = keyed.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
+    shared = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last")).where("h.rep < last")
+    live = table(entries.join(shared.select("key", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n")), "key"), "live")
+
+    # stars are a first sweep: a pair that shares few keys with its head waits for the second
+    ratio = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    stars = live.where((F.col("rep") != F.col("head")) & ratio(F.col("n"), F.col("head_n")))
+    stars = stars.groupBy(F.col("head").alias("x"), F.col("rep").alias("y")).agg(F.count("*").alias("held"), F.max(F.greatest("n", "head_n")).alias("most"))
+    stars = stars.where(2 * F.col("held") > _groups(F.col("most"))).select("x", "y")
     sketches = keyed.select(F.col("rep").alias("y"), F.col("sketch").alias("payload"))
     starred = verified(stars, sketches, docs, k, percent)
     first = components(starred).select(F.col("node").alias("rep"), "component")
 
-    placed = live.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = table(placed, "placed")
+    placed = table(live.select("key", "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
     bits = [F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(_SIG_WORDS)]
-    wide = placed.join(open_keys, "key").join(keyed.select("rep", "n", *bits), "rep")
-    wide = table(wide, "open")
+    wide = table(placed.join(open_keys, "key").join(keyed.select("rep", "n", "often", *bits), "rep"), "open")
     p, q = wide.alias("p"), wide.alias("q")
     differ = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(_SIG_WORDS)), F.lit(0))
     n, m = F.col("p.n"), F.col("q.n")
-    may = (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.head") != F.col("p.rep"))
-    may &= (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & may).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct()
+    may = (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & ratio(n, m)
+    may &= differ * (100 + percent) <= (n + m) * (100 - percent)
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & may)
+    across = across.groupBy(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).agg(F.count("*").alias("held"), F.min(_groups(F.greatest(n, m)) - F.least("p.often", "q.often")).alias("least"))
+    # linked sets share over G shingles of their extended prefixes, and all that are rare are keys
+    across = across.where(F.col("held") > F.col("least")).select("x", "y")
     more = verified(across, sketches, docs, k, percent)
 
     copies = sets.where("n > 0 and doc_id is not null").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

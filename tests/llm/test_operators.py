@@ -499,7 +499,7 @@ def test_prefix_keys_meet_for_all_linked_sets():
             if not jaccard_join.links(s, t, 90):
                 continue
             often = set(rng.permutation(s)[: int(rng.integers(0, n + 1))].tolist())
-            keys = [set(jaccard_join.prefix_keys(x, np.array([v in often for v in x.tolist()], bool), 90).tolist()) for x in (s, t)]
+            keys = [set(jaccard_join.prefix_keys(x, np.array([v in often for v in x.tolist()], bool), 90)[0].tolist()) for x in (s, t)]
             assert (s.tolist() == t.tolist()) or keys[0] & keys[1]
             assert jaccard_join.may_link(jaccard_join.sketch(s), jaccard_join.sketch(t), 90)
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); set here only where unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,10 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH_ROWS rows at a time, unless the session has a setting
+    of its own: whole texts come with them, and workers keep what they once took."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: its lineage
     ends there, and a lost executor costs only a second read."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/gistmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,6 +77,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     largest; of repeated documents one row is kept.  The second result counts
     all labelled ids by class, for undoing the balance of the sample.
     """
+    small_batches(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
     ids = ids.where(fold(F.col("doc_id")) != left_out)
     picked = [first_by_hash(ids.where(F.col("label") == v), per_class, "doc_id") for v in (0, 1)]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import table
+from gistmill.llm.common import small_batches, table
 from gistmill.llm.kernel import LOWER, NOT_LETTER, Lookup, buffers, columns, groups, hashes, mix, strings, words
 
 MAX_EDIT = 0.1
@@ -289,6 +289,7 @@ def _clean(block, max_edit: float):
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = MAX_EDIT) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
+    small_batches(docs.sparkSession)
     for block in _blocks(items):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), max_edit), docs.schema)
     return docs

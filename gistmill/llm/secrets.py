@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.llm.common import small_batches
 from gistmill.llm.kernel import buffers, columns, groups, strings, words
 from gistmill.llm.toxicity import platt
 
@@ -271,6 +272,7 @@ def _digests(model):
 
 
 def _send(docs: DataFrame, model: Model | None):
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(pickle.dumps(model or train()))
 
 

@@ -1,21 +1,20 @@
-"""Benchmark decontamination by random-walk embedding and bit sampling.
+"""Benchmark decontamination by exact pieces and exact edit distance.
 
 Texts and items are normalised to words (runs of letters and digits, A-Z
-lowered).  The CGK walk reads a word sequence: at step j it emits the word under
-the pointer and moves on by one bit of that word's hash, so that sequences a few
-edits apart fall back into step and their emissions differ in few places: edit
-distance becomes Hamming distance.  A window of an item's size starts at every
-word of every text.  Bit sampling takes SAMPLES emitted places of a walk as a
-key, REPEATS times in each of WALKS independent walks; a window whose key equals
-an item's is a candidate.  Item lengths fall into doubling classes; a class
-samples as many steps as its shortest item has words, so an emission nearly
-always lies in the item.
-
-A candidate goes on when at least MIN_EQUAL of the emitted places of one walk agree
-with the item's (its Hamming distance).  It is then verified exactly: the least edit distance, in characters,
-between the normalised item and any stretch of the normalised text about the
-window, by a bit-parallel automaton on whole-number arithmetic.  A text holds an
-item when that distance is at most floor(max_edit * item length).
+lowered).  A text holds an item when the least edit distance, in characters,
+between the normalised item and any stretch of the normalised text is at most
+most = floor(max_edit * item length).
+
+Candidates are found without loss.  An item is cut into most + NEEDED equal
+pieces over its whole length (most + 1 where most is under NEEDED_FROM); an edit
+spoils one piece at most, so a copy holds NEEDED of them unchanged, and the starts
+of the item that these imply differ by at most `most`.  Every place of every text
+is looked up among the pieces of all items (at most PIECE characters of each);
+hits of an item without enough others near them go.  What is left is verified
+exactly: a test of shared GRAM-character stretches, then a bit-parallel automaton
+on whole-number arithmetic over all the text that a copy about the hits can touch.
+So each held item is found, at its least distance, whatever its length and
+wherever its edits are.
 
 Cost: a text is read once, without a shuffle, for each block of at most
 BLOCK_ITEMS items and BLOCK_BYTES bytes; only such a block is ever broadcast, and
@@ -38,17 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.common import small_batches, table
-from gistmill.llm.kernel import LOWER, NOT_LETTER, Lookup, buffers, columns, groups, hashes, mix, strings, words
+from gistmill.llm.kernel import LOWER, NOT_LETTER, Lookup, buffers, columns, groups, strings, words
 
 MAX_EDIT = 0.1
-WALKS = 2
-REPEATS = 5
-SAMPLES = 3
-MIN_EQUAL = 0.4
+NEEDED = 2
+NEEDED_FROM = 4
+PIECE = 16
 GRAM = 4
-LONGEST_CLASS = 64
+GROUP_BYTES = 256 << 10
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -86,150 +85,120 @@ def grams(text: str) -> list[str]:
     return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
 
 
-def _class(n: int) -> int:
-    return min(LONGEST_CLASS, 1 << (n.bit_length() - 1))
+def pieces(m: int, most: int) -> tuple[int, np.ndarray, int]:
+    """(length, offsets, how many a copy holds) of the pieces of an item of m characters."""
+    needed = NEEDED if most >= NEEDED_FROM else 1
+    n = min(most + needed, m)
+    return min(m // n, PIECE), np.arange(n) * m // n, needed
 
 
-def plan(size: int) -> list[list[list[int]]]:
-    """For a class: by walk and repeat, the sampled steps."""
-    out = []
-    for walk in range(WALKS):
-        rng = np.random.default_rng([size, walk])
-        out.append([sorted(rng.choice(size, min(SAMPLES, size), replace=False).tolist()) for _ in range(REPEATS)])
-    return out
+def keys(chars: np.ndarray, lengths) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, keys of the stretches of that length from each place), shortest first;
+    zeros follow the last character."""
+    n = len(chars)
+    padded = np.concatenate([chars, np.zeros(max(lengths, default=0), np.uint64)])
+    out = np.zeros(n, np.uint64)
+    for j in range(max(lengths, default=0)):
+        out += padded[j : j + n]
+        out *= _ODD
+        if j + 1 in lengths:
+            yield j + 1, out
 
 
-def _factor(walk: int, repeat: int, nth: int, size: int) -> np.uint64:
-    return mix(np.array([1 + nth + 16 * repeat + 4096 * walk + (size << 24)], np.uint64))[0] | np.uint64(1)
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 class Index:
-    """Keys of a block of items, and the walk over texts."""
+    """Pieces of a block of items, and the search of texts."""
 
     def __init__(self, items: list[tuple], max_edit: float):
         arr = strings(pa.array([t for _, t in items], pa.string()))
         data, off = buffers(arr)
         starts, ends, at = words(data, off, NOT_LETTER)
-        h = hashes(data, starts, ends)
         raw = data.tobytes().translate(_LOWER)
         self.items: list[tuple] = []
-        held: dict[int, list[np.ndarray]] = defaultdict(list)
+        held: dict[int, list[tuple]] = defaultdict(list)
         for i, (item_id, _) in enumerate(items):
             a, b = at[i], at[i + 1]
             if a == b:
                 continue
             text = b" ".join(raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
-            held[_class(int(b - a))].append(np.array([len(self.items), a, b]))
-            self.items.append((item_id, text, int(b - a), int(max_edit * len(text)), grams(text)))
-        self.plans = {size: plan(size) for size in held}
-        keys, owners = [], []
-        self.size = np.zeros(len(self.items), np.int64)
-        self.emitted = np.zeros((WALKS, len(self.items), LONGEST_CLASS), np.uint64)
-        for size, some in held.items():
-            for item, a, b in some:
-                self.size[item] = min(b - a, LONGEST_CLASS)
-                for key in self.walk(h[a:b], {size: self.plans[size]}, 1):
-                    keys.append(key[1][0])
-                    owners.append(item)
-                for walk in range(WALKS):
-                    for j, out in self.emissions(h[a:b], np.zeros(1, np.int64), walk, int(self.size[item])):
-                        self.emitted[walk, item, j] = out[0]
-        keys, owners = np.array(keys, np.uint64), np.array(owners, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.lookup = Lookup(np.unique(keys))
-        self.owners = owners[order]
-        self.first = np.searchsorted(keys[order], self.lookup.keys)
-        self.last = np.searchsorted(keys[order], self.lookup.keys, "right")
-
-    @staticmethod
-    def walk(h: np.ndarray, plans: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, keys) by walk and repeat for the windows that start at the first n words."""
-        longest = max(plans)
-        h = np.concatenate([h, np.zeros(longest + 1, np.uint64)])
-        for walk in range(WALKS):
-            takes: dict[int, list] = defaultdict(list)
-            keys = {}
-            for size, by_walk in plans.items():
-                for r, steps in enumerate(by_walk[walk]):
-                    keys[size, r] = np.full(n, _factor(walk, r, 15, size), np.uint64)
-                    for nth, j in enumerate(steps):
-                        takes[j].append((size, r, _factor(walk, r, nth, size)))
-            bits = h if walk == 0 else mix(h + np.uint64(walk))
-            move = np.arange(n)
-            one = np.uint64(1)
-            for j in range(max(takes) + 1):
-                for size, r, f in takes.get(j, ()):
-                    keys[size, r] += h[move] * f
-                move += ((bits[move] >> np.uint64(j % 64)) & one).astype(np.int64)
-            for (size, _), k in keys.items():
-                yield size, k
-
-    @staticmethod
-    def emissions(h: np.ndarray, at: np.ndarray, walk: int, steps: int) -> Iterator[tuple[int, np.ndarray]]:
-        """By step, the words that a walk emits from each of some windows."""
-        h = np.concatenate([h, np.zeros(steps + 1, np.uint64)])
-        bits = h if walk == 0 else mix(h + np.uint64(walk))
-        move = at.copy()
-        for j in range(steps):
-            yield j, h[move]
-            move += ((bits[move] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-
-    def near(self, h: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether the Hamming distance of windows and items is small in some walk."""
-        best = np.zeros(len(at))
-        size = self.size[item]
-        for walk in range(WALKS):
-            equal = np.zeros(len(at))
-            for j, out in self.emissions(h, at, walk, int(size.max())):
-                equal += (out == self.emitted[walk, item, j]) & (j < size)
-            best = np.maximum(best, equal / size)
-        return best >= MIN_EQUAL
+            most = int(max_edit * len(text))
+            length, offsets, needed = pieces(len(text), most)
+            found = next(k for n, k in keys(_chars(text), {length}))[offsets]
+            held[length].append((found, np.full(len(offsets), len(self.items)), offsets))
+            self.items.append((item_id, text, most, needed))
+        self.most = np.array([i[2] for i in self.items], np.int64)
+        self.alone = np.array([i[3] == 1 for i in self.items], bool)
+        self.by_length = {}
+        for length, some in held.items():
+            found, owner, offset = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(found, kind="stable")
+            lookup = Lookup(np.unique(found))
+            first, last = (np.searchsorted(found[order], lookup.keys, side) for side in ("left", "right"))
+            self.by_length[length] = lookup, first, last, owner[order], offset[order]
+
+    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start), in order: where pieces put an item's start, those with
+        enough other pieces about them."""
+        item, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for length, found in keys(chars, self.by_length):
+            lookup, first, last, owner, offset = self.by_length[length]
+            hit = lookup.find(found)
+            place = np.flatnonzero(hit >= 0)
+            a, n = first[hit[place]], last[hit[place]] - first[hit[place]]
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+            item.append(owner[each])
+            start.append(np.repeat(place, n) - offset[each])
+        item, start = np.concatenate(item), np.concatenate(start)
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        close = (item[1:] == item[:-1]) & (np.diff(start) <= self.most[item[1:]])
+        keep = self.alone[item]
+        keep[1:] |= close
+        keep[:-1] |= close
+        return item[keep], start[keep]
 
     def find(self, arr: pa.Array) -> Iterator[tuple[int, int, int]]:
-        """(row, item number, distance) of a group of texts: the least distance
-        found for each item in each text."""
+        """(row, item number, distance) of a group of texts: the least distance of
+        each item that a text holds."""
         if not self.items:
             return
         data, off = buffers(arr)
         starts, ends, at = words(data, off, NOT_LETTER)
         if not len(starts):
             return
-        h = hashes(data, starts, ends)
-        pairs = [np.zeros(0, np.int64)]
-        for _, keys in self.walk(h, self.plans, len(h)):
-            hit = self.lookup.find(keys)
-            at_word = np.flatnonzero(hit >= 0)
-            a, n = self.first[hit[at_word]], self.last[hit[at_word]] - self.first[hit[at_word]]
-            owner = self.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
-            pairs.append(owner * len(h) + np.repeat(at_word, n))
-        pairs = np.unique(np.concatenate(pairs))
-        if not len(pairs):
-            return
-        pairs = pairs[self.near(h, pairs % len(h), pairs // len(h))]
         # the normalised text of the group: words with a space after each
         length = ends - starts
         inside = ~NOT_LETTER[data]
         normal = np.full(int(length.sum()) + len(length), 32, np.uint8)
         normal[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = LOWER[data[inside]]
-        begin = np.cumsum(np.append(0, length + 1))
+        text = normal.tobytes().decode()
+        begin = np.cumsum(np.append(0, length + 1))[at]
+        begin = np.append(0, np.cumsum((normal & 0xC0) != 0x80))[begin]  # where rows begin, in characters
         best: dict[tuple[int, int], int] = {}
-        read_to: dict[tuple[int, int], int] = {}
-        for item, w in zip((pairs // len(h)).tolist(), (pairs % len(h)).tolist(), strict=True):
-            _, text, n, most, own = self.items[item]
-            row = int(np.searchsorted(at, w, "right")) - 1
-            if best.get((row, item)) == 0 or read_to.get((row, item), -1) >= w:
-                continue
-            slack = most // 2 + 2
-            lo, hi = max(at[row], w - slack), min(at[row + 1], w + n + slack)
-            read_to[row, item] = w + slack // 2
-            near = normal[begin[lo] : begin[hi] - 1].tobytes().decode("utf-8", "replace")
-            held = set(grams(near))
-            if sum(g in held for g in own) < len(own) - GRAM * most:
-                continue  # each edit spoils at most GRAM stretches, so the distance is over `most`
-            d = infix_distance(text, near, most)
-            if d is None:
-                continue
-            best[row, item] = min(d, best.get((row, item), d))
+        item, start = self.hits(_chars(text))
+        size = np.array([len(i[1]) for i in self.items], np.int64)[item]
+        lo, hi = start - self.most[item], start + size + self.most[item]
+        # one stretch of text for hits of an item that overlap
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        cut = np.flatnonzero(new)
+        for i, a, b in zip(item[cut].tolist(), lo[cut].tolist(), hi[np.append(cut[1:], len(item)) - 1].tolist() if len(item) else [], strict=True):
+            _, own, most, _ = self.items[i]
+            row = max(int(np.searchsorted(begin, a, "right")) - 1, 0)
+            while row < len(at) - 1 and begin[row] < b:
+                near = text[max(a, begin[row]) : max(0, min(b, begin[row + 1] - 1))]  # an empty row has none
+                row += 1
+                if len(near) < len(own) - most or best.get((row - 1, i)) == 0:
+                    continue
+                held, parts = set(grams(near)), grams(own)
+                if sum(g in held for g in parts) < len(parts) - GRAM * most:
+                    continue  # each edit spoils at most GRAM stretches, so the distance is over `most`
+                d = infix_distance(own, near, most)
+                if d is not None:
+                    best[row - 1, i] = min(d, best.get((row - 1, i), d))
         yield from ((row, item, d) for (row, item), d in best.items())
 
 
@@ -252,7 +221,7 @@ def _scan(block, max_edit: float):
             ids, text = columns(batch, "doc_id", "text")
             arr = strings(text)
             rows, items, dist = [], [], []
-            for lo, hi in groups(arr, 512 << 10):
+            for lo, hi in groups(arr, GROUP_BYTES):
                 for row, item, d in index.find(arr.slice(lo, hi - lo)):
                     rows.append(lo + row)
                     items.append(index.items[item][0])
@@ -279,7 +248,7 @@ def _clean(block, max_edit: float):
         for batch in batches:
             arr = strings(batch.column(batch.schema.get_field_index("text")))
             keep = np.ones(len(arr), bool)
-            for lo, hi in groups(arr, 512 << 10):
+            for lo, hi in groups(arr, GROUP_BYTES):
                 for row, _, _ in index.find(arr.slice(lo, hi - lo)):
                     keep[lo + row] = False
             yield batch.filter(pa.array(keep))

@@ -180,6 +180,37 @@ def test_item_blocks_are_all_searched(spark, rows, monkeypatch):
     assert got == {(i, i) for i in range(5)}
 
 
+@pytest.mark.parametrize("n", [6, 12, 40, 200, 400])
+@pytest.mark.parametrize("place", ["head", "tail", "middle", "scattered words", "scattered letters"])
+def test_decontamination_finds_copies_at_the_limit(n, place):
+    rng = np.random.default_rng(n)
+    lost = []
+    for trial in range(8):
+        w = [("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), int(rng.integers(2, 9))))) for _ in range(n)]
+        item = " ".join(w)
+        most = len(item) // 10
+        if place == "scattered letters":
+            chars = list(item)
+            for i in rng.choice([i for i, c in enumerate(chars) if c != " "], most, replace=False):
+                chars[i] = "0"
+            copy = "".join(chars)
+        else:
+            order = {"head": range(n), "tail": range(n - 1, -1, -1), "middle": range(n // 3, n), "scattered words": rng.permutation(n)}[place]
+            copy, spent = list(w), 0
+            for i in order:
+                if spent + len(w[i]) > most:
+                    break
+                spent += len(w[i])
+                copy[i] = "0" * len(w[i])
+            copy = " ".join(copy)
+        text = f"Lead words, {copy} and a tail"
+        got = list(decontamination.Index([(7, item)], 0.1).find(kernel.strings(pa.array(["é none here", text, copy[: len(copy) // 3]]))))
+        want = decontamination.infix_distance(item, f"lead words {copy} and a tail", most)
+        assert want is not None
+        lost += [] if got == [(1, 0, want)] else [(trial, got, want)]
+    assert not lost
+
+
 # 3: search --------------------------------------------------------------------------
 def brute_search(texts, asked, k):
     tokens = [WORD.findall((t or "").translate(LOW)) for t in texts]

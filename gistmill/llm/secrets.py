@@ -5,14 +5,15 @@ are dropped: `assign` (a secret's name, a sign and a value of 6 or more
 characters), `access` (AKIA and 20 or more characters in all) and `hex` (24 or
 more lower-case hexadecimal digits).  Base spans always stay.
 
-Every candidate - each base span, and each run of 16 or more token characters
-with two or more digits that no base span touches - is scored with CONTEXT bytes
+Every candidate - each base span, and each run of 16 or more token characters,
+with and without inner dots, that outreaches base spans - is scored with CONTEXT bytes
 on both sides by a network in numpy: byte embeddings, filters WIDTH bytes wide
 over the whole candidate and its surroundings, maximum and mean pools, a logistic
 layer.  Runs at or over the threshold add spans of the kind `model`.  Training
 takes labelled findings (before, candidate, after, label), by default generated
-ones with a fixed seed; a held-out part calibrates the scores and sets the
-highest threshold that keeps a recall of MIN_RECALL.
+ones with a fixed seed; a held-out part calibrates the scores and, passed through
+the candidate search as texts, sets the highest threshold that keeps a recall of
+MIN_RECALL: a secret that no candidate covers counts as missed.
 
 Spans are code points with an exclusive end.  Defined cases: a null text is
 empty; an empty text has no span; repeated rows are scanned each; extra columns
@@ -51,8 +52,8 @@ _HEX = re.compile(rb"[0-9a-f]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RUN_GAP = np.ones(256, bool)
 _RUN_GAP[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")] = False
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_DOTTED_GAP = _RUN_GAP.copy()
+_DOTTED_GAP[46] = False
 
 
 def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str, int]]:
@@ -61,11 +62,16 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str,
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: "".join(str(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "st", "ou", "ie", "que", "ment", "ung"])) for _ in range(int(rng.integers(1, 5))))
+    vowel = ["a", "e", "i", "o", "u", "y", "ie", "ou", "ea", "ei", "au", "ai"]
+    onset = ["b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "br", "ch", "cr", "dr", "fl", "gr", "ll", "pl", "pr", "qu", "rr", "sch", "sh", "sp", "st", "th", "tr", "z", ""]
+    coda = ["", "", "", "n", "r", "s", "t", "l", "m", "nd", "ng", "nt", "st", "ck", "rt", "ss", "mb"]
+    said = lambda: "".join(str(rng.choice(x)) for x in (onset, vowel, coda))
+    long = lambda parts: "".join(str(rng.choice([word(), said()])) for _ in range(parts))
     prose = lambda: " ".join(word() for _ in range(int(rng.integers(2, 6))))
     out = []
     for _ in range(n):
         k = int(rng.integers(18, 64))
-        body = [lambda: pick(lower + upper + digits, k), lambda: pick(lower + upper + digits + "+/", k) + "==", lambda: pick("0123456789abcdef", k), lambda: pick(upper + digits, k), lambda: "sk-" + pick(lower + upper + digits, k), lambda: pick(lower + digits, k)][int(rng.integers(6))]()
+        body = [lambda: pick(lower + upper + digits, k), lambda: pick(lower + upper + digits + "+/", k) + "==", lambda: pick("0123456789abcdef", k), lambda: pick(upper + digits, k), lambda: "sk-" + pick(lower + upper + digits, k), lambda: pick(lower + digits, k), lambda: pick(lower + upper, k), lambda: pick(lower + upper + digits, k // 2) + "." + pick(lower + upper + digits, k // 2)][int(rng.integers(8))]()
         lead = ["", "key ", "Bearer ", "auth: ", "credential=", "private ", '"', "id_token: "][int(rng.integers(8))]
         out.append((prose() + " " + lead, body, " " + prose(), 1))
     for _ in range(n):
@@ -78,7 +84,15 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str,
             lambda: "-" * 12 + str(int(rng.integers(10, 999))) + "-" * 12,
             lambda: word().title() + word().title() + word().title() + word().title() + str(int(rng.integers(10, 99))),
             lambda: "".join(str(i % 10) for i in range(int(rng.integers(16, 32)))),
-        ][int(rng.integers(8))]()
+            lambda: long(int(rng.integers(4, 9))),
+            lambda: long(int(rng.integers(4, 9))).capitalize(),
+            lambda: "-".join(long(2) for _ in range(int(rng.integers(2, 5)))),
+            lambda: "/".join(long(1) for _ in range(int(rng.integers(3, 7)))),
+            lambda: ".".join(long(2) for _ in range(int(rng.integers(2, 5)))),
+            lambda: "".join(long(1).title() for _ in range(int(rng.integers(3, 6)))),
+            lambda: str(rng.choice(["-", "=", "_", "/"])) * int(rng.integers(16, 60)),
+            lambda: long(int(rng.integers(5, 9))).upper(),
+        ][int(rng.integers(16))]()
         lead = ["", "see ", "page ", "http://", "file ", "ref=", '"', "in "][int(rng.integers(8))]
         out.append((prose() + " " + lead, body if len(body) >= MIN_RUN else body + "-" * (MIN_RUN - len(body)), " " + prose(), 0))
     return out
@@ -132,9 +146,15 @@ def train(found: list[tuple[str, str, str, int]] | None = None, *, epochs: int =
     found = labelled_findings() if found is None else found
     rng = np.random.default_rng(seed)
     pieces = []
+    covers = []  # by finding: the candidates of the search that cover it, None where base spans do
     for before, body, after, _ in found:
         b, c, a = before.encode(), body.encode(), after.encode()
-        pieces.append(piece(b + c + a, len(b), len(b) + len(c)))
+        text, s, e = b + c + a, len(b), len(b) + len(c)
+        ((base, runs),) = candidates(*buffers(strings(pa.array([text.decode()]))))
+        over = [piece(text, x, y) for x, y in runs if x <= s and e <= y]
+        covers.append(None if outreached(s, e, base) is False else over)
+        # as the search meets it, where it does
+        pieces.append(over[0] if over else piece(text, s, e))
     y = np.array([f[3] for f in found], float)
     held = rng.random(len(y)) < 0.25
     emb = rng.normal(0, 0.5, (256, DIM))
@@ -172,8 +192,9 @@ def train(found: list[tuple[str, str, str, int]] | None = None, *, epochs: int =
             model = Model(np.einsum("vd,jdf->vjf", params[0], params[1]), params[2], params[3], float(params[4][0]))
     raw = model.raw([pieces[i] for i in np.flatnonzero(held)])
     model.scale = platt(raw, y[held], np.ones(int(held.sum())))
-    good = np.sort(model.score([pieces[i] for i in np.flatnonzero(held & (y == 1))]))
-    model.threshold = float(good[int((1 - MIN_RECALL) * len(good))]) if len(good) else 0.5
+    secrets = [covers[i] for i in np.flatnonzero(held & (y == 1))]
+    good = np.sort([2.0 if x is None else max(model.score(x), default=-1.0) for x in secrets])
+    model.threshold = float(np.clip(good[int((1 - MIN_RECALL) * len(good))], 0, 1)) if len(good) else 0.5
     return model
 
 
@@ -188,39 +209,56 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def scan(arr: pa.Array, model: Model) -> Iterator[list[tuple[int, int, int, float]]]:
-    """For each text of a group, in order: (start, end, kind, score) in code points."""
-    data, off = buffers(arr)
+def outreached(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether start..end holds a byte under no base span."""
+    for s, e, _ in sorted(base):
+        if s > start:
+            break
+        start = max(start, e)
+    return start < end
+
+
+def candidates(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int]]]]:
+    """For each text, in order: its base findings, and the token runs that outreach them, in bytes."""
     starts, ends, at = words(data, off, _RUN_GAP)
     long = np.flatnonzero(ends - starts >= MIN_RUN)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int64)))
     by_text = np.searchsorted(long, at)
-    spans: list[list[tuple[int, int, int]]] = []
-    asked, where = [], []
+    starts_d, ends_d, at_d = words(data, off, _DOTTED_GAP)
+    long_d = np.flatnonzero(ends_d - starts_d >= MIN_RUN)
+    by_text_d = np.searchsorted(long_d, at_d)
     for i in range(len(off) - 1):
         lo, hi = int(off[i]), int(off[i + 1])
         runs = [(int(starts[x]) - lo, int(ends[x]) - lo) for x in long[by_text[i] : by_text[i + 1]]]
-        text = None
         found: list[tuple[int, int, int]] = []
-        assign = data[lo:hi].tobytes()
-        if b":" in assign or b"=" in assign:
-            found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(assign.translate(_LOWER)) if m.end(2) - m.start(2) >= 6]
+        text = data[lo:hi].tobytes()
+        if b":" in text or b"=" in text:
+            found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text.translate(_LOWER)) if m.end(2) - m.start(2) >= 6]
         for s, e in runs:  # digits and capitals of the other kinds lie within such runs
-            run = assign[s:e]
+            run = text[s:e]
             if b"AKIA" in run:
                 found += [(s + m.start(), s + m.end(), 1) for m in _ACCESS.finditer(run) if m.end() - m.start() >= 20]
             if e - s >= 24:
                 found += [(s + m.start(), s + m.end(), 2) for m in _HEX.finditer(run) if m.end() - m.start() >= 24]
-        base = len(found)
-        for s, e in runs:
-            if digits[lo + e] - digits[lo + s] >= 2 and not any(s < y and x < e for x, y, _ in found[:base]):
-                found.append((s, e, 3))
-        found.sort(key=lambda f: (f[0], f[2]))
-        text = assign
+        for x in long_d[by_text_d[i] : by_text_d[i + 1]]:
+            s, e = int(starts_d[x]) - lo, int(ends_d[x]) - lo
+            run = text[s:e]
+            s, e = s + len(run) - len(run.lstrip(b".")), e - len(run) + len(run.rstrip(b"."))
+            if e - s >= MIN_RUN and b"." in text[s:e]:
+                runs.append((s, e))
+        yield found, [(s, e) for s, e in runs if not found or outreached(s, e, found)]
+
+
+def scan(arr: pa.Array, model: Model) -> Iterator[list[tuple[int, int, int, float]]]:
+    """For each text of a group, in order: (start, end, kind, score) in code points."""
+    data, off = buffers(arr)
+    asked, where = [], []
+    for i, (found, runs) in enumerate(candidates(data, off)):
+        found = sorted([*found, *((s, e, 3) for s, e in runs)], key=lambda f: (f[0], f[2], f[1]))
+        if found:
+            text = data[off[i] : off[i + 1]].tobytes()
         for f in found:
             asked.append(piece(text, f[0], f[1]))
             where.append((i, f))
-        spans.append(found)
     scores = model.score(asked) if asked else np.zeros(0)
     by_row: dict[int, list] = {}
     for (i, f), s in zip(where, scores, strict=True):

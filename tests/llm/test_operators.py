@@ -335,6 +335,31 @@ def test_network_recall_and_precision(secret_model):
     assert hit[y == 1].mean() > 0.95 and hit[y == 0].mean() < 0.1
 
 
+def test_scan_finds_secrets_without_digits_and_beyond_base_spans(secret_model):
+    rng = np.random.default_rng(21)
+    chars = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    pick = lambda some, k: "".join(rng.choice(list(some), k))
+    keys = [pick(chars[:52], int(rng.integers(18, 40))) for _ in range(100)]  # letters only
+    keys += [pick(chars, 10) + "G" + pick("0123456789abcdef", 26) + "Z" + pick(chars, 10) for _ in range(100)]  # round a base span
+    keys += [pick(chars, 12) + "." + pick(chars, 12) for _ in range(100)]  # short parts
+    texts = [f"the key {key} was there" for key in keys]
+    spans = secrets.scan(kernel.strings(pa.array(texts)), secret_model)
+    whole = np.array([key not in (got := secrets.redact(t, s)) and got == f"the key {secrets.MARK} was there" for key, t, s in zip(keys, texts, spans, strict=True)])
+    assert all(whole[i : i + 100].mean() >= 0.9 for i in (0, 100, 200)), [whole[i : i + 100].mean() for i in (0, 100, 200)]
+
+
+def test_recall_holds_for_the_scan(secret_model):
+    fresh = secrets.labelled_findings(600, seed=77)
+    texts = [b + c + a for b, c, a, _ in fresh]
+    spans = secrets.scan(kernel.strings(pa.array(texts)), secret_model)
+    got = []
+    for (before, body, _, y), found in zip(fresh, spans, strict=True):
+        left = set(range(len(before), len(before) + len(body))) - {i for s, e, *_ in found for i in range(s, e)}
+        got.append((y, not left))
+    hit, false = (np.mean([ok for v, ok in got if v == y]) for y in (1, 0))
+    assert hit > 0.96 and false < 0.1, (hit, false)
+
+
 def test_redaction(spark, rows, secret_model):
     got = dict(rows(secrets.without_secrets(docs_of(spark, SECRETS), secret_model), "doc_id", "text"))
     assert got[0] == f"é {secrets.MARK} ok" and got[9] is None and got[10] == ""

@@ -12,8 +12,10 @@ the class, then of the word in the class.  Other words are one token, unknown,
 times their share among such words in training where they are among the HOT
 words, plus what is left times the probability of their spelling under a
 byte-pair chain with an end, so every text has a proper probability.  Truncated backpropagation in numpy trains
-it on the driver over whole texts of a bounded sample of training documents
-(TRAIN_DOCS, the first by a hash of the id).  Scoring runs documents through
+it on every training text: from a start on the driver (TRAIN_DOCS documents, the
+first by a hash of the id) each task goes on over all texts of its own partition,
+and the weights are averaged by tokens; byte pairs are counted over all of them.  Weights hang on how
+the input is partitioned, as sums of floats do.  Scoring runs documents through
 lanes, window by window; a lane carries its state across windows and starts anew
 with each document, so a log-likelihood is that of the complete document.
 
@@ -43,6 +45,8 @@ HIDDEN = 24
 DIM = 16
 HOT = 131_072
 TRAIN_DOCS = 1_200
+PASS_RATE = 0.004
+CHUNKS = 32
 WINDOW = 32
 LANES = 256
 END_HASH = np.uint64(0x5EED0F7E17E17E15)
@@ -110,12 +114,23 @@ class Model:
         out[ok] = self.ids[pos[ok]]
         return out
 
-    def fit_spelling(self, pieces: list[bytes]) -> None:
-        """Byte-pair chain of the unknown words, from a start (256) to an end (256)."""
-        n = np.full((257, 257), 0.02)
-        for x in pieces:
-            a = np.frombuffer(x, np.uint8).astype(np.int64)
-            np.add.at(n, (np.append(256, a), np.append(a, 256)), 1)
+    @staticmethod
+    def byte_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts of byte pairs of words, from a start (256) to an end (256)."""
+        n = np.zeros(257 * 257)
+        for at in range(0, len(starts), 1 << 16):
+            s, size = starts[at : at + (1 << 16)], ends[at : at + (1 << 16)] - starts[at : at + (1 << 16)]
+            # each word with a place after it for the end, and the end of the word before as its start
+            chars = np.full(int(size.sum()) + len(s) + 1, 256, np.int64)
+            word = np.repeat(np.arange(len(s)), size)
+            place = np.arange(int(size.sum()))
+            chars[1 + place + word] = LOWER[data[place - np.repeat(np.cumsum(size) - size, size) + s[word]]]
+            n += np.bincount(chars[:-1] * 257 + chars[1:], minlength=257 * 257)
+        return n.reshape(257, 257)
+
+    def fit_spelling(self, n: np.ndarray) -> None:
+        """Chain of the unknown words from counts of their byte pairs."""
+        n = n + 0.02
         self.spell = np.log(n / n.sum(1, keepdims=True))
 
     def spelling(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -209,32 +224,35 @@ class Model:
         g["b"], g["w"], g["e"] = by_token.sum(0), p["e"].T @ by_token, by_token @ p["w"].T
         return g, last, float(loss) / len(want)
 
-    def train(self, texts: list[np.ndarray], *, epochs: int = 2, lanes: int = 48, window: int = 20, seed: int = 2) -> list[float]:
-        """texts: token ids without the end; returns the loss by window."""
+    def train(self, texts: list[np.ndarray], *, epochs: int = 2, lanes: int = 48, window: int = 20, seed: int = 2, first: float = 0.01, last: float = 0.002, state: dict | None = None) -> list[float]:
+        """texts: token ids without the end; returns the loss by window.  The rate
+        falls from first to last; `state` carries the moments to a next call."""
         if not texts:
             return []
         rng = np.random.default_rng(seed)
-        mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step, losses = 0, []
+        state = {} if state is None else state
+        mom = state.setdefault("mom", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        step, losses = state.get("step", 0), []
         for epoch in range(epochs):
             stream = np.concatenate([np.array([END], np.int32), *(np.append(texts[i], END).astype(np.int32) for i in rng.permutation(len(texts)))])
-            width = max(1, (len(stream) - 1) // lanes)
             used = min(lanes, len(stream) - 1)
-            x = stream[: used * width].reshape(used, width)
-            y = stream[1 : used * width + 1].reshape(used, width)
+            width = -(-(len(stream) - 1) // used)
+            x = np.resize(stream[:-1], (used, width))  # filled up from the front
+            y = np.resize(stream[1:], (used, width))
             h = np.zeros((used, HIDDEN), np.float32)
             for a in range(0, width, window):
                 g, h, loss = self.gradients(x[:, a : a + window], y[:, a : a + window], h)
                 losses.append(loss)
                 step += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                rate = 0.01 * (1 - 0.8 * (epoch + a / width) / epochs)
+                rate = first + (last - first) * (epoch + a / width) / epochs
                 for k, v in g.items():
                     m, s = mom[k]
                     v *= min(1.0, 1.0 / max(norm, 1e-9))
                     m += 0.1 * (v - m)
                     s += 0.001 * (v * v - s)
                     self.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+        state["step"] = step
         return losses
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -322,21 +340,64 @@ def _score(sent, z: float, others: float):
     return run
 
 
-def fit(training: DataFrame, vocab: np.ndarray) -> Model:
-    """Train on whole texts of at most TRAIN_DOCS rows."""
-    model = Model(vocab)
-    ids = F.broadcast(first_by_hash(training.where("doc_id is not null").select("doc_id").distinct(), TRAIN_DOCS, "doc_id"))  # TRAIN_DOCS ids
-    some = training.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").toArrow().sort_by("doc_id")
-    arr = strings(some["text"])
-    texts, odd = [], []
+def _encoded(model: Model, arr: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Token ids of each text, and the byte pairs of unknown words."""
+    texts, pairs = [], np.zeros((257, 257))
     for lo, hi in groups(arr):
         data, off = buffers(arr.slice(lo, hi - lo))
         starts, ends, at = words(data, off)
         ids = model.tokens(hashes(data, starts, ends))
         texts += [ids[at[i] : at[i + 1]] for i in range(hi - lo)]
-        odd += [LOWER[data[starts[i] : ends[i]]].tobytes() for i in np.flatnonzero(ids == UNKNOWN)]
-    model.fit_spelling(odd)
-    model.train(texts)
+        odd = ids == UNKNOWN
+        pairs += model.byte_pairs(data, starts[odd], ends[odd])
+    return texts, pairs
+
+
+def _train(sent):
+    """(chunk, part, v): a task's weights times its tokens, then its tokens and byte pairs, in CHUNKS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, state, tokens, pairs = pickle.loads(sent.value), {}, 0, np.zeros((257, 257))
+        for batch in gathered(batches, _GROUP):
+            texts, some = _encoded(model, strings(batch.column(0)))
+            lanes = min(max(sum(map(len, texts)) // 2_000, 48), LANES)  # small inputs take more, smaller steps
+            model.train(texts, epochs=1, lanes=lanes, first=PASS_RATE, last=PASS_RATE, state=state)
+            tokens += sum(map(len, texts)) + len(texts)
+            pairs += some
+        if tokens:
+            flat = np.concatenate([*(model.p[k].reshape(-1).astype(float) * tokens for k in sorted(model.p)), [tokens], pairs.reshape(-1)])
+            cuts = np.linspace(0, len(flat), CHUNKS + 1).astype(np.int32)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([part] * CHUNKS, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["chunk", "part", "v"])
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("part")
+    total = sum(np.asarray(v.values) for v in rows["v"])
+    return pa.table({"chunk": rows["chunk"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+
+def fit(training: DataFrame, vocab: np.ndarray) -> Model:
+    """Start on whole texts of at most TRAIN_DOCS rows, then train on all rows."""
+    model = Model(vocab)
+    ids = F.broadcast(first_by_hash(training.where("doc_id is not null").select("doc_id").distinct(), TRAIN_DOCS, "doc_id"))  # TRAIN_DOCS ids
+    some = training.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").toArrow().sort_by("doc_id")
+    model.train(_encoded(model, strings(some["text"]))[0])
+    sent = training.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sums = training.select("text").mapInArrow(_train(sent), "chunk int, part int, v array<double>")
+    sums = sums.groupBy("chunk").applyInArrow(_added, "chunk int, v array<double>").toArrow().sort_by("chunk")  # CHUNKS rows
+    if not len(sums):
+        model.fit_spelling(np.zeros((257, 257)))
+        return model
+    flat = np.concatenate([np.asarray(v.values) for v in sums["v"]])
+    model.fit_spelling(flat[-257 * 257 :].reshape(257, 257))
+    tokens, at = flat[-257 * 257 - 1], 0
+    for k in sorted(model.p):
+        v = model.p[k]
+        model.p[k] = (flat[at : at + v.size] / tokens).reshape(v.shape).astype(np.float32)
+        at += v.size
     return model
 
 

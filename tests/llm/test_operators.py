@@ -457,6 +457,27 @@ def test_lm_counts_and_scores(spark, monkeypatch):
     assert got[len(texts) - 1].score == pytest.approx(got[len(texts) - 2].score)
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    monkeypatch.setattr(language_model, "TRAIN_DOCS", 4)
+    texts = [" ".join(f"w{(int(a) + i) % 40}" for i in range(200)) + f" odd{chr(97 + n % 26)}zq{n}" for n, a in enumerate(rng.integers(0, 40, 400))]
+    vocab = kernel.hashes(*(lambda d, o: (d, *kernel.words(d, o)[:2]))(*kernel.buffers(kernel.strings(pa.array([" ".join(f"w{i}" for i in range(40))])))))
+    training = docs_of(spark, texts).repartition(2)
+    model = language_model.fit(training, vocab)
+    few = common.first_by_hash(training.select("doc_id"), 4, "doc_id").collect()
+    start = language_model.Model(vocab)
+    ids = [start.tokens(kernel.hashes(d, *kernel.words(d, o)[:2])) for d, o in (kernel.buffers(kernel.strings(pa.array([texts[r.doc_id]]))) for r in few)]
+    start.train(ids)
+    all_ids = [start.tokens(kernel.hashes(d, *kernel.words(d, o)[:2])) for d, o in (kernel.buffers(kernel.strings(pa.array([t]))) for t in texts)]
+    at = np.cumsum([0, *map(len, all_ids)])
+    before, after = (m.score(np.concatenate(all_ids), at).sum() / (at[-1] + len(texts)) for m in (start, model))
+    assert after > before + 0.3, (before, after)
+    pairs = Counter(p for t in texts for w in t.split()[200:] for p in zip(w, w[1:], strict=False))
+    share = lambda a, b: pairs[a, b] / sum(n for (x, _), n in pairs.items() if x == a)
+    for a, b in (("d", "k"), ("d", "y"), ("q", "3")):  # from all texts, not from four
+        assert math.isclose(math.exp(model.spell[ord(a), ord(b)]), share(a, b), rel_tol=0.2)
+
+
 def test_lm_gradients_and_probabilities():
     model = language_model.Model(np.arange(1, 400, dtype=np.uint64))
     rng = np.random.default_rng(9)

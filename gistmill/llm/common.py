@@ -56,9 +56,11 @@ def first_by_hash(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)), *keys).limit(most)
 
 
-def largest(df: DataFrame, count: str, most: int) -> DataFrame:
+def largest(df: DataFrame, count: str, most: int, *, fill: str | None = None) -> DataFrame:
     """The rows whose count reaches the least power of two that at most `most` rows
-    reach, found from a histogram of at most 64 rows; nothing is sorted."""
+    reach, found from a histogram of at most 64 rows; nothing is sorted.  With `fill`
+    the next level gives what is still missing, by count and then by a hash of
+    that column (short by a little, never over)."""
     level = F.floor(F.log2(F.col(count))).cast("int")
     rows = sorted(((r.level, r.n) for r in df.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
     held, least = 0, 62
@@ -66,7 +68,19 @@ def largest(df: DataFrame, count: str, most: int) -> DataFrame:
         if held + n > most:
             break
         held, least = held + n, lev
-    return df.where(F.col(count) >= F.lit(1 << least).cast("long"))
+    top = F.col(count) >= F.lit(1 << least).cast("long")
+    below = [lev for lev, _ in rows if lev < least]
+    if fill is None or not below:
+        return df.where(top)
+    # counts of the next level, which has at most as many as its width and its rows
+    next_level = df.where((level == below[0]) & (F.col(count) > 0)).groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n"))
+    for c, n in sorted(((r.c, r.n) for r in next_level.collect()), reverse=True):
+        if held + n > most:
+            room = most - held
+            part = F.pmod(F.xxhash64(fill), F.lit(1 << 40)) < int(max(0.0, room - 4 * room**0.5) / n * (1 << 40))
+            return df.where(top | (F.col(count) > c) | ((F.col(count) == c) & part))
+        held += n
+    return df.where(top)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:

@@ -3,7 +3,7 @@
 Tokens of a text are its white-space words (A-Z lowered), then one end.  Counts of
 all training tokens come from a pass over every training text and a shuffle; the
 score of a document under them is a sum over all its tokens.  The HOT commonest
-words (a fixed bound) are sent to all tasks; the other words of each document
+words (a fixed bound) and the number of ends are sent to all tasks; the other words of each document
 meet their counts in a join, so nothing is approximated.
 
 The model is a gated recurrent network over the VOCAB commonest tokens.  Its
@@ -209,7 +209,7 @@ class Model:
                 dh_all[rows] += d @ p["wo"][c].T
         dh_all = dh_all.reshape(hs.shape)
         dh = np.zeros_like(h0)
-        by_token = np.zeros((VOCAB, 3 * n), np.float32)
+        by_step = np.empty((x.shape[1], len(x), 3 * n), np.float32)
         for t in range(x.shape[1] - 1, -1, -1):
             ids, h, gate, c, rn = kept[t]
             z, r = gate[:, :n], gate[:, n:]
@@ -217,10 +217,16 @@ class Model:
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (h - c) * z * (1 - z)
             dr = dc * rn * r * (1 - r)
-            np.add.at(by_token, ids, np.concatenate([dz, dr, dc], 1))
+            by_step[t] = np.concatenate([dz, dr, dc], 1)
             back = np.concatenate([dz, dr, dc * r], 1)
             g["u"] += h.T @ back
             dh = (dh * z + back @ p["u"].T) * (ids != END)[:, None]
+        by_token = np.zeros((VOCAB, 3 * n), np.float32)
+        met = x.T.reshape(-1)
+        order = np.argsort(met, kind="stable")
+        met = met[order]
+        cuts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+        by_token[met[cuts]] = np.add.reduceat(by_step.reshape(-1, 3 * n)[order], cuts)
         g["b"], g["w"], g["e"] = by_token.sum(0), p["e"].T @ by_token, by_token @ p["w"].T
         return g, last, float(loss) / len(want)
 
@@ -294,17 +300,15 @@ class Model:
         return out
 
 
-def _score(sent, z: float, others: float):
+def _score(sent, z: float, others: float, n_ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot, counts = pickle.loads(sent.value)
         hot = Lookup(hot)
         weight = np.log10((counts + 0.5) / z)
         outside = model.tokens(hot.keys) == UNKNOWN
-        outside[hot.keys == END_HASH] = False
         share = np.where(outside, counts, 0) / max(1.0, others)
         left = max(1e-3, 1 - share.sum())
-        end = hot.find(np.array([END_HASH]))[0]
-        end_weight, end_known = (weight[end], 1) if end >= 0 else (np.log10(0.5 / z), 0)
+        end_weight, end_known = np.log10((n_ends + 0.5) / z), int(n_ends > 0)
         uid = TaskContext.get().partitionId() << 33
         for batch in gathered(batches, _GROUP):
             ids, text = columns(batch, "doc_id", "text")
@@ -408,15 +412,17 @@ def scored(docs: DataFrame, *, left_out: int = 1) -> DataFrame:
     training = docs.where(fold(F.col("doc_id")) != left_out)
     counts = table(training.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = largest(counts, "c", HOT).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    end = int(np.array(END_HASH).view(np.int64))
+    ends = counts.where(F.col("h") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    top = largest(counts.where(F.col("h") != end), "c", HOT, fill="h").toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     hot, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(float)
-    common = hot[hot != END_HASH][: VOCAB - 2]
-    others = float(total - n[np.isin(hot, [*common, END_HASH])].sum())  # training tokens outside the vocabulary
+    common = hot[: VOCAB - 2]
+    others = float(total - ends - n[: VOCAB - 2].sum())  # training tokens outside the vocabulary
     model = fit(training, common)
     order = np.argsort(hot)
     z = total + 0.5 * (kinds + 1)
     sent = spark.sparkContext.broadcast(pickle.dumps((model, hot[order], n[order])))
-    rows = table(docs.mapInArrow(_score(sent, z, others), "uid long, doc_id long, n_tokens long, known long, base double, score double, tail array<long>"), "scored")
+    rows = table(docs.mapInArrow(_score(sent, z, others, ends), "uid long, doc_id long, n_tokens long, known long, base double, score double, tail array<long>"), "scored")
     rest = rows.select("uid", F.explode("tail").alias("h")).join(counts, "h", "left")
     rest = rest.groupBy("uid").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(z))).alias("more"), F.count("c").alias("met"))
     out = rows.drop("tail").join(rest, "uid", "left")

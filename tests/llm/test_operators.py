@@ -457,6 +457,36 @@ def test_lm_counts_and_scores(spark, monkeypatch):
     assert got[len(texts) - 1].score == pytest.approx(got[len(texts) - 2].score)
 
 
+def test_lm_knows_the_end_among_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HOT", 100)
+    texts = [" ".join(f"d{d}w{i}" for i in range(200)) for d in range(12)]
+    counts = spark.createDataFrame([(i, 1 if i < 600 else 3) for i in range(640)] + [(700, 8)], "h long, c long")
+    kept = [r.c for r in common.largest(counts, "c", 100, fill="h").collect()]
+    assert kept.count(8) == 1 and kept.count(3) == 40 and 1 <= kept.count(1) <= 59
+    seen = []
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda training, vocab: seen.append(len(vocab)) or fit(training, vocab))
+    got = {r.doc_id: r for r in language_model.scored(docs_of(spark, texts)).collect()}
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(12)]
+    ends = 12 - sum(held)
+    z = ends * 201 + 0.5 * (ends * 200 + 2)
+    assert 0 < seen[0] <= 100
+    for i in range(12):
+        each = math.log10((0.5 if held[i] else 1.5) / z)
+        assert got[i].n_known == (1 if held[i] else 201)
+        assert math.isclose(got[i].base_score, 200 * each + math.log10((ends + 0.5) / z), rel_tol=1e-9)
+
+
+def test_lm_ends_outnumbered_by_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HOT", 100)
+    texts = [" ".join(f"w{i}" for i in range(200))] * 3  # every word as frequent as the end
+    got = language_model.scored(docs_of(spark, texts)).collect()
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(3))
+    z = 201 * n + 0.5 * 202
+    for r in got:
+        assert r.n_known == 201 and math.isclose(r.base_score, 201 * math.log10((n + 0.5) / z), rel_tol=1e-9)
+
+
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     rng = np.random.default_rng(18)
     monkeypatch.setattr(language_model, "TRAIN_DOCS", 4)

@@ -6,10 +6,9 @@ all subdomains when the path starts with the rule's; the longest wins.
 
 For urls without a list rule, tokens (host suffixes, host labels, path segments,
 extension, query keys) are matched with association rules.  Spark's FP-growth
-mines them from labelled urls: those that a list rule judges.  The bound of the
-training set is MOST_LABELLED urls, the first by a hash.  Rules that conclude a
-label, with at least MIN_CONFIDENCE and MIN_SUPPORT, stay unless a more general
-rule of the same label is as sure; they are at most MOST_RULES, by confidence.
+mines them from labelled urls: those that a list rule judges.  Rules that
+conclude a label, with at least MIN_CONFIDENCE and MIN_SUPPORT, stay unless a more
+general rule of the same label is as sure; none is dropped for its number.
 Matching uses an inverted index: each rule hangs on its rarest token, a url meets
 the rules of its tokens, and a rule that holds all its tokens fits.  The surest
 fitting rule decides; without one the url is allowed.
@@ -32,7 +31,6 @@ LIST = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.c
 MOST_LABELLED = 50_000
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
-MOST_RULES = 1_000
 LABEL = "label="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,7 +76,7 @@ def mine(labelled: DataFrame) -> DataFrame:
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
     rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 100).alias("verdict"), "confidence", "support")
-    rules = table(rules.orderBy(F.desc("confidence"), F.size("rule_tokens"), F.desc("support"), F.array_join("rule_tokens", " ")).limit(MOST_RULES), "rules")
+    rules = table(rules, "rules")
     wide = rules.select(F.col("rule_tokens").alias("w"), F.col("verdict").alias("wv"), F.col("confidence").alias("wc"))
     # a rule goes when a proper part of it is as sure of the same verdict
     implied = (F.col("verdict") == F.col("wv")) & (F.col("wc") >= F.col("confidence")) & (F.size("w") < F.size("rule_tokens")) & (F.size(F.array_except("w", "rule_tokens")) == 0)

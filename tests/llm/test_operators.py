@@ -438,6 +438,15 @@ def test_url_lists_and_rules(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_copies_of_a_sure_rule_crowd_none_out(spark):
+    sure = [f"host=h{i:02}" for i in range(11)]  # always together: 2,047 rules at confidence 1
+    rows = [(sure, "block")] * 50 + [(["path=fr", f"path=n{i}"], "block" if i < 25 else "allow") for i in range(30)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    rules = {(tuple(r.rule_tokens), r.verdict): r.confidence for r in mined}
+    assert rules[("path=fr",), "block"] == pytest.approx(25 / 30)
+    assert all(((token,), "block") in rules for token in sure) and not [t for t, _ in rules if len(t) > 1 and "host=h00" in t]
+
+
 # 8: language model ------------------------------------------------------------------
 def test_lm_counts_and_scores(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HOT", 64)

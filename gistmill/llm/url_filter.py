@@ -6,7 +6,7 @@ all subdomains when the path starts with the rule's; the longest wins.
 
 For urls without a list rule, tokens (host suffixes, host labels, path segments,
 extension, query keys) are matched with association rules.  Spark's FP-growth
-mines them from labelled urls: those that a list rule judges.  Rules that
+mines them from all labelled urls: those that a list rule judges.  Rules that
 conclude a label, with at least MIN_CONFIDENCE and MIN_SUPPORT, stay unless a more
 general rule of the same label is as sure; none is dropped for its number.
 Matching uses an inverted index: each rule hangs on its rarest token, a url meets
@@ -24,11 +24,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import first_by_hash, table
+from gistmill.llm.common import table
 
 #: (host, path, verdict)
 LIST = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-MOST_LABELLED = 50_000
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 LABEL = "label="
@@ -69,8 +68,7 @@ def tokens(url: Column, h: Column, p: Column) -> Column:
 def mine(labelled: DataFrame) -> DataFrame:
     """rule_tokens, verdict, confidence, support, rarest from rows (tokens, verdict)."""
     spark = labelled.sparkSession
-    sample = first_by_hash(labelled, MOST_LABELLED, "tokens", "verdict")
-    baskets = table(sample.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items")), "baskets")
+    baskets = table(labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items")), "baskets")
     if baskets.isEmpty():
         return spark.createDataFrame([], "rule_tokens array<string>, verdict string, confidence double, support double, rarest string")
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)

@@ -447,6 +447,15 @@ def test_url_copies_of_a_sure_rule_crowd_none_out(spark):
     assert all(((token,), "block") in rules for token in sure) and not [t for t, _ in rules if len(t) > 1 and "host=h00" in t]
 
 
+def test_urls_of_one_pattern_are_mined_by_their_share(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_LABELLED", 60, raising=False)  # the bound of before
+    rows = [(["path=search", "query=q"], "block")] * 100 + [([f"path=p{i % 20}"], "allow") for i in range(200)]
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    support = {tuple(r.rule_tokens): r.support for r in mined}
+    assert support[("path=search",)] == pytest.approx(1 / 3)
+    assert all(support[(f"path=p{i}",)] == pytest.approx(1 / 30) for i in range(20))
+
+
 # 8: language model ------------------------------------------------------------------
 def test_lm_counts_and_scores(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HOT", 64)

@@ -518,20 +518,34 @@ def _(spark, d):
 _ENTRY_SQL = f"{LINES}, entries AS (SELECT doc_id, CASE WHEN page_index % 2 = 0 THEN 'a' ELSE 'b' END AS set_name, page_index AS page, text, lower(text) AS norm FROM lines JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))"
 
 
-def _entries(spark, d):
-    known = _read(spark, d, "labels").select("doc_id").distinct()
-    lines = segment.lines(_docs(spark, d)).join(known, "doc_id")
+def _entries(spark, d, known=None):
+    lines = segment.lines(_docs(spark, d))
+    lines = lines if known is None else lines.join(known, "doc_id")
     return lines.select("doc_id", F.when(F.col("page_index") % 2 == 0, "a").otherwise("b").alias("set_name"), F.col("page_index").alias("page"), "text")
 
 
 @query("overlap_semi_join", f"""WITH {_ENTRY_SQL}, m AS (SELECT count(*) AS matched FROM entries x WHERE set_name = 'a' AND length(norm) >= 20 AND EXISTS (SELECT 1 FROM entries y WHERE y.doc_id = x.doc_id AND y.set_name = 'b' AND length(y.norm) > 20 AND (contains(x.norm, y.norm) OR contains(y.norm, x.norm))))
 SELECT matched, total, CASE WHEN total = 0 THEN 0 ELSE matched::DOUBLE / total END AS share FROM m, (SELECT count(*) AS total FROM entries WHERE set_name = 'a')""")
+def _(spark, d):
+    # labelled documents, as in the SQL; overlap_semi_join_all takes all
+    return compare.overlap(_entries(spark, d, _read(spark, d, "labels").select("doc_id").distinct()), "a", "b", F.lower("text"))
+
+
+@query("overlap_semi_join_all")
 def _(spark, d):
     return compare.overlap(_entries(spark, d), "a", "b", F.lower("text"))
 
 
 @query("set_stats", f"""WITH {_ENTRY_SQL}, s AS (SELECT max(page) + 1 AS span FROM entries), t AS (SELECT *, least(2, floor(page * 3 / span::DOUBLE)) AS third FROM entries, s)
 SELECT set_name, count(*) AS n, count(DISTINCT page) AS pages, count(*) FILTER (third = 0) AS first_third, count(*) FILTER (third = 1) AS second_third, count(*) FILTER (third = 2) AS last_third, floor(avg(length(text)) + 0.5)::BIGINT AS mean_chars FROM t GROUP BY set_name""")
+def _(spark, d):
+    # labelled documents, as in the SQL; set_stats_all takes all
+    e = _entries(spark, d, _read(spark, d, "labels").select("doc_id").distinct())
+    span = F.broadcast(compare.page_span(e))  # one row
+    return compare.set_stats(e.join(span), F.col("span"))
+
+
+@query("set_stats_all")
 def _(spark, d):
     e = _entries(spark, d)
     span = F.broadcast(compare.page_span(e))  # one row

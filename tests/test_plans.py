@@ -49,6 +49,44 @@ def test_query_runs(spark, name):
     assert corpus_queries.queries()[name](spark, DATA).count() >= 0
 
 
+def test_run_of_several_chunks_equals_brute_force(spark):
+    config = SkimConfig(context_tokens=2048)
+    rows = [(d, s, s // (1 + 3 * d), "x" * (20 + (s * 37 + d * 11) % 90)) for d, n in ((1, 4), (2, 150), (3, 260)) for s in range(n)]
+    sents = spark.createDataFrame([(d, s, p, 0, len(t), t, "body") for d, s, p, t in rows], "doc_id long, sent_id long, page_index int, start_char int, end_char int, text string, section string")
+    want, chunk_count = set(), {}
+    for doc in (1, 2, 3):
+        left, chunk = [r for r in rows if r[0] == doc], 0
+        while left:
+            # as many sentences as fit; ended at the latest new page past 40 % of them
+            spent, fit = 0, 0
+            carried = len(left[0]) > 4 and left[0][4] or 0
+            while fit < len(left):
+                cost = lambda part: math.ceil(2 * sum(len(r[3]) + 20 for r in part) / 7)
+                spent = (cost([r[:4] for r in left[:carried]]) if carried and fit < carried else spent + cost([left[fit]]))
+                if fit < carried:
+                    fit = carried
+                    continue
+                if fit and spent > config.selection_budget:
+                    break
+                fit += 1
+            end = fit
+            if fit < len(left):
+                turns = [i for i in range(max(1, carried + 0), fit + 1) if left[i][2] != left[i - 1][2]]
+                if turns and turns[-1] > 0.4 * fit:
+                    end = turns[-1]
+            part, rest = left[:end], left[end:]
+            top = sorted(part, key=lambda r: (-(40 + len(r[3]) % 60) / 100, r[1]))[: 3 * len({r[2] for r in part})]
+            want |= {(doc, r[1], chunk, (40 + len(r[3]) % 60) / 100) for r in top}
+            if rest:
+                rest[0] = (*rest[0][:4], fit - end)  # what comes over is costed together
+            left, chunk = rest, chunk + 1
+        chunk_count[doc] = chunk
+    run = skim(sents, config)
+    got = {(r.doc_id, r.sent_id, r.chunk_id, r.confidence) for r in run.classified.collect()}
+    assert chunk_count[1] == 1 and chunk_count[2] > 2 and chunk_count[3] > 3 and run.failed.count() == 0
+    assert got == want
+
+
 @needs_data
 def test_sets_of_all_documents(spark):
     lines = corpus_queries.segment.lines(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "page_index", "text").collect()

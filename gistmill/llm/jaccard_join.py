@@ -3,26 +3,30 @@
 A text's set holds its distinct k-word shingles (A-Z lowered, words split on
 ASCII white space); with fewer words, the whole sequence is one shingle; without
 words the set is empty and links with nothing.  Two texts link when
-100 * |intersection| >= percent * |union|.
+100 * |intersection| >= percent * |union|; percent is 50 to 100.
 
 Method.  Equal sets form a class first, by a 128-bit digest, and one
 representative goes on; copies are never expanded into pairs.  Shingles that
 recur often form the frequent class and come last in the global order (class,
 hash).  A set of n shingles that needs an overlap of a takes a prefix of
-n - a + 1, extended by G.  Two linked sets then share at least G + 1 shingles
-within their extended prefixes: either one is rare, and is indexed alone, or all
-are frequent, and dealing them into G groups by hash puts two in one group, so
-the pairs inside the groups are indexed.  This holds for any choice of the
-frequent class, so that class may be bounded and approximate.
-
-Each index key first offers pairs with its smallest member only (a star); those
-that share enough keys are verified.  Keys whose members are not in one component
-then offer all pairs across components, cut by size, by an exact lower bound of the
-symmetric difference (parity bitmaps) and by the count of keys that a link needs,
-and those are verified too.  Before
-whole texts meet, sketches of a bit a shingle rule out all pairs well below the
-limit.  Every
-link is thus either verified or inside one component already.
+n - a + 1, extended by 2 G.  Two linked sets then share at least 2 G + 1 shingles
+within their extended prefixes, so G + 1 frequent ones or G + 1 others.  Dealing
+the frequent ones into G groups by hash puts two in one group, so the pairs inside
+the groups are indexed; the others are indexed alone.  This holds for any choice
+of the frequent class, so that class may be bounded and approximate.
+
+Each index key first offers pairs with its smallest member, the head (a star).
+Sketches of two to four bits a shingle tell which members may link with the head
+and which are near it, within twice the distance of a link; whole texts are compared
+for the former.  Links give components, and only keys with several components stay open.
+Distance is a metric, so in an open key a member that links with the head cannot
+link with one that is not near it: linked members meet the near ones alone, and the
+remaining members meet each other.  A single shingle that more than HOT remaining
+members share gives way to pairs of such shingles, dealt into G groups as above;
+groups are cut into blocks before they meet.  Pairs are cut by size, by an exact lower
+bound of the symmetric difference (parity bitmaps), by the count of keys that a link
+needs and by sketches; whole texts decide.  Every link is thus either verified or
+inside one component already.
 
 Defined cases: a null text is empty; a null doc_id gets no links and a null
 component; rows that repeat a doc_id are one node with the links of all their
@@ -43,6 +47,8 @@ from gistmill.llm.kernel import Lookup, columns, mix, shingle_sets, strings
 
 FREQUENT_COUNT = 24
 FREQUENT_MOST = 1 << 20  # 8 MB sent to each executor
+HOT = 32
+BLOCK = 512
 _SIG_WORDS = 8
 _FLUSH = 3_000_000
 
@@ -64,29 +70,55 @@ def groups_of(n: int) -> int:
     return 1 if n < 64 else 1 << ((n // 32).bit_length() - 1)
 
 
+def group_counts(n: int, percent: int) -> set[int]:
+    """G for a set of n shingles as the larger of a pair and as the smaller: G doubles
+    at most once up to the largest partner."""
+    return {groups_of(n), groups_of(100 * n // percent)}
+
+
+def pairs_in_groups(shingles: np.ndarray, g: int) -> np.ndarray:
+    """Keys of the pairs of shingles that a hash deals into one of g groups; lowest bit set."""
+    where = (mix(shingles + np.uint64(7)) % np.uint64(g)).astype(np.int64)
+    order = np.lexsort((shingles, where))
+    shingles, where = shingles[order], where[order]
+    out = [np.zeros(0, np.uint64)]
+    for part in np.split(shingles, np.flatnonzero(np.diff(where)) + 1):
+        i, j = np.triu_indices(len(part), 1)
+        out.append(mix(mix(part[i]) * np.uint64(3) + part[j] + np.uint64(g)) | np.uint64(1))
+    return np.concatenate(out)
+
+
 def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Index keys of a sorted set, and how many frequent shingles its extended prefix
-    holds; `frequent` marks those of the set."""
+    holds; `frequent` marks those of the set.  Single shingles have the lowest bit
+    clear, pairs have it set."""
     n = len(s)
     if n * (100 - percent) < percent:
         return np.zeros(0, np.uint64), 0  # so few that only equal sets link
     p = n - -(-percent * n // 100) + 1
-    classes = {groups_of(n), groups_of(100 * n // percent)}
+    gs = group_counts(n, percent)
     rare, often = s[~frequent], s[frequent]
-    out = [rare[: p + max(classes)]]
-    for g in classes:
-        some = often[: max(0, p + g - len(rare))]
-        if len(some) < 2:
-            continue
-        where = (mix(some + np.uint64(7)) % np.uint64(g)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        some, where = some[order], where[order]
-        cuts = np.flatnonzero(np.diff(where)) + 1
-        for part in np.split(some, cuts):
-            if len(part) > 1:
-                i, j = np.triu_indices(len(part), 1)
-                out.append(mix(mix(part[i]) * np.uint64(3) + part[j] + np.uint64(g)))
-    return np.unique(np.concatenate(out)), len(often[: max(0, p + max(classes) - len(rare))])
+    out = [rare[: p + 2 * max(gs)] & ~np.uint64(1)]
+    for g in gs:
+        out.append(pairs_in_groups(often[: max(0, p + 2 * g - len(rare))], g))
+    return np.unique(np.concatenate(out)), len(often[: max(0, p + 2 * max(gs) - len(rare))])
+
+
+def _hot_pairs(percent: int):
+    """(rep, key) of the pairs of each set's hot shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, n, hot = columns(batch, "rep", "n", "hot")
+            reps, keys = [], []
+            for i, r in enumerate(rep.to_pylist()):
+                own = np.asarray(hot[i].values).view(np.uint64)
+                keys += [np.unique(np.concatenate([pairs_in_groups(own, g) for g in group_counts(n[i].as_py(), percent)]))]
+                reps += [np.full(len(keys[-1]), r, np.int64)]
+            join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+            yield pa.RecordBatch.from_arrays([pa.array(join(reps, np.int64)), pa.array(join(keys, np.uint64).view(np.int64))], ["rep", "key"])
+
+    return run
 
 
 def parity(s: np.ndarray, bits: int) -> np.ndarray:
@@ -96,24 +128,29 @@ def parity(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The set's size and its parity bitmap of as many bits, to a power of two."""
-    bits = max(64 * _SIG_WORDS, 1 << max(0, len(s) - 1).bit_length())
+    """The set's size and its parity bitmap of two to four times as many bits."""
+    bits = max(64 * _SIG_WORDS, 2 << max(0, len(s) - 1).bit_length())
     return len(s).to_bytes(8, "big") + np.packbits(parity(s, bits)).tobytes()
 
 
-def may_link(one: bytes, two: bytes, percent: int) -> bool:
-    """Whether sketches allow a link: sizes, then the least difference.  A longer
-    bitmap is folded to the other's length, which keeps the bound.
-    |A ^ B| = |A| + |B| - 2i and i / (|A| + |B| - i) >= t give |A ^ B| <= (|A| + |B|)(1 - t) / (1 + t)."""
+FAR, NEAR, MAY = 0, 1, 2
+
+
+def nearness(one: bytes, two: bytes, percent: int) -> int:
+    """What sketches allow: MAY link, NEAR (at most twice the distance of a link) or
+    FAR, from sizes and the least difference.  A longer bitmap is folded to the
+    other's length, which keeps the bound.  With t = percent / 100 a distance of
+    D (1 - t) means |A ^ B| (2 - D (1 - t)) <= D (1 - t) (|A| + |B|)."""
     n, m = int.from_bytes(one[:8], "big"), int.from_bytes(two[:8], "big")
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
     x, y = np.frombuffer(one, np.uint8, offset=8), np.frombuffer(two, np.uint8, offset=8)
     while len(x) > len(y):
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent)
+    differ = max(int(np.bitwise_count(x ^ y).sum()), abs(n - m))
+    if differ * (100 + percent) <= (n + m) * (100 - percent) and 100 * min(n, m) >= percent * max(n, m):
+        return MAY
+    return NEAR if differ * percent <= (n + m) * (100 - percent) else FAR
 
 
 def _sets_and_counts(k: int):
@@ -191,30 +228,32 @@ def links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _compare(read, same):
+def _compare(read, judge):
     """Rows come sorted by (x, part, role): what x holds, then those to compare
-    with it.  read: a column of payloads to one value each; same: the test."""
+    with it.  read: a column of payloads to one value each; judge: two values to a
+    verdict, of which the largest over 0 is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, against = None, []
         for batch in batches:
             x, part, role, y = (c.to_numpy(zero_copy_only=False) for c in columns(batch, "x", "part", "role", "y"))
-            a, b = [], []
+            a, b, v = [], [], []
             for i, value in enumerate(read(batch.column(batch.schema.get_field_index("payload")))):
                 if at != (x[i], part[i]):
                     at, against = (x[i], part[i]), []
                 if role[i] == 0:
                     against.append(value)
-                elif any(same(value, other) for other in against):
+                elif verdict := max((int(judge(value, other)) for other in against), default=0):
                     a.append(x[i])
                     b.append(y[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["x", "y"])
+                    v.append(verdict)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.int32())], ["x", "y", "v"])
 
     return run
 
 
-def _kept(pairs: DataFrame, payload: DataFrame, read, same, label: str) -> DataFrame:
-    """The pairs (x, y) that pass a test of their payloads (y, payload).  The
+def _judged(pairs: DataFrame, payload: DataFrame, read, judge, label: str) -> DataFrame:
+    """(x, y, v): a verdict on each pair's payloads (y, payload), where it is over 0.  The
     payload of x goes once to each part of about 64 partners, that of y to each pair."""
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / 64).alias("parts"))
     dealt = pairs.join(parts, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y")
@@ -222,59 +261,92 @@ def _kept(pairs: DataFrame, payload: DataFrame, read, same, label: str) -> DataF
     heads = parts.select(F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     left = heads.join(payload, "y").select(F.col("y").alias("x"), "part", F.lit(0).alias("role"), "y", "payload")
     rows = left.unionByName(right).repartition("x", "part").sortWithinPartitions("x", "part", "role")
-    return table(rows.mapInArrow(_compare(read, same), "x long, y long"), label).distinct()
+    return table(rows.mapInArrow(_compare(read, judge), "x long, y long, v int"), label).groupBy("x", "y").agg(F.max("v").alias("v"))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose texts link: sketches first, then the whole texts of
-    the pairs that these allow."""
-    likely = _kept(table(pairs, "pairs"), sketches, lambda c: c.to_pylist(), lambda s, t: may_link(s, t, percent), "likely")
+def _linked(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose whole texts link."""
     texts = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("payload"))
-    same = _kept(likely, texts, lambda c: shingle_sets(strings(c), k), lambda s, t: links(s, t, percent), "links")
-    return same.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _judged(likely.select("x", "y"), texts, lambda c: shingle_sets(strings(c), k), lambda s, t: links(s, t, percent), "links").select("x", "y")
+
+
+def _in_blocks(p: DataFrame, q: DataFrame, may: Column) -> DataFrame:
+    """p (alias p) joined with q (alias q) on their key, where `may` holds.  A key's
+    rows are dealt into blocks of about BLOCK on each side, which meet pair by pair,
+    so no task takes a whole large group.  p and q have the columns here and there:
+    how many rows of the key this side and the other side hold."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    left = p.withColumn("row", own("here")).withColumn("col", every("there"))
+    right = q.withColumn("col", own("here")).withColumn("row", every("there"))
+    return left.alias("p").join(right.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.row") == F.col("q.row")) & (F.col("p.col") == F.col("q.col")) & may)
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = table(docs.mapInArrow(_sets_and_counts(k), "kind int, doc_id long, n long, a long, b long"), "sets")
     sets = base.where("kind = 0").select("doc_id", "n", "a", "b")
     counts = base.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_COUNT)
-    top = largest(counts, "c", FREQUENT_MOST).select("a").toArrow()["a"].to_numpy()
+    top = largest(counts, "c", FREQUENT_MOST, fill="a").select("a").toArrow()["a"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
     classes = table(sets.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = docs.where("doc_id is not null").mapInArrow(_keys(k, percent, frequent), "rep long, n long, a long, b long, sig binary, sketch binary, often long, keys array<long>")
     keyed = table(keyed.join(classes.withColumnRenamed("rep", "r"), ["a", "b", "n"]).where("rep = r").select("rep", "n", "sig", "sketch", "often", "keys"), "keys")
-    # dealt by key once, for the count of a key and for its members alike
+    # dealt by key once, for the head of a key and for its members alike
     entries = keyed.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
     shared = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last")).where("h.rep < last")
     live = table(entries.join(shared.select("key", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n")), "key"), "live")
 
-    # stars are a first sweep: a pair that shares few keys with its head waits for the second
-    ratio = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    stars = live.where((F.col("rep") != F.col("head")) & ratio(F.col("n"), F.col("head_n")))
-    stars = stars.groupBy(F.col("head").alias("x"), F.col("rep").alias("y")).agg(F.count("*").alias("held"), F.max(F.greatest("n", "head_n")).alias("most"))
-    stars = stars.where(2 * F.col("held") > _groups(F.col("most"))).select("x", "y")
+    # stars: each member against its head; a partner of a linked member has a size of 2 percent - 100 of the head's at least
+    ratio = lambda n, m, least: 100 * F.least(n, m) >= least * F.greatest(n, m)
+    stars = live.where((F.col("rep") != F.col("head")) & ratio(F.col("n"), F.col("head_n"), 2 * percent - 100)).select(F.col("head").alias("x"), F.col("rep").alias("y")).distinct()
     sketches = keyed.select(F.col("rep").alias("y"), F.col("sketch").alias("payload"))
-    starred = verified(stars, sketches, docs, k, percent)
+    near = table(_judged(table(stars, "stars"), sketches, lambda c: c.to_pylist(), lambda s, t: nearness(s, t, percent), "near"), "nearness")
+    linked = table(_linked(near.where(F.col("v") == MAY), docs, k, percent), "linked")
+    starred = linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = components(starred).select(F.col("node").alias("rep"), "component")
 
-    placed = table(live.select("key", "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    placed = table(live.select("key", "rep", "head").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
+    several = classes.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("several"))  # a link of one text says nothing of another's
+    wide = placed.join(open_keys, "key").join(several, "rep", "left").join(several.select(F.col("rep").alias("head"), F.col("several").alias("unsure")), "head", "left")
+    wide = wide.join(near.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("near")), ["head", "rep"], "left")
+    wide = wide.join(linked.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("link")), ["head", "rep"], "left")
+    by_head = ((F.col("rep") == F.col("head")) | F.col("link").isNotNull()) & F.col("several").isNull() & F.col("unsure").isNull()
+    wide = table(wide.select("key", "rep", "component", by_head.alias("linked"), F.col("near").isNotNull().alias("near")), "wide")
+    sizes = wide.groupBy("key").agg(F.count_if("linked").alias("heads"), F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & F.col("near")).alias("nears"))
+    hot = (F.col("key").bitwiseAND(F.lit(1)) == 0) & (F.col("others") > HOT)
+    rest = wide.where(~F.col("linked")).join(sizes, "key").withColumn("hot", hot)
+    heated = table(rest.where("hot").join(keyed.select("rep", "n").distinct(), "rep").groupBy("rep", "n").agg(F.collect_set("key").alias("hot")), "hot")  # of one text each
+
     bits = [F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(_SIG_WORDS)]
-    wide = table(placed.join(open_keys, "key").join(keyed.select("rep", "n", "often", *bits), "rep"), "open")
-    p, q = wide.alias("p"), wide.alias("q")
-    differ = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(_SIG_WORDS)), F.lit(0))
-    n, m = F.col("p.n"), F.col("q.n")
-    may = (F.col("p.rep") < F.col("q.rep")) & (F.col("p.component") != F.col("q.component")) & ratio(n, m)
-    may &= differ * (100 + percent) <= (n + m) * (100 - percent)
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & may)
-    across = across.groupBy(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).agg(F.count("*").alias("held"), F.min(_groups(F.greatest(n, m)) - F.least("p.often", "q.often")).alias("least"))
-    # linked sets share over G shingles of their extended prefixes, and all that are rare are keys
-    across = across.where(F.col("held") > F.col("least")).select("x", "y")
-    more = verified(across, sketches, docs, k, percent)
+    one = keyed.select("rep", "n", "often", *bits).join(heated.select("rep", "n", F.size("hot").alias("heat")), ["rep", "n"], "left")
+    one = table(one.select("rep", F.struct("n", (F.col("often") + F.coalesce("heat", F.lit(0))).alias("elsewhere"), *(f"s{i}" for i in range(_SIG_WORDS))).alias("set")), "members")
+    combined = heated.mapInArrow(_hot_pairs(percent), "rep long, key long").distinct()
+    combined = combined.join(wide.select("rep", "component").distinct(), "rep")
+    combined = combined.join(combined.groupBy("key").agg(F.count("*").alias("others")).where("others > 1"), "key")
+    direct = rest.where("not hot and others > 1").select("key", "rep", "component", "others").unionByName(combined.select("key", "rep", "component", "others"))
+    direct = table(direct.join(one, "rep").withColumn("here", F.col("others")).withColumn("there", F.col("others")).drop("others"), "direct")
+    facing = wide.join(sizes.where("nears > 0"), "key").join(one, "rep")
+    p_side = table(facing.where("linked").select("key", "rep", "component", "set", F.col("heads").alias("here"), F.col("nears").alias("there")), "heads")
+    q_side = table(facing.where("not linked and near").select("key", "rep", "component", "set", F.col("nears").alias("here"), F.col("heads").alias("there")), "nears")
+
+    differ = sum((F.bit_count(F.col(f"p.set.s{i}").bitwiseXOR(F.col(f"q.set.s{i}"))) for i in range(_SIG_WORDS)), F.lit(0))
+    n, m = F.col("p.set.n"), F.col("q.set.n")
+    may = (F.col("p.component") != F.col("q.component")) & ratio(n, m, percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+    # linked sets share over 2 G shingles of their extended prefixes; those neither frequent nor hot are keys here
+    least = 2 * _groups(F.greatest(n, m)) - F.least("p.set.elsewhere", "q.set.elsewhere")
+    pair = [F.least("p.rep", "q.rep").alias("x"), F.greatest("p.rep", "q.rep").alias("y"), least.alias("least")]
+    met = _in_blocks(direct, direct, may & (F.col("p.rep") < F.col("q.rep"))).select(*pair).unionByName(_in_blocks(p_side, q_side, may).select(*pair))
+    across = met.groupBy("x", "y").agg(F.count("*").alias("held"), F.min("least").alias("least")).where(F.col("held") > F.col("least")).select("x", "y")
+    likely = _judged(table(across, "pairs"), sketches, lambda c: c.to_pylist(), lambda s, t: nearness(s, t, percent) == MAY, "likely")
+    more = _linked(likely, docs, k, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     copies = sets.where("n > 0 and doc_id is not null").join(classes, ["a", "b", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(starred.unionByName(more).unionByName(copies))

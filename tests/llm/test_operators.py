@@ -591,9 +591,11 @@ def brute_components(texts, k, percent):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("k", "percent", "frequent"), [(3, 90, 24), (3, 90, 2), (5, 80, 3), (1, 60, 2)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, k, percent, frequent):
+@pytest.mark.parametrize(("k", "percent", "frequent", "hot"), [(3, 90, 24, 32), (3, 90, 2, 1), (5, 80, 3, 2), (1, 60, 2, 1), (1, 80, 1 << 30, 1), (3, 60, 1 << 30, 2), (3, 80, 1 << 30, 0)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, k, percent, frequent, hot):
     monkeypatch.setattr(jaccard_join, "FREQUENT_COUNT", frequent)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     rng = np.random.default_rng(k * 100 + percent)
     line = words(rng, 12)
     texts = list(ODD)
@@ -626,7 +628,53 @@ def test_prefix_keys_meet_for_all_linked_sets():
             often = set(rng.permutation(s)[: int(rng.integers(0, n + 1))].tolist())
             keys = [set(jaccard_join.prefix_keys(x, np.array([v in often for v in x.tolist()], bool), 90)[0].tolist()) for x in (s, t)]
             assert (s.tolist() == t.tolist()) or keys[0] & keys[1]
-            assert jaccard_join.may_link(jaccard_join.sketch(s), jaccard_join.sketch(t), 90)
+            assert jaccard_join.nearness(jaccard_join.sketch(s), jaccard_join.sketch(t), 90) == jaccard_join.MAY
+
+
+def test_members_of_a_link_are_near_each_others_partners():
+    rng = np.random.default_rng(21)
+    at = {t: 0 for t in (60, 80, 90)}
+    for _ in range(300):
+        percent = int(rng.choice([60, 80, 90]))
+        n = int(rng.choice([12, 40, 300, 900]))
+        some = lambda s: np.unique(np.concatenate([rng.permutation(s)[int(rng.integers(0, n // 5 + 2)) :], kernel.mix(rng.integers(1, 1 << 60, int(rng.integers(0, n // 5 + 2))).astype(np.uint64))]))
+        s = np.unique(kernel.mix(rng.integers(1, 1 << 60, n).astype(np.uint64)))
+        t, u = some(s), some(s)
+        if jaccard_join.links(s, t, percent) and jaccard_join.links(s, u, percent):
+            at[percent] += 1
+            assert jaccard_join.nearness(jaccard_join.sketch(t), jaccard_join.sketch(u), percent) >= jaccard_join.NEAR
+    assert min(at.values()) > 3
+    far = [jaccard_join.sketch(np.unique(kernel.mix(rng.integers(1, 1 << 60, 900).astype(np.uint64)))) for _ in range(2)]
+    assert jaccard_join.nearness(*far, 80) == jaccard_join.FAR
+
+
+def test_jaccard_join_of_one_shingle_in_all_sets(spark, monkeypatch):
+    """A word of all texts and ids with several texts, with the frequent class off."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT_COUNT", 1 << 30)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    rng = np.random.default_rng(22)
+    rows = []
+    for i in range(400):
+        base = int(rng.integers(0, 60))
+        w = ["all", *(f"b{base}x{j}" for j in range(int(12 + base % 7)))]
+        if rng.random() < 0.5:
+            w[int(rng.integers(1, len(w)))] = f"n{i}"
+        rows.append((int(rng.integers(0, 330)), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.jaccard_join(docs, k=1, percent=80).collect()
+    sets = [frozenset(t.split()) for _, t in rows]
+    low = {i: i for i, _ in rows}
+    links = {(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i in range(400) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for _ in range(400):
+        new = dict(low)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    assert {(r.doc_id, r.component_id) for r in got} == set(low.items())
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_join(docs, k=1, percent=30)
 
 
 def test_jaccard_join_of_nothing_and_null_ids(spark):

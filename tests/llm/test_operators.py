@@ -234,8 +234,6 @@ def brute_search(texts, asked, k):
 def test_search_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(search, "SHARD_BYTES", shard)
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "BLOCK", 4)
-    monkeypatch.setattr(search, "OPEN", 1)
     rng = np.random.default_rng(4)
     texts = [words(rng, int(rng.integers(1, 60)), int(rng.choice([20, 300]))) for _ in range(150)] + ODD
     docs = docs_of(spark, texts).repartition(3)
@@ -246,6 +244,36 @@ def test_search_equals_brute_force(spark, monkeypatch, shard):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+def test_blocks_and_floors_of_a_shard_lose_nothing(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "OPEN", 1)
+    rng = np.random.default_rng(5)
+    texts = [words(rng, int(rng.integers(1, 60)), int(rng.choice([20, 300]))) for _ in range(150)] + ["", "", "w1 w1"]
+    term, doc, count, length = search.postings(kernel.strings(pa.array(texts)))
+    raw = dict(zip(["terms", "starts", "docs", "counts", "lengths", "ids"], search._shard(term, doc, count, length, np.arange(len(texts))), strict=True))
+    made = search.bounded(lambda k, t: np.frombuffer(raw[k], t), length.mean())
+    shard = search.Shard(made.get)
+    df = dict(zip(*np.unique(term, return_counts=True), strict=True))
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for q in range(0, len(texts), 5):
+        own = slice(cut[q], cut[q + 1])
+        weight = np.array([c * math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t, c in zip(term[own], count[own], strict=True)])
+        want = [(d, s) for _, _, d, s in brute_search(texts, [q], 7)]
+        for floor in (0.0, *(s for _, s in want[::3])):
+            docs, scores = shard.search(term[own], weight, 7, floor)
+            held = [(d, s) for d, s in want if s >= floor - 1e-9]
+            assert [int(shard.ids[d]) for d in docs] == [d for d, _ in held]
+            assert np.allclose(scores, [s for _, s in held])
+
+
+def test_search_of_repeated_rows_null_ids_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_BYTES", 8)
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (None, "a b"), (3, "a b"), (3, "c"), (4, None)], "doc_id long, text string").withColumn("score", F.lit(1)).repartition(2)
+    asked = spark.createDataFrame([(7, "a"), (7, "a"), (7, "c"), (None, "b"), (8, ""), (9, None)], "doc_id long, text string")
+    got = Counter((r.query_id, r.rank, r.doc_id) for r in search.search(docs, asked, k=2).collect())
+    assert got == {(7, 1, None): 2, (7, 2, 1): 2, (7, 1, 3): 1, (None, 1, None): 1, (None, 2, 1): 1}
+
+
 def test_search_on_nothing(spark):
     docs = docs_of(spark, ["a b"])
     assert search.search(docs.limit(0), docs).count() == 0

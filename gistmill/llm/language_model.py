@@ -155,80 +155,114 @@ class Model:
             h = h * (ids != END)[:, None]
             a = table_[ids]
             r = h @ u
-            g = 1 / (1 + np.exp(-(a[:, : 2 * n] + r[:, : 2 * n])))
-            z = g[:, :n]
-            c = np.tanh(a[:, 2 * n :] + g[:, n:] * r[:, 2 * n :])
+            g = a[:, : 2 * n] + r[:, : 2 * n]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            z, rn = g[:, :n], r[:, 2 * n :]
+            c = g[:, n:] * rn
+            c += a[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((ids, h, g, c, r[:, 2 * n :]))
-            h = c + z * (h - c)
+                keep.append((ids, h, g, c, rn))
+            h = h - c
+            h *= z
+            h += c
             out[t] = h
         return out, h
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of the token y after each state h."""
-        p, cls = self.p, y // CLASSES
-        logit = h @ p["wc"] + p["bc"]
-        out = logit[np.arange(len(y)), cls] - np.log(np.exp(logit).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        p = self.p
+        order = np.argsort(y // CLASSES, kind="stable")
+        h, y = h[order], y[order]
+        cls, rows = y // CLASSES, np.arange(len(y))
+        logit = h @ p["wc"]
+        logit += p["bc"]
+        got = logit[rows, cls]
+        total = np.exp(logit, out=logit).sum(1)
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                inner = h[rows] @ p["wo"][c] + p["bo"][c]
-                out[rows] += inner[np.arange(len(rows)), y[rows] % CLASSES] - np.log(np.exp(inner).sum(1))
+            some = slice(cuts[c], cuts[c + 1])
+            np.matmul(h[some], p["wo"][c], out=logit[some])
+            logit[some] += p["bo"][c]
+        got += logit[rows, y % CLASSES]
+        total *= np.exp(logit, out=logit).sum(1)
+        out = np.empty_like(got)
+        out[order] = got - np.log(total)
         return out
 
+    @staticmethod
+    def _softmax(logit: np.ndarray, want: np.ndarray, count: int) -> tuple[np.ndarray, float]:
+        """Gradient of the mean loss over `count` by the logits (in their place), and
+        the summed loss."""
+        rows = np.arange(len(want))
+        own = logit[rows, want]
+        np.exp(logit, out=logit)
+        total = logit.sum(1)
+        logit *= (1 / (total * np.float32(count)))[:, None]
+        logit[rows, want] -= np.float32(1 / count)
+        return logit, float((np.log(total) - own).sum(dtype=np.float64))
+
     def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Truncated backpropagation over one window."""
         p, n = self.p, HIDDEN
         kept: list = []
         hs, last = self.steps(x, h0, p["e"] @ p["w"] + p["b"], kept)
-        flat, want = hs.reshape(-1, n), y.T.reshape(-1)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        want = y.T.reshape(-1)
+        order = np.argsort(want // CLASSES, kind="stable")  # all by class from here
+        flat, want = hs.reshape(-1, n)[order], want[order]
         cls = want // CLASSES
-        logit = flat @ p["wc"] + p["bc"]
-        d = np.exp(logit - logit.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        loss = -np.log(np.maximum(d[np.arange(len(want)), cls], 1e-30)).sum()
-        d[np.arange(len(want)), cls] -= 1
-        d /= len(want)
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        met = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        g = {k: np.zeros_like(v) for k, v in p.items() if k in ("wo", "bo")}
+        d, loss = self._softmax(flat @ p["wc"] + p["bc"], cls, len(want))
         g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-        dh_all = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                inner = flat[rows] @ p["wo"][c] + p["bo"][c]
-                d = np.exp(inner - inner.max(1, keepdims=True))
-                d /= d.sum(1, keepdims=True)
-                loss -= np.log(np.maximum(d[np.arange(len(rows)), want[rows] % CLASSES], 1e-30)).sum()
-                d[np.arange(len(rows)), want[rows] % CLASSES] -= 1
-                d /= len(want)
-                g["wo"][c], g["bo"][c] = flat[rows].T @ d, d.sum(0)
-                dh_all[rows] += d @ p["wo"][c].T
+        to_states = d @ p["wc"].T
+        inner = np.empty((len(want), CLASSES), np.float32)
+        for c, rows in met:
+            np.matmul(flat[rows], p["wo"][c], out=inner[rows])
+            inner[rows] += p["bo"][c]
+        d, more = self._softmax(inner, want % CLASSES, len(want))
+        loss += more
+        for c, rows in met:
+            np.matmul(flat[rows].T, d[rows], out=g["wo"][c])
+            to_states[rows] += d[rows] @ p["wo"][c].T
+        g["bo"][[c for c, _ in met]] = np.add.reduceat(d, [rows.start for _, rows in met])
+        dh_all = np.empty_like(to_states)
+        dh_all[order] = to_states
         dh_all = dh_all.reshape(hs.shape)
+        h, gate, c, rn = (np.stack([k[i] for k in kept]) for i in (1, 2, 3, 4))
+        z, r = np.ascontiguousarray(gate[:, :, :n]), np.ascontiguousarray(gate[:, :, n:])
+        open_ = 1 - z
+        by_c, by_z, by_r = (1 - c * c) * open_, (h - c) * z * open_, rn * r * (1 - r)
+        goes_on = (x.T != END)[:, :, None]
         dh = np.zeros_like(h0)
         by_step = np.empty((x.shape[1], len(x), 3 * n), np.float32)
+        back = np.empty_like(by_step)
+        u = np.ascontiguousarray(p["u"].T)
         for t in range(x.shape[1] - 1, -1, -1):
-            ids, h, gate, c, rn = kept[t]
-            z, r = gate[:, :n], gate[:, n:]
-            dh = dh + dh_all[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * rn * r * (1 - r)
-            by_step[t] = np.concatenate([dz, dr, dc], 1)
-            back = np.concatenate([dz, dr, dc * r], 1)
-            g["u"] += h.T @ back
-            dh = (dh * z + back @ p["u"].T) * (ids != END)[:, None]
+            dh += dh_all[t]
+            dc = dh * by_c[t]
+            at, to = by_step[t], back[t]
+            np.multiply(dh, by_z[t], out=at[:, :n])
+            np.multiply(dc, by_r[t], out=at[:, n : 2 * n])
+            at[:, 2 * n :] = dc
+            to[:, : 2 * n] = at[:, : 2 * n]
+            np.multiply(dc, r[t], out=to[:, 2 * n :])
+            dh *= z[t]
+            dh += to @ u
+            dh *= goes_on[t]
+        g["u"] = h.reshape(-1, n).T @ back.reshape(-1, 3 * n)
         by_token = np.zeros((VOCAB, 3 * n), np.float32)
-        met = x.T.reshape(-1)
-        order = np.argsort(met, kind="stable")
-        met = met[order]
-        cuts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
-        by_token[met[cuts]] = np.add.reduceat(by_step.reshape(-1, 3 * n)[order], cuts)
+        tokens = x.T.reshape(-1)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        cuts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        by_token[tokens[cuts]] = np.add.reduceat(by_step.reshape(-1, 3 * n)[order], cuts)
         g["b"], g["w"], g["e"] = by_token.sum(0), p["e"].T @ by_token, by_token @ p["w"].T
-        return g, last, float(loss) / len(want)
+        return g, last, loss / len(want)
 
     def train(self, texts: list[np.ndarray], *, epochs: int = 2, lanes: int = 48, window: int = 20, seed: int = 2, first: float = 0.01, last: float = 0.002, state: dict | None = None) -> list[float]:
         """texts: token ids without the end; returns the loss by window.  The rate
@@ -274,29 +308,29 @@ class Model:
             placed[lane].append(int(d))
             heapq.heappush(heap, (have + int(size[d]), lane))
         placed.sort(key=lambda p: -sum(size[d] for d in p))
+        # lanes one after another, each text from an end to its end: as long as all texts together
+        texts = np.array([d for p in placed for d in p], np.int64)
+        begin = np.cumsum(size[texts]) - size[texts]
+        x = np.full(int(size.sum()), END, np.int32)
+        x[np.arange(len(ids)) + np.repeat(begin + 1 - (np.cumsum(size[texts] - 1) - (size[texts] - 1)), size[texts] - 1)] = ids[np.arange(len(ids)) + np.repeat(at[texts] - (np.cumsum(size[texts] - 1) - (size[texts] - 1)), size[texts] - 1)]
         length = np.array([sum(int(size[d]) for d in p) for p in placed])
-        x = np.full((count, int(length[0])), END, np.int32)
-        y = np.full_like(x, END)
-        for lane, docs in enumerate(placed):
-            k = 0
-            for d in docs:
-                m = int(size[d])
-                x[lane, k + 1 : k + m] = ids[at[d] : at[d + 1]]
-                y[lane, k : k + m - 1] = ids[at[d] : at[d + 1]]
-                k += m
-        log = np.zeros(x.shape, np.float32)
+        lane = np.cumsum(length) - length
+        y = np.append(x[1:], END).astype(np.int32)
+        y[begin + size[texts] - 1] = END
+        log = np.zeros(len(x), np.float32)
         table_ = self.p["e"] @ self.p["w"] + self.p["b"]
         h = np.zeros((count, HIDDEN), np.float32)
-        for a in range(0, x.shape[1], WINDOW):
+        for a in range(0, int(length[0]), WINDOW):
             live = int(np.searchsorted(-length, -a, "left"))
-            part = x[:live, a : a + WINDOW]
-            hs, h = self.steps(part, h[:live], table_)
-            got = self.log_probs(hs.reshape(-1, HIDDEN), y[:live, a : a + WINDOW].T.reshape(-1))
-            log[:live, a : a + WINDOW] = got.reshape(part.shape[1], live).T
+            steps = np.arange(a, min(a + WINDOW, int(length[0])))
+            inside = steps < length[:live, None]
+            where = np.where(inside, lane[:live, None] + steps, 0)
+            hs, h = self.steps(np.where(inside, x[where], END), h[:live], table_)
+            inside, where = inside.T.reshape(-1), where.T.reshape(-1)
+            where = where[inside]
+            log[where] = self.log_probs(hs.reshape(-1, HIDDEN)[inside], y[where])
         out = np.zeros(n)
-        for lane, docs in enumerate(placed):
-            cuts = np.cumsum([0, *(int(size[d]) for d in docs)])
-            out[docs] = np.add.reduceat(log[lane, : cuts[-1]].astype(np.float64), cuts[:-1])
+        out[texts] = np.add.reduceat(log.astype(np.float64), begin)
         return out
 
 

@@ -1,35 +1,39 @@
-"""Benchmark decontamination by exact pieces and exact edit distance.
-
-Texts and items are normalised to words (runs of letters and digits, A-Z
-lowered).  A text holds an item when the least edit distance, in characters,
-between the normalised item and any stretch of the normalised text is at most
-most = floor(max_edit * item length).
-
-Candidates are found without loss.  An item is cut into most + NEEDED equal
-pieces over its whole length (most + 1 where most is under NEEDED_FROM); an edit
-spoils one piece at most, so a copy holds NEEDED of them unchanged, and the starts
-of the item that these imply differ by at most `most`.  Every place of every text
-is looked up among the pieces of all items (at most PIECE characters of each);
-hits of an item without enough others near them go.  What is left is verified
-exactly: a test of shared GRAM-character stretches, then a bit-parallel automaton
-on whole-number arithmetic over all the text that a copy about the hits can touch.
-So each held item is found, at its least distance, whatever its length and
-wherever its edits are.
+"""Benchmark decontamination: random-walk embedding, bit sampling, exact edit distance.
+
+Texts and items are normalised to words (runs of letters and digits, A-Z lowered;
+equal 64-bit hashes count as equal words).  A text holds an item when the least edit
+distance, in words, between the item and any stretch of the text is at most
+floor(max_edit * words of the item).
+
+A CGK walk maps a sequence of words to a sequence of as many steps as it takes: each
+step gives the word it stands on and goes on by a bit that hangs on step and word,
+so that sequences a few edits apart come to agree in most steps (a small Hamming
+distance).  Segments of an item, of SEGMENT words or the next lower power of two,
+cover all of its words; from each, and from each place of each text, `walks` walks
+start.  Bit sampling takes SAMPLES steps of a walk as a key, REPEATS times; where two shared keys put the
+start of an item within the limit of each other, there is a candidate.  The
+number of walks is planned: the least whose keys find `target_recall` of copies at the
+very limit, scattered or gathered, in a simulation by this same code.
+
+Candidates of an item that overlap are verified once, exactly: counts of words that
+the stretch and the item share or lack (each edit spoils one at most), then a bit-parallel automaton on
+whole-number arithmetic.  The distance given is the least over the whole text.
 
 Cost: a text is read once, without a shuffle, for each block of at most
 BLOCK_ITEMS items and BLOCK_BYTES bytes; only such a block is ever broadcast, and
 all blocks are gone through.
 
 Defined cases: null or empty texts and items without a letter or digit hold or
-are nothing; repeated items are each reported; repeated rows are each judged, and
-give one finding for an id; a null doc_id gives a finding with a null id; extra
-columns stay.
+are nothing; an item under 1 / max_edit words is held only unchanged; repeated items
+are each reported; repeated rows are each judged, and give one finding for an id; a
+null doc_id gives a finding with a null id; extra columns stay.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,28 +41,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.common import small_batches, table
-from gistmill.llm.kernel import LOWER, NOT_LETTER, Lookup, buffers, columns, groups, strings, words
+from gistmill.llm.kernel import NOT_LETTER, Lookup, buffers, columns, groups, hashes, mix, strings, words
 
 MAX_EDIT = 0.1
-NEEDED = 2
-NEEDED_FROM = 4
-PIECE = 16
-GRAM = 4
+TARGET_RECALL = 0.95
+SEGMENT = 32
+SAMPLES = 3
+REPEATS = 3
+MOST_WALKS = 12
 GROUP_BYTES = 256 << 10
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def infix_distance(item: str, text: str, most: int) -> int | None:
+def infix_distance(item: Sequence, text: Sequence, most: int) -> int | None:
     """Least edit distance of item to any stretch of text, None if over `most`."""
-    if item in text:
-        return 0
     m = len(item)
     if not m:
         return 0
-    masks: dict[str, int] = defaultdict(int)
+    masks: dict = defaultdict(int)
     for i, c in enumerate(item):
         masks[c] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -81,81 +83,104 @@ def infix_distance(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
-def grams(text: str) -> list[str]:
-    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
-
-
-def pieces(m: int, most: int) -> tuple[int, np.ndarray, int]:
-    """(length, offsets, how many a copy holds) of the pieces of an item of m characters."""
-    needed = NEEDED if most >= NEEDED_FROM else 1
-    n = min(most + needed, m)
-    return min(m // n, PIECE), np.arange(n) * m // n, needed
-
-
-def keys(chars: np.ndarray, lengths) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, keys of the stretches of that length from each place), shortest first;
-    zeros follow the last character."""
-    n = len(chars)
-    padded = np.concatenate([chars, np.zeros(max(lengths, default=0), np.uint64)])
-    out = np.zeros(n, np.uint64)
-    for j in range(max(lengths, default=0)):
-        out += padded[j : j + n]
-        out *= _ODD
-        if j + 1 in lengths:
-            yield j + 1, out
-
-
-def _chars(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def segments(m: int) -> tuple[int, list[int]]:
+    """(length, starts) of the segments that cover an item of m words."""
+    size = min(SEGMENT, 1 << (m.bit_length() - 1))
+    return size, sorted({*range(0, m - size + 1, size), m - size})
+
+
+@lru_cache(maxsize=None)
+def sampled(size: int, walk: int, repeat: int) -> tuple[int, ...]:
+    """The steps that a repeat samples from a walk over a segment."""
+    return tuple(sorted(np.random.default_rng((size, walk, repeat)).choice(size, min(SAMPLES, size), replace=False).tolist()))
+
+
+def walk_keys(h: np.ndarray, sizes: Sequence[int], walk: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, keys from each place) of one walk over word hashes, a key for each repeat;
+    zeros follow the last word."""
+    longest = max(sizes, default=0)
+    wanted = {s for size in sizes for r in range(REPEATS) for s in sampled(size, walk, r)}
+    padded = np.concatenate([h, np.zeros(longest + 1, np.uint64)])
+    bits = mix(padded * (_ODD ^ np.uint64(2 * walk + 2)) + np.uint64(walk + 1))
+    at, met = np.arange(len(h)), {}
+    for step in range(longest):
+        if step in wanted:
+            met[step] = padded[at]
+        at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+    for size in sizes:
+        for r in range(REPEATS):
+            key = np.full(len(h), (walk * REPEATS + r) * SEGMENT + size, np.uint64)
+            for step in sampled(size, walk, r):
+                key += met[step]
+                key *= _ODD
+            key ^= key >> np.uint64(32)
+            yield size, key * _ODD
 
 
 class Index:
-    """Pieces of a block of items, and the search of texts."""
+    """Keys of a block of items, and the search of texts."""
 
-    def __init__(self, items: list[tuple], max_edit: float):
+    def __init__(self, items: list[tuple], max_edit: float, walks: int):
         arr = strings(pa.array([t for _, t in items], pa.string()))
         data, off = buffers(arr)
         starts, ends, at = words(data, off, NOT_LETTER)
-        raw = data.tobytes().translate(_LOWER)
+        h = hashes(data, starts, ends)
+        self._build([(item_id, h[at[i] : at[i + 1]]) for i, (item_id, _) in enumerate(items)], max_edit, walks)
+
+    def _build(self, items: list[tuple], max_edit: float, walks: int) -> None:
+        self.walks = walks
         self.items: list[tuple] = []
-        held: dict[int, list[tuple]] = defaultdict(list)
-        for i, (item_id, _) in enumerate(items):
-            a, b = at[i], at[i + 1]
-            if a == b:
+        parts: dict[int, list[tuple]] = defaultdict(list)
+        for item_id, own in items:
+            if not len(own):
                 continue
-            text = b" ".join(raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
-            most = int(max_edit * len(text))
-            length, offsets, needed = pieces(len(text), most)
-            found = next(k for n, k in keys(_chars(text), {length}))[offsets]
-            held[length].append((found, np.full(len(offsets), len(self.items)), offsets))
-            self.items.append((item_id, text, most, needed))
+            size, begins = segments(len(own))
+            parts[size] += [(own[b : b + size], len(self.items), b) for b in begins]
+            self.items.append((item_id, own.tolist(), int(max_edit * len(own))))
         self.most = np.array([i[2] for i in self.items], np.int64)
-        self.alone = np.array([i[3] == 1 for i in self.items], bool)
-        self.by_length = {}
-        for length, some in held.items():
-            found, owner, offset = (np.concatenate(x) for x in zip(*some, strict=True))
+        self.length = np.array([len(i[1]) for i in self.items], np.int64)
+        # an item and one of its words as one number
+        own = [np.unique(np.array(w, np.uint64)) for _, w, _ in self.items]
+        self.held = Lookup(self._pair(np.repeat(np.arange(len(own)), [len(w) for w in own]), np.concatenate([np.zeros(0, np.uint64), *own])))
+        self.by_size = {}
+        for size, some in parts.items():
+            flat = np.concatenate([p for p, _, _ in some])
+            found = np.concatenate([k[::size] for w in range(walks) for _, k in walk_keys(flat, [size], w)])
+            owner, begin = (np.tile([p[i] for p in some], walks * REPEATS) for i in (1, 2))
             order = np.argsort(found, kind="stable")
             lookup = Lookup(np.unique(found))
             first, last = (np.searchsorted(found[order], lookup.keys, side) for side in ("left", "right"))
-            self.by_length[length] = lookup, first, last, owner[order], offset[order]
-
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start), in order: where pieces put an item's start, those with
-        enough other pieces about them."""
+            self.by_size[size] = lookup, first, last, owner[order], begin[order]
+
+    @staticmethod
+    def _pair(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mix(word + item.astype(np.uint64) * _ODD)
+
+    def _full(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether as many words of a stretch are words of the item as a copy needs."""
+        n = hi - lo
+        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        owner = np.repeat(np.arange(len(item)), n)
+        own = self.held.find(self._pair(item[owner], h[where])) >= 0
+        return np.bincount(owner[own], minlength=len(item)) >= (self.length - self.most)[item]
+
+    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start), in order: where two keys or more put an item's start."""
         item, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for length, found in keys(chars, self.by_length):
-            lookup, first, last, owner, offset = self.by_length[length]
-            hit = lookup.find(found)
-            place = np.flatnonzero(hit >= 0)
-            a, n = first[hit[place]], last[hit[place]] - first[hit[place]]
-            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            item.append(owner[each])
-            start.append(np.repeat(place, n) - offset[each])
+        for walk in range(self.walks):
+            for size, key in walk_keys(h, list(self.by_size), walk):
+                lookup, first, last, owner, begin = self.by_size[size]
+                hit = lookup.find(key)
+                place = np.flatnonzero(hit >= 0)
+                a, n = first[hit[place]], last[hit[place]] - first[hit[place]]
+                each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                item.append(owner[each])
+                start.append(np.repeat(place, n) - begin[each])
         item, start = np.concatenate(item), np.concatenate(start)
         order = np.lexsort((start, item))
         item, start = item[order], start[order]
         close = (item[1:] == item[:-1]) & (np.diff(start) <= self.most[item[1:]])
-        keep = self.alone[item]
+        keep = np.zeros(len(item), bool)
         keep[1:] |= close
         keep[:-1] |= close
         return item[keep], start[keep]
@@ -167,39 +192,64 @@ class Index:
             return
         data, off = buffers(arr)
         starts, ends, at = words(data, off, NOT_LETTER)
-        if not len(starts):
+        h = hashes(data, starts, ends)
+        if not len(h):
             return
-        # the normalised text of the group: words with a space after each
-        length = ends - starts
-        inside = ~NOT_LETTER[data]
-        normal = np.full(int(length.sum()) + len(length), 32, np.uint8)
-        normal[np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)] = LOWER[data[inside]]
-        text = normal.tobytes().decode()
-        begin = np.cumsum(np.append(0, length + 1))[at]
-        begin = np.append(0, np.cumsum((normal & 0xC0) != 0x80))[begin]  # where rows begin, in characters
-        best: dict[tuple[int, int], int] = {}
-        item, start = self.hits(_chars(text))
-        size = np.array([len(i[1]) for i in self.items], np.int64)[item]
-        lo, hi = start - self.most[item], start + size + self.most[item]
-        # one stretch of text for hits of an item that overlap
+        item, start = self.candidates(h)
+        lo, hi = start - self.most[item], start + self.length[item] + self.most[item]
+        # one stretch of text for candidates of an item that overlap
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
         cut = np.flatnonzero(new)
-        for i, a, b in zip(item[cut].tolist(), lo[cut].tolist(), hi[np.append(cut[1:], len(item)) - 1].tolist() if len(item) else [], strict=True):
-            _, own, most, _ = self.items[i]
-            row = max(int(np.searchsorted(begin, a, "right")) - 1, 0)
-            while row < len(at) - 1 and begin[row] < b:
-                near = text[max(a, begin[row]) : max(0, min(b, begin[row + 1] - 1))]  # an empty row has none
+        item, lo, hi = item[cut], np.maximum(lo[cut], 0), np.minimum(hi[np.append(cut[1:], len(item)) - 1] if len(item) else hi, len(h))
+        full = self._full(h, item, lo, hi)
+        seen: set[tuple[int, int]] = set()
+        for i, a, b in zip(item[full].tolist(), lo[full].tolist(), hi[full].tolist(), strict=True):
+            _, own, most = self.items[i]
+            row = max(int(np.searchsorted(at, a, "right")) - 1, 0)
+            while row < len(at) - 1 and at[row] < b:
+                near = h[max(a, at[row]) : max(0, min(b, at[row + 1]))].tolist()
                 row += 1
-                if len(near) < len(own) - most or best.get((row - 1, i)) == 0:
+                if (row - 1, i) in seen or len(near) < len(own) - most:
+                    continue
+                held = set(near)
+                if sum(w not in held for w in own) > most or infix_distance(own, near, most) is None:
                     continue
-                held, parts = set(grams(near)), grams(own)
-                if sum(g in held for g in parts) < len(parts) - GRAM * most:
-                    continue  # each edit spoils at most GRAM stretches, so the distance is over `most`
-                d = infix_distance(own, near, most)
-                if d is not None:
-                    best[row - 1, i] = min(d, best.get((row - 1, i), d))
-        yield from ((row, item, d) for (row, item), d in best.items())
+                seen.add((row - 1, i))
+                yield row - 1, i, infix_distance(own, h[at[row - 1] : at[row]].tolist(), most)
+
+
+def recall(max_edit: float, walks: int, *, trials: int = 120) -> float:
+    """The least share, over some lengths and both places of edits, of copies at the
+    limit whose keys meet."""
+    rng, least = np.random.default_rng(walks), 1.0
+    fresh = lambda n: mix(rng.integers(1, 1 << 62, n).astype(np.uint64))
+    for m in (5, 10, 15, 20, 31, 32, 45, 63, 100):
+        most = int(max_edit * m)
+        for gathered in (False, True):
+            copies, items, at = [], [], []
+            for _ in range(trials):
+                own = fresh(m)
+                places = np.arange(most) + rng.integers(0, m - most + 1) if gathered else rng.permutation(m)[:most]
+                parts = np.split(own, np.sort(places))
+                for j in range(most):  # change, drop or add a word
+                    kind = rng.integers(0, 3)
+                    parts[j + 1] = np.concatenate([fresh(int(kind != 1)), parts[j + 1][int(kind != 2) :]])
+                at.append(sum(map(len, copies)) + SEGMENT)
+                copies += [fresh(SEGMENT), *parts]
+                items.append((0, own))
+            index = Index.__new__(Index)
+            index._build(items, max_edit, walks)
+            item, start = index.candidates(np.concatenate([*copies, fresh(SEGMENT)]))
+            met = np.abs(start - np.array(at)[item]) <= most
+            least = min(least, len(np.unique(item[met])) / trials)
+    return least
+
+
+@lru_cache(maxsize=None)
+def planned_walks(max_edit: float, target_recall: float) -> int:
+    """The least number of walks that reaches the target, MOST_WALKS at most."""
+    return next((w for w in range(1, MOST_WALKS) if recall(max_edit, w) >= target_recall), MOST_WALKS)
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
@@ -214,9 +264,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-def _scan(block, max_edit: float):
+def _scan(block, max_edit: float, walks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(block.value, max_edit)
+        index = Index(block.value, max_edit, walks)
         for batch in batches:
             ids, text = columns(batch, "doc_id", "text")
             arr = strings(text)
@@ -231,20 +281,21 @@ def _scan(block, max_edit: float):
     return run
 
 
-def findings(docs: DataFrame, items: DataFrame, *, max_edit: float = MAX_EDIT) -> DataFrame:
-    """doc_id, item_id, distance: which text holds which item, at its least distance."""
+def findings(docs: DataFrame, items: DataFrame, *, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, item_id, distance: which text holds which item, at its least distance in words."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int")
+    walks = planned_walks(max_edit, target_recall)
     for block in _blocks(items):
-        some = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), max_edit), out.schema)
+        some = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), max_edit, walks), out.schema)
         out = out.unionByName(table(some, "findings"))
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def _clean(block, max_edit: float):
+def _clean(block, max_edit: float, walks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(block.value, max_edit)
+        index = Index(block.value, max_edit, walks)
         for batch in batches:
             arr = strings(batch.column(batch.schema.get_field_index("text")))
             keep = np.ones(len(arr), bool)
@@ -256,9 +307,10 @@ def _clean(block, max_edit: float):
     return run
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = MAX_EDIT) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, *, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
     small_batches(docs.sparkSession)
+    walks = planned_walks(max_edit, target_recall)
     for block in _blocks(items):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), max_edit), docs.schema)
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), max_edit, walks), docs.schema)
     return docs

@@ -168,7 +168,7 @@ def write_archive(pages: DataFrame, *, dedupe_from: int = 0, folder: str | None
     """Write the bundles into `folder` (by default in the shared folder) and return
     the index: page_id, path, frame, offset, length."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/gistmill/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
@@ -216,7 +216,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(index: DataFrame) -> DataFrame:
     """A row for each record of the bundles in an index, read frame by frame."""
     paths = index.select("path").distinct()
-    return paths.repartition("path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    bundles = max(1, paths.count())  # a number of tasks that is not merged by the size of the paths
+    return paths.repartition(bundles, "path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

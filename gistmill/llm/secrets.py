@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,7 +153,7 @@ def train(found: list[tuple[str, str, str, int]] | None = None, *, epochs: int =
         text, s, e = b + c + a, len(b), len(b) + len(c)
         ((base, runs),) = candidates(*buffers(strings(pa.array([text.decode()]))))
         over = [piece(text, x, y) for x, y in runs if x <= s and e <= y]
-        covers.append(None if outreached(s, e, base) is False else over)
+        covers.append(None if outreached(s, e, merged(base)) is False else over)
         # as the search meets it, where it does
         pieces.append(over[0] if over else piece(text, s, e))
     y = np.array([f[3] for f in found], float)
@@ -209,13 +210,23 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def outreached(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
-    """Whether start..end holds a byte under no base span."""
+def merged(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches under base spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
     for s, e, _ in sorted(base):
-        if s > start:
-            break
-        start = max(start, e)
-    return start < end
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def outreached(start: int, end: int, under: tuple[list[int], list[int]]) -> bool:
+    """Whether start..end holds a byte under no base span."""
+    i = bisect_right(under[0], start) - 1
+    return i < 0 or under[1][i] < end
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int]]]]:
@@ -245,7 +256,8 @@ def candidates(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[list[tuple[i
             s, e = s + len(run) - len(run.lstrip(b".")), e - len(run) + len(run.rstrip(b"."))
             if e - s >= MIN_RUN and b"." in text[s:e]:
                 runs.append((s, e))
-        yield found, [(s, e) for s, e in runs if not found or outreached(s, e, found)]
+        under = merged(found)
+        yield found, [(s, e) for s, e in runs if outreached(s, e, under)]
 
 
 def scan(arr: pa.Array, model: Model) -> Iterator[list[tuple[int, int, int, float]]]:

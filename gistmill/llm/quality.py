@@ -79,8 +79,10 @@ def features(arr: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text of a group."""
     n = len(arr)
     data, off = buffers(arr)
-    texts = np.repeat(np.arange(n), np.diff(off))
-    hist = np.bincount(texts * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    hist = np.zeros((n, 256))
+    for i in range(n):
+        for a in range(off[i], off[i + 1], 1 << 20):
+            hist[i] += np.bincount(data[a : min(a + (1 << 20), off[i + 1])], minlength=256)
     size = np.maximum(hist.sum(1), 1)
     starts, ends, at = words(data, off)
     h = hashes(data, starts, ends)

@@ -8,9 +8,12 @@ has a closed form once sources are sorted by size over weight.
 Slot t of the schedule maps the point t / phi mod 1 (whole-number arithmetic
 modulo 2**31) through the cumulative targets to a source; the slots of a source
 are ranked.  Each source's documents, shuffled by a hash of the id, form a stream
-cut into blocks of BLOCK words; rank r takes block r modulo the number of blocks,
-at most REPEATS times.  What a document gives is the sum of its overlaps with
-taken blocks, so it never exceeds REPEATS times its size.
+cut into blocks of BLOCK words; rank r takes block r modulo the number of blocks.
+A source stops at the words of its target, so its last rank takes the first words
+of a block only; the few ranks by which the schedule falls short of a target (a
+source may be smaller than a block) are added at its end.  What a document gives is
+the sum of its overlaps with what is taken, so it never exceeds REPEATS times its
+size, and each source gives the whole words of its target.
 
 Ranks and stream positions are sums in two levels (within small ranges, then over
 ranges), so no task holds a whole source.  The driver sees three numbers.
@@ -59,21 +62,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
     return s.select("sid", "source", "rows", "source_size", "target", "lo", "hi")
 
 
-def schedule(sources: DataFrame, slots: int, *, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """sid, block, taken: how often the schedule takes each block of each source."""
+def schedule(sources: DataFrame, slots: int, *, block: int = BLOCK) -> DataFrame:
+    """sid, block, taken, part: how often the schedule takes each block of each source
+    whole, and how many first words of it once more."""
     t = sources.sparkSession.range(slots).withColumn("u", (F.col("id") % _MODULUS * _STEP % _MODULUS) / F.lit(float(_MODULUS)))
     t = t.withColumn("cell", F.floor(F.col("u") * _CELLS))
     # each source's stretch by the cells it meets: at most sources + cells rows
-    cells = sources.select("sid", "lo", "hi", F.ceil(F.col("source_size") / block).alias("blocks"), F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"))
+    words, size = F.floor("target").cast("long"), F.col("source_size")
+    sources = sources.withColumn("blocks", F.ceil(size / block)).withColumn("words", words).withColumn("cycles", F.when(size > 0, F.floor(words / size)).otherwise(0))
+    sources = sources.withColumn("need", F.col("cycles") * F.col("blocks") + F.ceil((words - F.col("cycles") * size) / block))
+    own = ["sid", "source_size", "blocks", "words", "need"]
+    cells = sources.select(*own, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"))
     hit = t.join(cells, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    hit = hit.select("sid", "blocks", "id", F.floor(F.col("id") / _RANGE).alias("range"))
+    hit = hit.select(*own, "id", F.floor(F.col("id") / _RANGE).alias("range"))
     counts = hit.groupBy("sid", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    short = sources.select(*own).join(counts.groupBy("sid").agg(F.sum("n").alias("have")), "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
+    added = short.select(*own, F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"))
     counts = counts.select("sid", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("sid", "range").orderBy("id")) - 1
     ranked = hit.withColumn("inner", rank).join(counts, ["sid", "range"]).withColumn("rank", F.col("before") + F.col("inner"))
-    ranked = ranked.where(F.col("rank") < F.col("blocks") * repeats)
-    return ranked.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("taken"))
+    ranked = ranked.select(*own, "rank").unionByName(added).where(F.col("rank") < F.col("need"))
+    ranked = ranked.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("length", F.least(F.lit(block), F.col("source_size") - F.col("block") * block))
+    left = F.col("words") - F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") - F.col("block") * block
+    ranked = ranked.withColumn("part", F.least("length", left))
+    return ranked.groupBy("sid", "block").agg(F.count_if(F.col("part") == F.col("length")).alias("taken"), F.coalesce(F.max(F.when(F.col("part") < F.col("length"), F.col("part"))), F.lit(0)).alias("part"))
 
 
 def mixed(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -100,8 +113,9 @@ def mixed(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select("sid", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     taken = pieces.join(schedule(sources, slots, block=block), ["sid", "block"])
-    overlap = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    taken = taken.groupBy("sid", "start").agg(F.sum(overlap * F.col("taken")).cast("long").alias("taken"))
+    begin = F.col("block") * block
+    overlap = lambda size: F.greatest(F.least(F.col("end"), begin + size) - F.greatest(F.col("start"), begin), F.lit(0))
+    taken = taken.groupBy("sid", "start").agg(F.sum(overlap(F.lit(block)) * F.col("taken") + overlap(F.col("part"))).cast("long").alias("taken"))
     out = placed.where("size > 0").join(taken, ["sid", "start"], "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -125,19 +139,28 @@ s4 AS (SELECT *, level * weight >= source_size * 2 AS capped FROM s3),
 s5 AS (SELECT *, CASE WHEN capped THEN (source_size * 2)::DOUBLE
     ELSE (SELECT level FROM s4 WHERE NOT capped ORDER BY nth LIMIT 1) * weight END AS target FROM s4),
 s6 AS (SELECT *, sum(target) OVER (ORDER BY sid) / (SELECT sum(target) FROM s5) AS hi FROM s5),
-s7 AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, ceil(source_size / {block}.0)::BIGINT AS blocks FROM s6),
+s7 AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, ceil(source_size / {block}.0)::BIGINT AS blocks, floor(target)::BIGINT AS words,
+  CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS cycles FROM s6),
+s8 AS (SELECT *, cycles * blocks + ceil((words - cycles * source_size) / {block}.0)::BIGINT AS need FROM s7),
 slots AS (SELECT id, (id % 2147483648 * 1327217885 % 2147483648)::DOUBLE / 2147483648 AS u
   FROM range(0, coalesce((SELECT ceil(sum(target) / {block})::BIGINT FROM s5), 0)) t(id)),
-ranked AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS rank
-  FROM slots JOIN s7 ON u >= lo AND u < hi),
-taken AS (SELECT sid, rank % blocks AS block, count(*) AS times FROM ranked WHERE rank < 2 * blocks GROUP BY ALL),
+hits AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY id) - 1 AS rank FROM slots JOIN s7 ON u >= lo AND u < hi),
+ranked AS (
+  SELECT sid, rank FROM hits UNION ALL
+  SELECT sid, unnest(range(have, greatest(have, need))) FROM (SELECT sid, need, (SELECT count(*) FROM hits h WHERE h.sid = s.sid) AS have FROM s8 s)),
+parts AS (
+  SELECT sid, block, length, least(length, words - (rank // blocks) * source_size - block * {block}) AS part
+  FROM (SELECT sid, rank, rank % blocks AS block, least({block}, source_size - rank % blocks * {block}) AS length, words, source_size, blocks
+        FROM ranked JOIN s8 USING (sid) WHERE rank < need)),
+taken AS (SELECT sid, block, count(*) FILTER (part = length) AS times, coalesce(max(part) FILTER (part < length), 0) AS part FROM parts GROUP BY ALL),
 placed AS (
   SELECT doc_id, size, sid, source_size, target,
     coalesce(sum(size) OVER (PARTITION BY sid ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sizes d JOIN s7 s ON d.source IS NOT DISTINCT FROM s.source),
 pieces AS (SELECT sid, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM placed WHERE size > 0),
 sums AS (
-  SELECT sid, start, sum((least(start + size, (block + 1) * {block}) - greatest(start, block * {block})) * times)::BIGINT AS taken
+  SELECT sid, start, sum((least(start + size, (block + 1) * {block}) - greatest(start, block * {block})) * times
+    + greatest(0, least(start + size, block * {block} + part) - greatest(start, block * {block})))::BIGINT AS taken
   FROM pieces JOIN taken USING (sid, block) GROUP BY ALL)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken
 FROM placed LEFT JOIN sums USING (sid, start)"""

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 BATCH_ROWS = 1_000
+SAMPLE_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); set here only where unset."""
+    """The cluster's shared folder (spark.checkpoint.dir), in which this application
+    has a folder that goes with it.  Only a local session may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    own = f"{path.rstrip('/')}/gistmill-{spark.sparkContext.applicationId}"
+    if own not in _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _made.add(own)
+    return own
+
+
+_made: set[str] = set()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -34,7 +48,7 @@ def table(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     second read."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/gistmill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,12 +99,14 @@ def largest(df: DataFrame, count: str, most: int, *, fill: str | None = None) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label, extra columns) of at most `per_class` rows of each class: the first
-    in the order of a hash of the id, none from fold `left_out`.
+    """(doc_id, text, label, extra columns) of at most `per_class` rows and SAMPLE_BYTES
+    of text of each class: the first in the order of a hash of the id, none from fold
+    `left_out`; the first row of a class is taken whatever its length.
 
     Null labels and ids are passed over; a doc_id with several labels takes the
-    largest; of repeated documents one row is kept.  The second result counts
-    all labelled ids by class, for undoing the balance of the sample.
+    largest; of repeated documents the row with the largest text is kept, so reruns
+    agree.  The second result counts all labelled ids by class, for undoing the
+    balance of the sample.
     """
     small_batches(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
@@ -98,7 +114,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = [first_by_hash(ids.where(F.col("label") == v), per_class, "doc_id") for v in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
     totals = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
-    return docs.select("doc_id", "text", *extra).join(few, "doc_id").dropDuplicates(["doc_id"]), totals
+    rows = docs.select("doc_id", "text", *extra).join(few, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.max(F.struct("text", *extra)).alias("row")).select("doc_id", "label", "row.*")  # 2 * per_class rows
+    upto = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__before", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    return rows.where(F.col("__before").isNull() | (F.col("__before") + size <= SAMPLE_BYTES)).drop("__before"), totals
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:

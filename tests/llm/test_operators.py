@@ -433,7 +433,19 @@ def test_mixing(spark):
         s = by_size[r.source_size]
         assert math.isclose(r.target, float(target[s])) and 0 <= r.taken <= 2 * r["size"]
         taken[s] += r.taken
-    assert all(abs(taken[s] - target[s]) <= max(400, 0.05 * target[s]) for s in names)
+    assert all(abs(taken[s] - target[s]) < 1.001 for s in names)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 20, "b": 9000}, {"a": 5, "b": 9000, "c": 1, "d": 130}, {"a": 64, "b": 65, "c": 63}, {"a": 1}])
+def test_mixing_of_small_sources(spark, sizes):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * min(37, n - k)), s) for s, n in sizes.items() for i, k in enumerate(range(0, n, 37))], "doc_id long, text string, source string")
+    got = mixing.mixed(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert all(abs(taken[n] - t) < 1.001 for n, t in target.items()) and len(target) == len(sizes)
 
 
 def test_mixing_nothing(spark):

@@ -6,6 +6,7 @@ Java's \\s leaves out the no-break space and others.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -17,6 +18,8 @@ from gistmill.functions import vocab
 
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_BEFORE, NOT_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: A border between ASCII word characters and others.
+BORDER = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def trim(c: Column) -> Column:
@@ -69,24 +72,33 @@ def _char(code: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(units), "UTF-16BE")).otherwise("")
 
 
-_QUOTES_AND_DASHES = str.maketrans({**dict.fromkeys("‘’´`", "'"), **dict.fromkeys("“”", '"'), **dict.fromkeys("-\u00ad\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u2043")})
+_QUOTES = str.maketrans({**dict.fromkeys("‘’´`", "'"), **dict.fromkeys("“”", '"')})
+_SPACES_AND_DASHES = re.compile("[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u00ad\u2010-\u2015\u2212\u2043-]")
+
+
+def whole_form(text: str | None) -> str | None:
+    """Normal form for comparing whole texts: NFKC, straight quotes, no space or dash,
+    lower case."""
+    return None if text is None else _SPACES_AND_DASHES.sub("", unicodedata.normalize("NFKC", text).translate(_QUOTES)).lower()
 
 
 def match_form(text: str | None) -> str | None:
-    """Normal form for matching: NFKC, straight quotes, no space or dash, lower case."""
-    if text is None:
-        return None
-    kept = unicodedata.normalize("NFKC", text).translate(_QUOTES_AND_DASHES)
-    return "".join(ch for ch in kept if not ch.isspace() and ch != "\ufeff").lower()
+    """The same by character, so that each character of the form has its place in the
+    text; a base and a combining mark stay two."""
+    return None if text is None else "".join(map(whole_form, text))
 
 
-def match_key(c: Column | str) -> Column:
-    """match_form of a column, in Arrow batches: Spark has no NFKC."""
+def match_key(c: Column | str, form=match_form) -> Column:
+    """A form of a column.  Plain ASCII needs no NFKC, which Spark lacks; other texts go
+    to Python in Arrow batches."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = c.rlike(r"\A[\x00-\x7F]*\z")
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(match_form)
+        return s.map(form)
 
-    return F.pandas_udf(run, StringType())(c)
+    ascii_form = F.lower(F.translate(F.regexp_replace(c, r"[\t\n\x0B\f\r \-]", ""), "`", "'"))
+    return F.coalesce(F.when(plain, ascii_form), F.pandas_udf(run, StringType())(F.when(~plain, c)))
 
 
 def match_index(nodes: list[str]) -> tuple[str, list[tuple[int, int]]]:

@@ -34,11 +34,14 @@ def upper_median(values: Column) -> Column:
 
 
 def filter_glyphs(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Upright glyphs off the page's margins, without small print at the foot."""
+    """Upright glyphs off the page's margins, without small print at the foot; a page
+    without a row of its own has no height, so nothing goes for its place."""
     g = glyphs.where(~F.coalesce("rotated", F.lit(False)))
-    g = g.withColumn("font_size", F.coalesce(F.when(F.col("font_size") > 0, F.col("font_size")), F.lit(10.0))).withColumn("baseline", F.coalesce("baseline", "y1"))
-    typical = upper_median(F.collect_list("font_size").over(Window.partitionBy("doc_id", "page_index")))
-    g = g.withColumn("typical", F.coalesce(typical, F.lit(10.0))).join(pages.select("doc_id", "page_index", "width", "height"), ["doc_id", "page_index"])
+    g = g.withColumn("font_size", F.coalesce("font_size", F.lit(10.0))).withColumn("baseline", F.coalesce("baseline", "y1"))
+    page = ["doc_id", "page_index"]
+    typical = g.groupBy(*page).agg(F.coalesce(upper_median(F.collect_list("font_size")), F.lit(10.0)).alias("typical"))  # once a page
+    sizes = typical.join(pages.select(*page, "width", "height"), page, "left").withColumn("height", F.coalesce("height", F.lit(0.0))).withColumn("width", F.coalesce("width", F.lit(0.0)))
+    g = g.join(sizes, page)
     mid, h = (F.col("y1") + F.col("y2")) / 2, F.col("height")
     margin = (mid > h * F.lit(0.945)) | (mid < h * F.lit(0.055)) | ((mid < h * F.lit(0.18)) & (F.col("font_size") < F.col("typical") * F.lit(0.82)))
     return g.where((h <= 0) | ~margin).drop("typical")

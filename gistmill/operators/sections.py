@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import vocab
-from gistmill.functions.text import NOT_AFTER, NOT_BEFORE, WS
+from gistmill.functions.text import BORDER, WS
 
 
 def page_section(text: Column) -> Column:
@@ -19,7 +19,7 @@ def page_section(text: Column) -> Column:
         out = F.when(early(f"(?:{words})"), role).otherwise(out)
     out = F.when(lead.rlike("[\u0600-\u06ff]"), out)
     for role, words in reversed(vocab.SECTION_WORDS):
-        out = F.when(early(f"(?iu){NOT_BEFORE}(?:{words}){NOT_AFTER}"), role).otherwise(out)
+        out = F.when(early(f"(?iu){BORDER}(?:{words}){BORDER}"), role).otherwise(out)
     return out
 
 

@@ -18,10 +18,9 @@ from gistmill.operators.geometry import _END, _NUMBERED, _WORDS, page_lines
 
 _BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 _CLAUSE = re.compile(r"[.;:!?»)]\s+")
-_BYLINE = re.compile(r"[A-Z][A-Za-z'’-]+\d[\d,]*")
+_BYLINE = re.compile(vocab.BYLINE_NAME)
 _AFTER_BYLINE = re.compile(r"[\s,;&]*(?:and\s+)?")
-_OF = r"(?:\s+(?:for|of|to|in)\s+(?:the\s+)?[A-Z][\w-]*(?:\s+[A-Z][\w-]*){0,2})?"
-_FUSED = re.compile(rf"(?:Phase\s*\d+\s*[:.]?|(?:{vocab.FUSED_WORDS}){_OF})\s*[:.]?\s+(?=[A-Z])", re.ASCII)
+_FUSED = re.compile(vocab.FUSED_HEADING, re.ASCII)
 _LETTERS = re.compile("[A-Za-z]{3}")
 
 

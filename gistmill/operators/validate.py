@@ -21,41 +21,35 @@ ENTRY = "struct<id:string,label:string,category:string,role:string,importance:st
 
 def strip_reasoning(c: Column) -> Column:
     """Without reasoning blocks; after a stray closing tag, what follows the last."""
-    c = F.regexp_replace(c, r"(?is)<(think|thinking|reasoning)>.*?</\1>", "")
-    c = F.regexp_replace(c, r"(?is)^.*</(?:think|thinking|reasoning)>", "")
+    c = F.regexp_replace(c, r"(?is)<(think|thinking|reasoning)>.*?</\1>", " ")
+    c = F.regexp_replace(c, r"(?is)^.*</think>", "")
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def _balanced(text: str):
-    """Top-level stretches from an opening bracket to its match, strings respected."""
-    i = 0
-    while i < len(text):
-        opener = text[i]
-        if opener not in "{[":
-            i += 1
-            continue
-        closer, depth, quoted, j = "}" if opener == "{" else "]", 0, False, i
-        while j < len(text):
-            ch = text[j]
-            if quoted:
-                if ch == "\\":
-                    j += 1
-                elif ch == '"':
-                    quoted = False
-            elif ch == '"':
-                quoted = True
-            elif ch == opener:
-                depth += 1
-            elif ch == closer:
-                depth -= 1
-                if not depth:
-                    break
-            j += 1
-        if j >= len(text):
-            i += 1
-            continue
-        yield text[i : j + 1]
-        i = j + 1
+    """Stretches from an opening bracket to its match, in one pass.  Strings count from
+    the start; after an opening bracket without a match there is nothing more."""
+    start, depth, quoted, escaped, opener, closer = -1, 0, False, False, "", ""
+    for i, ch in enumerate(text):
+        if quoted:
+            quoted = escaped or ch != '"'
+            escaped = ch == "\\" and not escaped
+        elif ch == '"':
+            quoted = True
+        elif start < 0:
+            if ch in "{[":
+                start, depth, opener, closer = i, 1, ch, "}" if ch == "{" else "]"
+        elif ch == opener:
+            depth += 1
+        elif ch == closer:
+            depth -= 1
+            if not depth:
+                yield text[start : i + 1]
+                start = -1
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is not JSON")
 
 
 def loose_json_text(text: str | None) -> str | None:
@@ -63,13 +57,13 @@ def loose_json_text(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        json.loads(text)
+        json.loads(text, parse_constant=_refuse)
         return text.strip()
     except ValueError:
         found = None
         for part in _balanced(text):
             try:
-                json.loads(part)
+                json.loads(part, parse_constant=_refuse)
                 found = part
             except ValueError:
                 continue

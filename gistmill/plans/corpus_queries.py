@@ -277,14 +277,11 @@ _PAGES = [
 
 def _section_sql() -> str:
     lead = f"regexp_replace(substr(text, 1, 160), '^{WS}+', '')"
-    # the first match of a word list within the first 13 characters, and none cut off by an earlier one
-    found = lambda words, edge: f"coalesce(nullif(length(regexp_extract(lead, '(?is)^(.*?){edge[0]}(?:{words}){edge[1]}', 1)), -1), 99)"
     out = "CASE "
     for role, words in vocab.SECTION_WORDS:
-        out += f"WHEN regexp_matches(lead, '(?is)^.{{0,12}}?(?:^|[^A-Za-z0-9_])(?:{words})(?:[^A-Za-z0-9_]|$)') AND regexp_matches(substr(lead, 1, 60), '(?is)^(?:|.{{0,11}}[^A-Za-z0-9_])(?:{words})(?:[^A-Za-z0-9_]|$)') THEN '{role}' "
+        out += f"WHEN regexp_matches(lead, '(?is)^.{{0,12}}\\b(?:{words})\\b') THEN '{role}' "
     for role, words in vocab.RTL_SECTION_WORDS:
         out += f"WHEN regexp_matches(lead, '(?s)^.{{0,12}}(?:{words})') THEN '{role}' "
-    del found
     return f"(SELECT doc_id, page_index, text, {out} END AS found FROM (SELECT *, {lead} AS lead FROM pages0))"
 
 
@@ -358,7 +355,7 @@ def _(spark, d):
 
 # selection, validation, reduce ----------------------------------------------------
 _REPLIES = [
-    (1, 4, 0, '{"selected":[{"id":0,"label":"goal","importance":0.8},{"id":2,"label":"method","importance":1.2}]}'),
+    (1, 4, 0, '{"selected":[{"id":3,"label":"novelty","importance":1.7},{"id":0,"label":"result","importance":0.35}]}'),
     (2, 4, 0, '{"selected":[{"id":1,"label":"goal","importance":0.4},{"id":1,"label":"method","importance":0.9}]}'),
     (3, 4, 0, '{"selected":[{"id":9,"label":"goal"},{"id":1,"label":"other"}]}'),
     (4, 4, 0, '{"selected":[]}'),
@@ -366,7 +363,7 @@ _REPLIES = [
     (6, 4, 2, '[{"id":0,"label":"goal","score":0.5},{"id":1,"label":"goal","score":0.9},{"id":3,"label":"goal","weight":0.7}]'),
 ]
 _ENTRIES = [
-    (1, 4, 0, 0, 0.0, "goal", 0.8), (1, 4, 0, 1, 2.0, "method", 1.2), (2, 4, 0, 0, 1.0, "goal", 0.4), (2, 4, 0, 1, 1.0, "method", 0.9), (3, 4, 0, 0, 9.0, "goal", None), (3, 4, 0, 1, 1.0, "other", None),
+    (1, 4, 0, 0, 3.0, "novelty", 1.7), (1, 4, 0, 1, 0.0, "result", 0.35), (2, 4, 0, 0, 1.0, "goal", 0.4), (2, 4, 0, 1, 1.0, "method", 0.9), (3, 4, 0, 0, 9.0, "goal", None), (3, 4, 0, 1, 1.0, "other", None),
     (5, 4, 0, 0, 1.0, "GOAL", 0.6), (5, 4, 0, 1, 2.0, "Result", None), (6, 4, 2, 0, 0.0, "goal", 0.5), (6, 4, 2, 1, 1.0, "goal", 0.9), (6, 4, 2, 2, 3.0, "goal", 0.7),
 ]
 _TOPK = """, numbered AS (SELECT * FROM named WHERE id >= 0 AND id < sentence_count QUALIFY row_number() OVER (PARTITION BY reply, id ORDER BY place) = 1)
@@ -398,7 +395,7 @@ def _(spark, d):
     return validate.adaptive_selection(validate.entries(r, "selected"), ["reply"])
 
 
-_CORE = [("problem", 0.7), ("development", 0.8), ("central_claim", 0.99), ("evidence", 0.4), ("significance", 0.6), ("evidence", 0.95)]
+_CORE = [("significance", 0.33), ("evidence", 0.52), ("problem", 0.21), ("development", 0.52), ("problem", 0.64), ("central_claim", 0.47), ("development", 0.15)]
 
 
 @query("reduce_core_roles", f"""WITH r AS (SELECT * FROM (VALUES {_values([(i, role, x) for i, (role, x) in enumerate(_CORE)])}) v(id, role, importance)),
@@ -408,7 +405,7 @@ SELECT 1 AS doc_id, id::BIGINT AS id, role, importance::DOUBLE AS importance FRO
 def _(spark, d):
     raw = '{"core":[' + ",".join(f'{{"id":{i},"role":"{role}","importance":{x}}}' for i, (role, x) in enumerate(_CORE)) + "]}"
     short = '{"core":[{"id":0,"role":"problem"},{"id":1,"role":"central_claim"},{"id":2,"role":"significance"}]}'
-    r = spark.createDataFrame([(1, 6, 4, raw), (2, 6, 4, short)], "doc_id int, sentence_count int, max_items int, json string")
+    r = spark.createDataFrame([(1, len(_CORE), 4, raw), (2, 6, 4, short)], "doc_id int, sentence_count int, max_items int, json string")
     return validate.reduced(validate.entries(r, "core", "selected"), ["doc_id"])
 
 
@@ -490,18 +487,6 @@ def _(spark, d):
     return view.annotation_rows(shown).select("doc_id", "key", "comment", "color", "page_label", "sort_index")
 
 
-@query("skim_run", f"""WITH {CANDS}, d AS (SELECT doc_id, sum(ceil((length(text) + 20) / 3.5::DOUBLE)) AS cost, 3 * count(DISTINCT page_index) AS most FROM sents GROUP BY doc_id)
-SELECT doc_id, sent_id, (40 + length(text) % 60) / 100.0::DOUBLE AS confidence FROM sents JOIN d USING (doc_id) WHERE cost <= {SkimConfig().selection_budget}
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (40 + length(text) % 60) / 100.0::DOUBLE DESC, sent_id) <= most""")
-def _(spark, d):
-    # the whole run; documents of one chunk, which SQL can follow
-    sents = text_sentences(_docs(spark, d))
-    cost = sents.groupBy("doc_id").agg(F.sum(budget.tokens(F.length("text") + budget.SENTENCE_OVERHEAD)).alias("cost"))
-    fits = cost.where(F.col("cost") <= SkimConfig().selection_budget).select("doc_id")
-    run = skim(sents, SkimConfig())
-    return run.classified.join(fits, "doc_id", "left_semi").select("doc_id", "sent_id", "confidence")
-
-
 @query("skim_run_all")
 def _(spark, d):
     return skim(text_sentences(_docs(spark, d)), SkimConfig()).viewed.select("doc_id", "sent_id", "chunk_id", "label", "confidence")
@@ -515,37 +500,22 @@ def _(spark, d):
     return quoted.select("doc_id", T.find_quote(F.col("hay"), F.col("q")).alias("at"))
 
 
-_ENTRY_SQL = f"{LINES}, entries AS (SELECT doc_id, CASE WHEN page_index % 2 = 0 THEN 'a' ELSE 'b' END AS set_name, page_index AS page, text, lower(text) AS norm FROM lines JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))"
+_ENTRY_SQL = f"{LINES}, entries AS (SELECT doc_id, CASE WHEN page_index % 2 = 0 THEN 'a' ELSE 'b' END AS set_name, page_index AS page, text, lower(text) AS norm FROM lines)"
 
 
-def _entries(spark, d, known=None):
+def _entries(spark, d):
     lines = segment.lines(_docs(spark, d))
-    lines = lines if known is None else lines.join(known, "doc_id")
     return lines.select("doc_id", F.when(F.col("page_index") % 2 == 0, "a").otherwise("b").alias("set_name"), F.col("page_index").alias("page"), "text")
 
 
 @query("overlap_semi_join", f"""WITH {_ENTRY_SQL}, m AS (SELECT count(*) AS matched FROM entries x WHERE set_name = 'a' AND length(norm) >= 20 AND EXISTS (SELECT 1 FROM entries y WHERE y.doc_id = x.doc_id AND y.set_name = 'b' AND length(y.norm) > 20 AND (contains(x.norm, y.norm) OR contains(y.norm, x.norm))))
 SELECT matched, total, CASE WHEN total = 0 THEN 0 ELSE matched::DOUBLE / total END AS share FROM m, (SELECT count(*) AS total FROM entries WHERE set_name = 'a')""")
-def _(spark, d):
-    # labelled documents, as in the SQL; overlap_semi_join_all takes all
-    return compare.overlap(_entries(spark, d, _read(spark, d, "labels").select("doc_id").distinct()), "a", "b", F.lower("text"))
-
-
-@query("overlap_semi_join_all")
 def _(spark, d):
     return compare.overlap(_entries(spark, d), "a", "b", F.lower("text"))
 
 
 @query("set_stats", f"""WITH {_ENTRY_SQL}, s AS (SELECT max(page) + 1 AS span FROM entries), t AS (SELECT *, least(2, floor(page * 3 / span::DOUBLE)) AS third FROM entries, s)
 SELECT set_name, count(*) AS n, count(DISTINCT page) AS pages, count(*) FILTER (third = 0) AS first_third, count(*) FILTER (third = 1) AS second_third, count(*) FILTER (third = 2) AS last_third, floor(avg(length(text)) + 0.5)::BIGINT AS mean_chars FROM t GROUP BY set_name""")
-def _(spark, d):
-    # labelled documents, as in the SQL; set_stats_all takes all
-    e = _entries(spark, d, _read(spark, d, "labels").select("doc_id").distinct())
-    span = F.broadcast(compare.page_span(e))  # one row
-    return compare.set_stats(e.join(span), F.col("span"))
-
-
-@query("set_stats_all")
 def _(spark, d):
     e = _entries(spark, d)
     span = F.broadcast(compare.page_span(e))  # one row

@@ -50,9 +50,20 @@ def write_state(rows: DataFrame, path: str) -> None:
 
 
 def delete_state(spark: SparkSession, path: str, keys: DataFrame) -> None:
-    """Remove the rows of some keys: what is left is written beside, then read from there."""
-    left = read_state(spark, path).join(keys, "cache_key", "left_anti")
-    write_state(left, f"{path}.next")
+    """Remove the rows of some keys.  What is left, rows of other versions included, is
+    written beside; then the folders change places, so a failure before loses nothing.
+    Without a table there is nothing to do."""
+    try:
+        left = spark.read.schema(STATE).parquet(path).join(keys.select("cache_key").distinct(), "cache_key", "left_anti")
+    except AnalysisException:
+        return
+    left.select(*_COLUMNS).write.mode("overwrite").partitionBy("cache_key").parquet(f"{path}.next")
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at(f"{path}.old"), True)
+    files.rename(at(path), at(f"{path}.old"))
+    files.rename(at(f"{path}.next"), at(path))
+    files.delete(at(f"{path}.old"), True)
 
 
 def cached_labels(state: DataFrame) -> DataFrame:

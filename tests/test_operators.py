@@ -98,9 +98,9 @@ def _replies(spark, *raw, count=4, most=0, empty=False):
 
 def test_selection(spark, rows):
     known = labels.default_labels(spark)
-    r = _replies(spark, '{"selected":[{"id":0,"label":"goal","importance":0.8},{"id":2,"label":"Method","importance":1.2},{"id":2,"label":"goal"},{"id":7,"label":"goal"},{"id":null,"label":"goal"},{"id":1,"label":"x"}]}', '{"selected":[]}', "{}", '[{"id":"1.9","label":" RESULT ","weight":"0.3"}]')
+    r = _replies(spark, '{"selected":[{"id":0,"label":"goal","importance":0.15},{"id":2,"label":"Method","importance":3},{"id":2,"label":"goal"},{"id":7,"label":"goal"},{"id":null,"label":"goal"},{"id":1,"label":"x"}]}', '{"selected":[]}', "{}", '[{"id":"1.9","label":" RESULT ","weight":"0.3"}]')
     got = validate.selection(r, known, ["n"])
-    assert rows(got) == [(0, 0, "goal", 0.8), (0, 2, "method", 1.0), (3, 1, "result", 0.3)]
+    assert rows(got) == [(0, 0, "goal", 0.15), (0, 2, "method", 1.0), (3, 1, "result", 0.3)]
     assert rows(validate.accepted(r, got, ["n"])) == [(0, True), (1, False), (2, False), (3, True)]
     r = _replies(spark, '{"selected":[]}', empty=True)
     assert rows(validate.accepted(r, validate.selection(r, known, ["n"]), ["n"])) == [(0, True)]

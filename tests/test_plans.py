@@ -96,9 +96,9 @@ def test_sets_of_all_documents(spark):
         if len(x.text) > 20:
             long.setdefault(x.doc_id, []).append(x.text.lower())
     matched = sum(len(x.text) >= 20 and any(y in x.text.lower() or x.text.lower() in y for y in long.get(x.doc_id, [])) for x in sets["a"])
-    got = corpus_queries.queries()["overlap_semi_join_all"](spark, DATA).first()
+    got = corpus_queries.queries()["overlap_semi_join"](spark, DATA).first()
     assert (got.matched, got.total) == (matched, len(sets["a"]))
-    stats = {r.set_name: (r.n, r.pages, r.mean_chars) for r in corpus_queries.queries()["set_stats_all"](spark, DATA).collect()}
+    stats = {r.set_name: (r.n, r.pages, r.mean_chars) for r in corpus_queries.queries()["set_stats"](spark, DATA).collect()}
     want = {s: (len(v), len({x.page_index for x in v}), math.floor(sum(len(x.text) for x in v) / len(v) + 0.5)) for s, v in sets.items() if v}
     assert stats == want
 

@@ -252,7 +252,6 @@ def test_search_equals_brute_force(spark, monkeypatch, shard):
 
 def test_blocks_and_floors_of_a_shard_lose_nothing(monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 4)
-    monkeypatch.setattr(search, "OPEN", 1)
     rng = np.random.default_rng(5)
     texts = [words(rng, int(rng.integers(1, 60)), int(rng.choice([20, 300]))) for _ in range(150)] + ["", "", "w1 w1"]
     term, doc, count, length = search.postings(kernel.strings(pa.array(texts)))

@@ -314,11 +314,12 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
 
     placed = table(live.select("key", "rep", "head").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-    several = classes.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("several"))  # a link of one text says nothing of another's
-    wide = placed.join(open_keys, "key").join(several, "rep", "left").join(several.select(F.col("rep").alias("head"), F.col("several").alias("unsure")), "head", "left")
+    several = classes.groupBy("rep").count().where("count > 1").select("rep")  # a link of one text says nothing of another's
+    sure = linked.join(several, linked["x"] == several["rep"], "left_anti").join(several, linked["y"] == several["rep"], "left_anti")
+    wide = placed.join(open_keys, "key").join(several.withColumn("several", F.lit(True)), "rep", "left")
     wide = wide.join(near.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("near")), ["head", "rep"], "left")
-    wide = wide.join(linked.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("link")), ["head", "rep"], "left")
-    by_head = ((F.col("rep") == F.col("head")) | F.col("link").isNotNull()) & F.col("several").isNull() & F.col("unsure").isNull()
+    wide = wide.join(sure.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("link")), ["head", "rep"], "left")
+    by_head = ((F.col("rep") == F.col("head")) & F.col("several").isNull()) | F.col("link").isNotNull()
     wide = table(wide.select("key", "rep", "component", by_head.alias("linked"), F.col("near").isNotNull().alias("near")), "wide")
     sizes = wide.groupBy("key").agg(F.count_if("linked").alias("heads"), F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & F.col("near")).alias("nears"))
     hot = (F.col("key").bitwiseAND(F.lit(1)) == 0) & (F.col("others") > HOT)

@@ -59,13 +59,13 @@ def loose_json_text(text: str | None) -> str | None:
     try:
         json.loads(text, parse_constant=_refuse)
         return text.strip()
-    except ValueError:
+    except (ValueError, RecursionError):
         found = None
         for part in _balanced(text):
             try:
                 json.loads(part, parse_constant=_refuse)
                 found = part
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
         return found
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gistmill.operators import budget, compare, labels, sections, segment, validate, view, zoning
@@ -204,3 +205,19 @@ def test_complete_runs_and_order(spark, rows):
     state = spark.createDataFrame([(1, True), (2, False)], "doc_id long, complete boolean")
     got = view.in_order(view.of_complete_runs(shown, state)).collect()
     assert [tuple(r) for r in got] == [(1, 0, 9), (1, 1, 5)]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ('{"selected":[{"id":0,"label":"goal"}]', None),
+        ('so {"a": 1} and then [2', '{"a": 1}'),
+        ('a "quoted { bracket" before {"a": 2}', '{"a": 2}'),
+        ('an open "quote {"a": 3}', None),
+        ('{"a": NaN}', None),
+        ("first [1] then [Infinity]", "[1]"),
+        ("{" * 20_000, None),
+    ],
+)
+def test_replies_cut_short_and_quotes_outside(given, want):
+    assert validate.loose_json_text(given) == want

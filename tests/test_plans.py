@@ -221,3 +221,19 @@ def test_config_from_session(spark):
         assert SkimConfig.from_session(spark).context_limit == 4096
     finally:
         spark.conf.unset("gistmill.context_tokens")
+
+
+def test_deleted_state_is_gone_from_the_table_itself(spark, tmp_path):
+    from gistmill.sources import state
+
+    path = f"file://{tmp_path}/state"
+    keys = spark.createDataFrame([("k1",), ("k1",)], "cache_key string")
+    state.delete_state(spark, path, keys)  # nothing to delete from
+    rows = spark.createDataFrame([(i,) for i in (1, 2)], "doc_id long")
+    for name, kind in (c.rsplit(" ", 1) for c in ("prompt_version int", "complete boolean", "classified_count int", "page_span int", "tokens_in long", "tokens_out long", "reduced boolean", "core_count int", "chunk_budget int", "tldr string")):
+        rows = rows.withColumn(name, F.lit(state.vocab.PROMPT_VERSION if name == "prompt_version" else None).cast(kind))
+    rows = rows.withColumn("saved_keys", F.array().cast("array<string>")).withColumn("labels", F.array().cast("array<struct<key:string,name:string,color:string>>"))
+    rows = rows.withColumn("sentences", F.array().cast(f"array<{state.SENTENCE}>")).withColumn("cache_key", F.concat(F.lit("k"), "doc_id"))
+    state.write_state(rows, path)
+    state.delete_state(spark, path, keys)
+    assert [r.cache_key for r in state.read_state(spark, path).collect()] == ["k2"]

@@ -100,3 +100,16 @@ def test_match_index_maps_back():
     form, back = T.match_index(["The ﬁrst", " – “part”"])
     assert form == 'thefirst"part"' and len(back) == len(form)
     assert back[3] == back[4] == (0, 4) and back[form.index('"')] == (1, 3)
+
+
+def test_match_form_is_by_character():
+    marks = "re\u0301sume\u0301 of “ﬁne” well\u2010known things"
+    form, back = T.match_index([marks])
+    assert T.match_form(marks) == form and len(back) == len(form)
+    assert [marks[i] for _, i in back][:4] == ["r", "e", "\u0301", "s"]
+    assert T.whole_form(marks).startswith("résumé")
+
+
+def test_plain_ascii_has_the_same_form_in_both_ways(spark):
+    for text in ("A `b` - c\td\x1c", "", "x\ny"):
+        assert one(spark, T.match_key, text) == T.match_form(text)

@@ -51,14 +51,16 @@ def chunk_ids(lengths: list[int], places: list[tuple], budget: int) -> list[int]
     return out
 
 
-def chunks(sents: DataFrame, budget: int) -> DataFrame:
-    """sents (doc_id, sent_id, page_index, text, section) with chunk_id and local_id."""
+def chunks(sents: DataFrame, budget: int | Column) -> DataFrame:
+    """sents (doc_id, sent_id, page_index, text, section) with chunk_id and local_id.
+    A budget that is a column is the same in all rows of a document."""
     schema = "doc_id long, sent_id long, chunk_id int, local_id int"
-    narrow = sents.select("doc_id", "sent_id", "page_index", "section", F.length("text").alias("n"))
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    narrow = sents.select("doc_id", "sent_id", "page_index", "section", F.length("text").alias("n"), limit.alias("budget"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sent_id")
-        ids = chunk_ids(pdf["n"].tolist(), list(zip(pdf["section"], pdf["page_index"], strict=True)), budget)
+        ids = chunk_ids(pdf["n"].tolist(), list(zip(pdf["section"], pdf["page_index"], strict=True)), int(pdf["budget"].iat[0]))
         out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "sent_id": pdf["sent_id"].to_numpy(), "chunk_id": ids})
         out["local_id"] = out.groupby("chunk_id").cumcount()
         return out

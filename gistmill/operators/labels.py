@@ -108,5 +108,16 @@ def reconcile(selected: DataFrame) -> DataFrame:
     return selected.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_id int, id long, key string, name string, importance double")
 
 
+def known_before(reconciled: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, unit_id, known: names of the labels that earlier units of the document
+    brought up, in that order, for each unit with any.  reconciled: as reconcile gives
+    it; units: doc_id, unit_id.  A document has at most MOST_EVOLVING labels."""
+    seen = reconciled.groupBy("doc_id", "key").agg(F.min(F.struct("chunk_id", "id", "name")).alias("first"))
+    seen = seen.groupBy("doc_id").agg(F.array_sort(F.collect_list("first")).alias("seen"))
+    before = F.filter("seen", lambda s: s["chunk_id"] < F.col("unit_id"))
+    out = units.select("doc_id", "unit_id").distinct().join(seen, "doc_id").where(F.size(before) > 0)
+    return out.select("doc_id", "unit_id", F.array_join(F.transform(before, lambda s: s["name"]), ", ").alias("known"))
+
+
 def slugs(names: DataFrame, column: str) -> DataFrame:
     return names.select(column, label_slug(F.col(column)).alias("slug"))

@@ -35,11 +35,12 @@ def selection_requests(chunked: DataFrame) -> DataFrame:
     return grouped.withColumn("user", F.concat(head, "body")).drop("body")
 
 
-def adaptive_requests(units: DataFrame, known: Column, per_unit: Column) -> DataFrame:
-    """As selection_requests for units whose labels may grow: known labels come first."""
-    grouped = units.groupBy("doc_id", "unit_id").agg(F.count("*").alias("sentence_count"), sentence_list("local_id").alias("body"))
-    head = F.concat(F.lit("Use these labels where they fit, else name a new one: "), known, F.lit("\n"))
-    return grouped.withColumn("max_items", per_unit).withColumn("user", F.concat(head, "body")).drop("body")
+def adaptive_requests(units: DataFrame, known: DataFrame, per_unit: Column) -> DataFrame:
+    """As selection_requests for units whose labels may grow: the labels known so far
+    come first.  known: doc_id, unit_id, known (text); a unit without a row knows none."""
+    grouped = units.groupBy("doc_id", "unit_id").agg(F.count("*").alias("sentence_count"), sentence_list("local_id").alias("body")).join(known, ["doc_id", "unit_id"], "left")
+    head = F.concat(F.lit("Use these labels where they fit, else name a new one: "), F.coalesce("known", F.lit("none yet")), F.lit("\n"))
+    return grouped.withColumn("max_items", per_unit).withColumn("user", F.concat(head, "body")).drop("body", "known")
 
 
 def reduce_requests(candidates: DataFrame, target: Column) -> DataFrame:

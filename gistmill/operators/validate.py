@@ -115,13 +115,15 @@ def _unit(c: Column) -> Column:
 
 def selection(replies: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, label, importance of the valid entries.  replies: keys, items,
-    sentence_count, max_items (null or 0: no limit); labels: key, name."""
+    sentence_count, max_items (null or 0: no limit); labels: key, name, with doc_id
+    where each document has a set of its own (keys then hold doc_id)."""
+    own = ["doc_id"] if "doc_id" in labels.columns else []
     rows = _numbered(replies, keys)
     rows = rows.withColumn("id", number(F.col("e.id")).cast("long")).where(F.col("id").between(0, F.col("sentence_count") - 1))
-    names = labels.select(F.lower("key").alias("said"), "key", F.lit(0).alias("by")).unionByName(labels.select(F.lower("name").alias("said"), "key", F.lit(1).alias("by")))
-    names = names.groupBy("said").agg(F.max_by("key", "by").alias("label"))
+    names = labels.select(*own, F.lower("key").alias("said"), "key", F.lit(0).alias("by")).unionByName(labels.select(*own, F.lower("name").alias("said"), "key", F.lit(1).alias("by")))
+    names = names.groupBy(*own, "said").agg(F.max_by("key", "by").alias("label"))
     rows = rows.withColumn("said", F.lower(F.trim(F.coalesce("e.label", "e.category", F.lit("")))))
-    rows = rows.join(F.broadcast(names), "said")  # at most 16 names of a label set
+    rows = rows.join(names if own else F.broadcast(names), [*own, "said"])  # one label set has at most 16 names
     score = F.coalesce(*(number(F.col(f"e.{n}")) for n in ("importance", "confidence", "score", "weight")), F.lit(0.7))
     rows = _first_of_id(rows.withColumn("importance", _unit(score)), keys)
     return _strongest(rows, keys).select(*keys, "id", "label", "importance")

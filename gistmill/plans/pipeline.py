@@ -64,20 +64,23 @@ def skim(sents: DataFrame, config: SkimConfig, label_set: DataFrame | None = Non
 def skim_evolving(sents: DataFrame, config: SkimConfig, replies: DataFrame) -> Run:
     """The run of long works, whose labels grow as they are read: bands, or chunks of
     bands, are asked in order, labels are reconciled over each document's units.
-    replies: doc_id, unit_id, attempt, raw, usage_in, usage_out."""
+    replies: doc_id, unit_id, attempt, raw, usage_in, usage_out.  Each request carries
+    the labels that the replies to earlier units brought up, so a live selector is asked
+    unit by unit, with the replies so far."""
     units = budget.banded_chunks(sents, config.selection_budget)
     plan = budget.band_plan(sents).select("doc_id", "target")
     counts = units.groupBy("doc_id").agg(F.countDistinct("unit_id").alias("units")).join(plan, "doc_id")
-    asked = prompts.adaptive_requests(units, F.lit("none yet"), F.lit(None).cast("int")).drop("max_items")
-    asked = asked.join(counts.select("doc_id", budget.per_unit(F.col("target"), F.col("units")).alias("max_items")), "doc_id")
+    most = counts.select("doc_id", budget.per_unit(F.col("target"), F.col("units")).alias("max_items"))
+    sizes = units.groupBy("doc_id", "unit_id").agg(F.count("*").alias("sentence_count")).join(most, "doc_id")
     keys = ["doc_id", "unit_id", "attempt"]
     read = replies.where(F.col("attempt") < select.ATTEMPTS).withColumn("json", validate.loose_json(validate.strip_reasoning(F.col("raw"))))
-    read = validate.entries(read.join(asked.select("doc_id", "unit_id", "sentence_count", "max_items"), ["doc_id", "unit_id"]).withColumn("allow_empty", F.lit(True)), "selected")
+    read = validate.entries(read.join(sizes, ["doc_id", "unit_id"]).withColumn("allow_empty", F.lit(True)), "selected")
     valid = validate.adaptive_selection(read, keys)
     first = validate.accepted(read, valid, keys).where("accepted").groupBy("doc_id", "unit_id").agg(F.min("attempt").alias("attempt"))
-    failed = asked.join(first, ["doc_id", "unit_id"], "left_anti").select("doc_id", F.col("unit_id").alias("chunk_id"), F.lit("no valid reply").alias("error"))
-    picked = labels.reconcile(valid.join(first, keys).withColumnRenamed("unit_id", "chunk_id").drop("attempt"))
-    picked = picked.select("doc_id", F.col("chunk_id").alias("unit_id"), F.col("id").alias("local_id"), F.col("key").alias("label"), F.col("importance").alias("confidence"))
+    failed = sizes.join(first, ["doc_id", "unit_id"], "left_anti").select("doc_id", F.col("unit_id").alias("chunk_id"), F.lit("no valid reply").alias("error"))
+    named = labels.reconcile(valid.join(first, keys).withColumnRenamed("unit_id", "chunk_id").drop("attempt"))
+    asked = prompts.adaptive_requests(units, labels.known_before(named, units), F.lit(None).cast("int")).drop("max_items").join(most, "doc_id")
+    picked = named.select("doc_id", F.col("chunk_id").alias("unit_id"), F.col("id").alias("local_id"), F.col("key").alias("label"), F.col("name").alias("label_name"), F.col("importance").alias("confidence"))
     classified = units.join(picked, ["doc_id", "unit_id", "local_id"]).withColumn("core", F.lit(False)).withColumnRenamed("unit_id", "chunk_id")
     state = units.groupBy("doc_id").agg(F.count("*").cast("int").alias("classified_count"), (F.max("page_index") + 1).alias("page_span"))
     state = state.join(validate.token_usage(replies), "doc_id", "left").withColumn("complete", F.lit(True))

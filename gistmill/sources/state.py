@@ -1,8 +1,9 @@
-"""Run state: a Parquet table with a partition for each cache key, and its key.
+"""Run state: a Parquet table in buckets by the head of the cache key, and its key.
 
 Columns: cache_key, prompt_version, doc_id, complete, classified_count, page_span,
 tokens_in, tokens_out, reduced, core_count, chunk_budget, saved_keys, tldr, labels,
-sentences (array of structs).  Writing replaces the partitions of the keys written.
+sentences (array of structs).  Writing replaces the rows of the keys written, and
+touches their buckets only; one run writes at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ STATE = (
 _COLUMNS = ["doc_id", "prompt_version", "complete", "classified_count", "page_span", "tokens_in", "tokens_out", "reduced", "core_count", "chunk_budget", "saved_keys", "tldr", "labels", "sentences", "cache_key"]
 
 
+#: Characters of the key that name a bucket: 4,096 folders for hexadecimal keys.
+BUCKET_CHARS = 3
+
+
+def _bucket() -> Column:
+    return F.concat(F.lit("h"), F.substring("cache_key", 1, BUCKET_CHARS)).alias("bucket")
+
+
 def cache_key(text: Column, provider: str, model: str, mode: str, label_keys: list[str]) -> Column:
     """SHA-256 of file hash, provider, model, mode, label keys and version."""
     parts = [F.sha2(F.encode(text, "UTF-8"), 256), *map(F.lit, (provider, model, mode, ",".join(label_keys), f"v{vocab.PROMPT_VERSION}"))]
@@ -45,8 +54,17 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state(rows: DataFrame, path: str) -> None:
-    """Replace the partitions of the keys in rows; others stay."""
-    rows.select(*_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
+    """Replace the rows of the keys in rows; other keys stay.  Rows are read twice, so
+    they should come from a written table."""
+    new = rows.select(*_COLUMNS)
+    try:
+        old = rows.sparkSession.read.schema(f"{STATE}, bucket string").parquet(path)
+        old = old.join(new.select(_bucket()).distinct(), "bucket", "left_semi").join(new.select("cache_key"), "cache_key", "left_anti")
+        new = new.unionByName(old.select(*_COLUMNS))
+    except AnalysisException:  # nothing written yet
+        pass
+    new = new.repartitionByRange("cache_key").select("*", _bucket())
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def delete_state(spark: SparkSession, path: str, keys: DataFrame) -> None:
@@ -57,7 +75,7 @@ def delete_state(spark: SparkSession, path: str, keys: DataFrame) -> None:
         left = spark.read.schema(STATE).parquet(path).join(keys.select("cache_key").distinct(), "cache_key", "left_anti")
     except AnalysisException:
         return
-    left.select(*_COLUMNS).write.mode("overwrite").partitionBy("cache_key").parquet(f"{path}.next")
+    left.select(*_COLUMNS, _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.next")
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(at(f"{path}.old"), True)

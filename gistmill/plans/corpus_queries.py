@@ -327,22 +327,51 @@ def _(spark, d):
     return budget.bands(s, budget.band_plan(s)).select("doc_id", "sent_id", "band_id")
 
 
-@query("chunks")
+def _chunk_sql(rows: str, budget: int, whole: str = "false") -> str:
+    """A relation `chunked` of `rows` (doc_id, band_id, sent_id, page_index, text): a
+    recursion from one start of a chunk to the next.  Sequences for which `whole`
+    holds (of `spent`, their estimate) stay one chunk."""
+    return f"""placed AS (SELECT *, row_number() OVER one - 1 AS i, (2 * (length(text) + 20) + 6) // 7 AS cost, length(text) + 20 AS size, page_index <> lag(page_index) OVER one AS moved FROM {rows} WINDOW one AS (PARTITION BY doc_id, band_id ORDER BY sent_id)),
+summed AS (SELECT *, sum(cost) OVER upto AS costs, sum(size) OVER upto AS sizes FROM placed WINDOW upto AS (PARTITION BY doc_id, band_id ORDER BY i)),
+held AS (SELECT doc_id, band_id, count(*) AS n, [0] || list(costs::BIGINT ORDER BY i) AS p, [0] || list(sizes::BIGINT ORDER BY i) AS q, coalesce(list(i ORDER BY i) FILTER (moved), []) AS moves, (2 * sum(size) + 6) // 7 AS spent FROM summed GROUP BY ALL),
+step AS (SELECT doc_id, band_id, 0::BIGINT AS start, 0::BIGINT AS seen, 0::BIGINT AS base FROM held UNION ALL
+  SELECT doc_id, band_id, begun, over, (2 * (q[over + 1] - q[begun + 1]) + 6) // 7 FROM (
+    SELECT *, CASE WHEN moved - start > 0.4 * (over - start) THEN moved ELSE over END AS begun FROM (
+      SELECT *, coalesce(list_max(list_filter(moves, lambda c: c > seen AND c <= over)), 0) AS moved FROM (
+        SELECT doc_id, band_id, start, seen, q, moves, list_min(list_filter(range(seen + 1, n), lambda j: base + p[j + 2] - p[seen + 1] > {budget})) AS over
+        FROM step JOIN held USING (doc_id, band_id) WHERE NOT ({whole})) WHERE over IS NOT NULL))),
+begins AS (SELECT *, row_number() OVER (PARTITION BY doc_id, band_id ORDER BY start) - 1 AS chunk_id FROM step),
+chunked AS (SELECT p.doc_id, p.band_id, p.sent_id, p.text, b.chunk_id, p.i - b.start AS local_id FROM placed p ASOF JOIN begins b ON b.doc_id = p.doc_id AND b.band_id = p.band_id AND b.start <= p.i)"""
+
+
+_BODY = "WITH RECURSIVE " + CANDS + ", body AS (SELECT *, 0 AS band_id FROM sents), "
+_ESTIMATES = "SELECT doc_id, chunk_id::INT AS chunk_id, ceil(sum(length(text) + 20) / 3.5::DOUBLE)::BIGINT AS tokens FROM chunked GROUP BY ALL"
+
+
+@query("chunks", f"{_BODY}{_chunk_sql('body', 1500)} SELECT doc_id, sent_id, chunk_id::INT AS chunk_id, local_id::INT AS local_id FROM chunked")
 def _(spark, d):
     s = _sents(spark, d).withColumn("section", F.lit("body"))
     return budget.chunks(s, 1500).select("doc_id", "sent_id", "chunk_id", "local_id")
 
 
-@query("chunk_estimates")
+@query("chunk_estimates", f"{_BODY}{_chunk_sql('body', 1500)} {_ESTIMATES}")
 def _(spark, d):
     s = _sents(spark, d).withColumn("section", F.lit("body"))
     return budget.token_estimate(budget.chunks(s, 1500), "doc_id", "chunk_id")
 
 
-@query("chunk_guard")
+@query("chunk_guard", f"{_BODY}{_chunk_sql('body', 150)} SELECT * FROM ({_ESTIMATES}) WHERE tokens > 150 * 1.2::DOUBLE")
+def _(spark, d):
+    # a budget that some single sentences are over
+    s = _sents(spark, d).withColumn("section", F.lit("body"))
+    return budget.chunk_guard(budget.chunks(s, 150), 150)
+
+
+@query("banded_chunks", f"""WITH RECURSIVE {_PLAN}, body AS (SELECT s.*, floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::DOUBLE / ceil(n::DOUBLE / bands))::INT AS band_id FROM sents s JOIN plan USING (doc_id)),
+{_chunk_sql("body", 400, "spent <= 400")} SELECT doc_id, sent_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY band_id, chunk_id) - 1)::INT AS unit_id, local_id::INT AS local_id FROM chunked""")
 def _(spark, d):
     s = _sents(spark, d).withColumn("section", F.lit("body"))
-    return budget.chunk_guard(budget.chunks(s, SkimConfig().selection_budget), SkimConfig().selection_budget)
+    return budget.banded_chunks(s, 400).select("doc_id", "sent_id", "unit_id", "local_id")
 
 
 _UNITS = [(doc, u, size, done) for doc, done in ((1, 20), (2, 39), (3, 50), (4, 0)) for u, size in enumerate((20, 20, 10))]
@@ -493,13 +522,31 @@ def _(spark, d):
 
 
 # matching and comparison ----------------------------------------------------------
-@query("quote_match")
+def sql_form(c: str) -> str:
+    """DuckDB has no NFKC; the tables' texts are in that form already."""
+    return rf"lower(regexp_replace(translate({c}, '‘’´`“”', repeat(chr(39), 4) || repeat(chr(34), 2)), '[\t\n\x0B\f\r \x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}\x{{00AD}}\x{{2010}}-\x{{2015}}\x{{2212}}\x{{2043}}-]', '', 'g'))"
+
+
+def _find_sql(hay: str, q: str) -> str:
+    tries = [f"nullif(instr({hay}, {q}), 0)"]
+    for ratio in vocab.QUOTE_RATIOS:
+        k = f"floor(length({q}) * {ratio}::DOUBLE)::INT"
+        tries.append(f"CASE WHEN {k} >= 12 THEN nullif(instr({hay}, substr({q}, 1, {k})), 0) END")
+    return f"CASE WHEN length({q}) < 8 THEN -1 ELSE coalesce({', '.join(tries)}, 0) - 1 END"
+
+
+@query("quote_match", f"SELECT doc_id, {_find_sql('hay', 'q')} AS at FROM (SELECT doc_id, {sql_form('t')} AS hay, {sql_form('substr(t, 5, 60) || %s' % repr(' and a drifting end'))} AS q FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 def _(spark, d):
-    docs = _docs(spark, d).where("text is not null")
+    docs = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     quoted = docs.select("doc_id", T.match_key("text").alias("hay"), T.match_key(F.concat(F.substring("text", 5, 60), F.lit(" and a drifting end"))).alias("q"))
     return quoted.select("doc_id", T.find_quote(F.col("hay"), F.col("q")).alias("at"))
 
 
+@query("comparison_form", f"SELECT doc_id, page_index, {sql_form('text')} AS form FROM (WITH {LINES} SELECT * FROM lines)")
+def _(spark, d):
+    return segment.lines(_docs(spark, d)).select("doc_id", "page_index", T.match_key("text", T.whole_form).alias("form"))
+
+
 _ENTRY_SQL = f"{LINES}, entries AS (SELECT doc_id, CASE WHEN page_index % 2 = 0 THEN 'a' ELSE 'b' END AS set_name, page_index AS page, text, lower(text) AS norm FROM lines)"
 
 
@@ -563,7 +610,12 @@ def _(spark, d):
     return geometry.positions(specs, pages).select("doc_id", "page_index", "start_char", F.size("rects").alias("rects"))
 
 
-@query("reduce_run")
+@query("reduce_run", f"""WITH {_SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS id, count(*) OVER (PARTITION BY doc_id) AS n, max(page_index) OVER (PARTITION BY doc_id) + 1 AS span FROM scored WHERE label <> 'none'),
+r AS (SELECT *, ['problem', 'development', 'central_claim', 'evidence', 'significance'][(id % 5 + 1)::INT] AS role FROM c WHERE n >= 6),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY confidence DESC, id) = 1 AS top,
+  max(confidence) FILTER (role = 'development') OVER (PARTITION BY doc_id) >= max(confidence) FILTER (role = 'evidence') OVER (PARTITION BY doc_id) AS developed FROM r),
+k AS (SELECT *, top AND role <> CASE WHEN developed THEN 'evidence' ELSE 'development' END AS needed FROM b)
+SELECT doc_id, sent_id, confidence FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY needed DESC, confidence DESC, id) <= least(24, greatest(4, floor(span * 1.2::DOUBLE + 0.5)))""")
 def _(spark, d):
     s = _scored(spark, d).where("label <> 'none'").withColumn("section", F.lit("body"))
     roles = F.element_at(F.array(*map(F.lit, vocab.NARRATIVE_ROLES)), (F.col("n") % 5 + 1).cast("int"))
@@ -572,6 +624,131 @@ def _(spark, d):
     return reduce_core(s, replies).where("core").select("doc_id", "sent_id", "confidence")
 
 
+# requests, views and replies over whole tables --------------------------------------
+_LISTED = "string_agg(sent_id || ' | page ' || (page_index + 1) || ' | section body | ' || text, chr(10) ORDER BY sent_id)"
+
+
+@query("reduce_prompts", f"""WITH {CANDS} SELECT doc_id, count(*) AS sentence_count, least(24, greatest(4, floor((max(page_index) + 1) * 1.2::DOUBLE + 0.5)))::INT AS max_items,
+ 'Keep the smallest set that tells the whole story, at most ' || max_items || ', each with one role of {", ".join(vocab.NARRATIVE_ROLES)}.' || chr(10) || {_LISTED} AS "user" FROM sents GROUP BY doc_id HAVING count(*) >= 6""")
+def _(spark, d):
+    s = _sents(spark, d).withColumn("section", F.lit("body")).withColumnRenamed("sent_id", "cand_id")
+    return prompts.reduce_requests(s, validate.reduce_target(F.col("span")))
+
+
+@query("adaptive_prompts", f"""WITH {_PLAN}, u AS (SELECT s.doc_id, s.sent_id, page_index, text, floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::DOUBLE / ceil(n::DOUBLE / bands))::INT AS unit_id FROM sents s JOIN plan USING (doc_id))
+SELECT doc_id, unit_id, count(*) AS sentence_count, 2 AS max_items, 'Use these labels where they fit, else name a new one: ' || CASE WHEN unit_id = 0 THEN 'none yet' ELSE 'goal, label ' || unit_id END || chr(10) || {_LISTED} AS "user" FROM u GROUP BY doc_id, unit_id""")
+def _(spark, d):
+    s = _sents(spark, d).withColumn("section", F.lit("body"))
+    units = budget.bands(s, budget.band_plan(s)).withColumnRenamed("band_id", "unit_id").withColumn("local_id", F.col("sent_id"))
+    known = units.where("unit_id > 0").select("doc_id", "unit_id", F.concat(F.lit("goal, label "), F.col("unit_id").cast("string")).alias("known")).distinct()
+    return prompts.adaptive_requests(units, known, F.lit(2))
+
+
+@query("summary_prompts", f"SELECT doc_id, 'Say in two to four plain sentences what this text is about, from the text only.' || chr(10) || chr(10) || t AS \"user\" FROM (SELECT doc_id, {sql_trim('substr(coalesce(text, %s) || chr(10), 1, 14000)' % repr(''))} AS t FROM documents) WHERE t <> ''")
+def _(spark, d):
+    return prompts.summary_requests(segment.leading_text(segment.lines(_docs(spark, d))))
+
+
+@query("summary_texts", r"SELECT doc_id, CASE WHEN length(t) >= 20 THEN t END AS summary FROM (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 5 + doc_id % 60), '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", validate.summary_text(F.col("text").substr(F.lit(1), (5 + F.col("doc_id") % 60).cast("int"))).alias("summary"))
+
+
+@query("loose_replies", """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '{"selected":[{"id":' || doc_id || ',"label":"' || coalesce(source, '') || '"}]}' END AS json FROM documents""")
+def _(spark, d):
+    # a reply with reasoning and words around it, cut short in every third row
+    said = [F.lit('<think>first {"selected":[]}</think> so: {"selected":[{"id":'), F.col("doc_id").cast("string"), F.lit(',"label":"'), F.coalesce("source", F.lit("")), F.lit('"}]'), F.when(F.col("doc_id") % 3 == 0, "").otherwise("} as asked")]
+    return _docs(spark, d).select("doc_id", validate.loose_json(validate.strip_reasoning(F.concat(*said))).alias("json"))
+
+
+@query("stripped_replies", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE 'answer' END || turn AS reply FROM conversations")
+def _(spark, d):
+    thought = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", "")
+    block = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" <think>"), thought, F.lit("</think> answer"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<Reasoning>"), thought, F.lit("</Reasoning>\n answer"))).otherwise(F.concat(thought, F.lit(" </think> ")))
+    return _read(spark, d, "conversations").select("conv_id", "turn", validate.strip_reasoning(F.concat(block, F.col("turn").cast("string"))).alias("reply"))
+
+
+@query("token_usage", "SELECT conv_id AS doc_id, sum(coalesce(length(text), 0))::BIGINT AS tokens_in, sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE turn END)::BIGINT AS tokens_out FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = _read(spark, d, "conversations")
+    spent = F.when(F.col("turn") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("turn").cast("double"))
+    return validate.token_usage(c.select(F.col("conv_id").alias("doc_id"), F.length("text").alias("usage_in"), spent.alias("usage_out")))
+
+
+_STATE = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 <> 1 END"
+
+
+@query("complete_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, 0 AS start_char, length(text) AS end_char, color, label_name, text FROM shown WHERE coalesce({_STATE}, true)")
+def _(spark, d):
+    shown = view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
+    state = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 != 1).alias("complete"))
+    return view.of_complete_runs(shown, state)
+
+
+@query("grouped_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, count(*) AS n, string_agg(color || ' ' || text, chr(10) ORDER BY length(text), color, text) AS specs FROM shown GROUP BY ALL")
+def _(spark, d):
+    shown = view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
+    listed = F.array_join(F.transform("specs", lambda s: F.concat(s["color"], F.lit(" "), s["text"])), "\n")
+    return view.grouped(shown, "page_index").select("doc_id", "page_index", F.size("specs").cast("long").alias("n"), listed.alias("specs"))
+
+
+@query("unsaved_annotations", f"WITH {_SHOWN} SELECT doc_id, 'Skim: ' || label_name AS tag, '' AS comment, lpad(left(page_index::VARCHAR, 5), 5, '0') || '|000000|00000' AS sort_index, count(*) AS n FROM shown WHERE page_index % 2 = 1 GROUP BY ALL")
+def _(spark, d):
+    # even pages are saved already; keys hold the page
+    rows = view.annotation_rows(view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"]), destination="tag", prefix=True)
+    left = view.not_saved(rows, rows.where("page_index % 2 = 0"))
+    return left.groupBy("doc_id", F.col("tags")[0]["name"].alias("tag"), "comment", "sort_index").agg(F.count("*").alias("n"))
+
+
+@query("status_lines", f"""WITH {_SCORED}, st AS (SELECT doc_id, {_STATE} AS complete, count(*) AS considered, max(page_index) + 1 AS span, sum(length(text))::BIGINT AS used FROM scored GROUP BY doc_id),
+v AS (SELECT doc_id, count(*) AS s, count(DISTINCT page_index) AS p FROM viewed GROUP BY doc_id), k AS (SELECT doc_id, count(*) FILTER (core) AS c FROM scored GROUP BY doc_id)
+SELECT doc_id, CASE WHEN complete THEN '✓ Complete — ' || coalesce(s, 0) || ' highlights across ' || coalesce(p, 0) || '/' || span || ' pages' || CASE WHEN c > 0 THEN ' · ' || c || ' core' ELSE '' END || format(' · {{:,}} in / 0 out tokens', used)
+  WHEN NOT complete THEN '◐ Partial — ' || considered || ' sentences processed' || format(' · {{:,}} in / 0 out tokens', used) || '. Generate resumes.' END AS line FROM st LEFT JOIN v USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def _(spark, d):
+    s = _scored(spark, d)
+    state = s.groupBy("doc_id").agg(F.count("*").cast("int").alias("classified_count"), (F.max("page_index") + 1).alias("page_span"), F.sum(F.length("text")).alias("tokens_in"))
+    state = state.withColumn("tokens_out", F.lit(0)).withColumn("complete", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 != 1))
+    run = view.run_summary(s, view.view(s), state).join(state.select("doc_id", "tokens_in", "tokens_out"), "doc_id")
+    one = F.struct("state", "selections", "pages_covered", "core_count", "considered", "page_span", "tokens_in", "tokens_out")
+    return run.select("doc_id", view.summary_line(one).alias("line"))
+
+
+@query("tag_partition", "SELECT CASE WHEN coalesce(lang, '') IN ('en', 'de') OR coalesce(source, '') = 'en' THEN 'in' ELSE 'out' END AS set_name, (least(doc_id, 99999))::INT AS page, count(*) AS n FROM documents GROUP BY ALL")
+def _(spark, d):
+    tagged = _docs(spark, d).withColumn("tags", F.array("source", "lang")).withColumn("page", compare.page_of(T.sort_index(F.least("doc_id", F.lit(99999)), F.lit(7))))
+    return compare.partition_by_tags(tagged, ["en", "de"], "in", "out").groupBy("set_name", "page").agg(F.count("*").alias("n"))
+
+
+_MATCHED = "(SELECT count(*) FROM entries x WHERE set_name = '{0}' AND length(norm) >= 20 AND EXISTS (SELECT 1 FROM entries y WHERE y.doc_id = x.doc_id AND y.set_name = '{1}' AND length(y.norm) > 20 AND (contains(x.norm, y.norm) OR contains(y.norm, x.norm))))"
+
+
+@query("comparison_report", f"""WITH {_ENTRY_SQL}, t AS (SELECT *, least(2, floor(page * 3 / span::DOUBLE)) AS third FROM entries, (SELECT max(page) + 1 AS span FROM entries)),
+w AS (SELECT set_name, count(*)::DOUBLE AS n, count(DISTINCT page)::DOUBLE AS pages, count(*) FILTER (third = 0)::DOUBLE AS first_third, count(*) FILTER (third = 1)::DOUBLE AS second_third, count(*) FILTER (third = 2)::DOUBLE AS last_third, floor(avg(length(text)) + 0.5)::DOUBLE AS mean_chars FROM t GROUP BY set_name)
+SELECT measure, set_name, value FROM (UNPIVOT w ON n, pages, first_third, second_third, last_third, mean_chars INTO NAME measure VALUE value)
+UNION ALL SELECT 'share in b', 'a', {_MATCHED.format("a", "b")}::DOUBLE / (SELECT count(*) FROM entries WHERE set_name = 'a')
+UNION ALL SELECT 'share in a', 'b', {_MATCHED.format("b", "a")}::DOUBLE / (SELECT count(*) FROM entries WHERE set_name = 'b')""")
+def _(spark, d):
+    return compare.report(_entries(spark, d), "a", "b", F.lower("text"))
+
+
+@query("clamped_colors", "SELECT doc_id, '#' || printf('%02x', least(255, doc_id % 300)::INT) || printf('%02x', greatest(0, least(255, doc_id % 512 - 100))::INT) || CASE WHEN doc_id % 4 = 0 THEN '00' ELSE printf('%02x', (doc_id % 97 + 1)::INT) END AS color FROM documents")
+def _(spark, d):
+    said = F.concat((F.col("doc_id") % 300).cast("string"), F.lit(", "), (F.col("doc_id") % 512 - 100).cast("string"), F.lit(","), F.when(F.col("doc_id") % 4 == 0, "dark").otherwise(F.concat((F.col("doc_id") % 97).cast("string"), F.lit(".5"))))
+    return _docs(spark, d).select("doc_id", T.color_hex_clamped(said).alias("color"))
+
+
+@query("margin_badges", f"""WITH {LINES}, e AS (SELECT doc_id, page_index, greatest(7.0, page_index % 40 * 1.5)::DOUBLE AS edge, length(text) * 0.5::DOUBLE AS width FROM lines), w AS (SELECT *, greatest(1.0, edge - 6)::DOUBLE AS widest FROM e)
+SELECT doc_id, page_index, greatest(2.0, edge - 4 - least(greatest(1.0, width), widest))::DOUBLE AS place, widest FROM w""")
+def _(spark, d):
+    left, widest = T.badge_left(F.col("page_index") % 40 * F.lit(1.5), F.length("text") * F.lit(0.5))
+    return segment.lines(_docs(spark, d)).select("doc_id", "page_index", left.alias("place"), widest.alias("widest"))
+
+
+@query("escaped_notes", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS note FROM pages")
+def _(spark, d):
+    return _read(spark, d, "pages").select("page_id", T.escape_note(F.col("html")).alias("note"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -216,8 +216,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(index: DataFrame) -> DataFrame:
     """A row for each record of the bundles in an index, read frame by frame."""
     paths = index.select("path").distinct()
-    bundles = max(1, paths.count())  # a number of tasks that is not merged by the size of the paths
-    return paths.repartition(bundles, "path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    bundles = max(1, paths.count())  # a task each; dealt by path, tasks would be merged where this is the number of shuffle partitions
+    return paths.repartition(bundles).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

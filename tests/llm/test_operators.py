@@ -319,6 +319,18 @@ def test_warc_round_trip(spark, monkeypatch):
     assert bytes(five.payload) == b"x" * 700_000
 
 
+def test_warc_reads_a_bundle_a_task(spark):
+    index = warc.write_archive(pages_of(spark)).unionByName(warc.write_archive(pages_of(spark))).unionByName(warc.write_archive(pages_of(spark))).cache()
+    bundles, before = index.select("path").distinct().count(), spark.conf.get("spark.sql.shuffle.partitions")
+    assert bundles >= 3
+    try:
+        for partitions in (bundles, bundles + 5):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert warc.read_archive(index).select(F.spark_partition_id()).distinct().count() == bundles
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_warc_threshold_and_nothing(spark):
     got = warc.read_archive(warc.write_archive(pages_of(spark), dedupe_from=5)).collect()
     assert {r.page_id for r in got if r.record_type == "revisit"} == {1, None}

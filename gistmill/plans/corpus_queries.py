@@ -97,9 +97,9 @@ def _(spark, d):
     return segment.leading_text(segment.lines(_docs(spark, d)))
 
 
-@query("discovery_sample", f"SELECT doc_id, concat_ws(chr(10) || '[...]' || chr(10), substr(text, 1, 3600), substr(text, (length(text) // 2 + 1)::INT, 1200), substr(text, greatest(length(text) - 1200, 0)::INT + 1, 1200)) AS sample FROM documents WHERE text IS NOT NULL")
+@query("discovery_sample", f"SELECT doc_id, concat_ws(chr(10) || '[...]' || chr(10), substr(text, 1, 3600), substr(text, (length(text) // 2 + 1)::INT, 1200), substr(text, greatest(length(text) - 1200, 0)::INT + 1, 1200)) AS sample FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", segment.discovery_sample(F.col("text")).alias("sample"))
+    return _docs(spark, d).select("doc_id", segment.discovery_sample(F.coalesce("text", F.lit(""))).alias("sample"))
 
 
 @query("rebuilt_pages", f"WITH {CANDS} SELECT doc_id, page_index, string_agg(text, ' ' ORDER BY sent_id) AS text FROM sents GROUP BY doc_id, page_index")
@@ -175,14 +175,14 @@ def _(spark, d):
     return labels.slugs(_docs(spark, d).select("source").distinct(), "source")
 
 
-@query("css_slug", "SELECT source, CASE WHEN s = '' THEN 'x' ELSE s END AS slug FROM (SELECT DISTINCT source, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents WHERE source IS NOT NULL)")
+@query("css_slug", "SELECT source, CASE WHEN s = '' THEN 'x' ELSE s END AS slug FROM (SELECT DISTINCT source, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)")
 def _(spark, d):
-    return _docs(spark, d).where("source is not null").select("source").distinct().select("source", T.css_slug(F.col("source")).alias("slug"))
+    return _docs(spark, d).select("source").distinct().select("source", T.css_slug(F.col("source")).alias("slug"))
 
 
-@query("previews", f"SELECT doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 158) || '…' ELSE text END AS preview, substr({sql_trim(f'regexp_replace(text, %s, %s, %s)' % (repr(WS + '+').replace(chr(92) * 2, chr(92)), repr(' '), repr('g')))}, 1, 80) AS find FROM documents WHERE text IS NOT NULL")
+@query("previews", f"SELECT doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 158) || '…' ELSE text END AS preview, substr({sql_trim(f'regexp_replace(text, %s, %s, %s)' % (repr(WS + '+').replace(chr(92) * 2, chr(92)), repr(' '), repr('g')))}, 1, 80) AS find FROM documents")
 def _(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", T.preview(F.col("text")).alias("preview"), T.find_query(F.col("text")).alias("find"))
+    return _docs(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.find_query(F.col("text")).alias("find"))
 
 
 @query("cache_key", f"SELECT doc_id, sha256(concat_ws('|', sha256(coalesce(text, '')), 'openai-compatible', 'm', 'default', 'goal,method,result,novelty', 'v{vocab.PROMPT_VERSION}')) AS cache_key FROM documents")
@@ -290,6 +290,20 @@ def _(spark, d):
     return sections.fill_sections(spark.createDataFrame(_PAGES, "doc_id long, page_index int, text string")).select("doc_id", "page_index", "section")
 
 
+@query("corpus_sections", f"WITH {LINES}, pages0 AS (SELECT * FROM lines) SELECT doc_id, page_index, coalesce(last_value(found IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_index), 'body') AS section FROM {_section_sql()}")
+def _(spark, d):
+    # a line as a page
+    return sections.fill_sections(segment.lines(_docs(spark, d))).select("doc_id", "page_index", "section")
+
+
+@query("corpus_badges", rf"""SELECT doc_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key,
+  replace(upper(CASE WHEN len(w) > 1 THEN array_to_string([left(x, 1) FOR x IN w[1:3]], '') WHEN len(w) = 1 THEN left(w[1], 2) ELSE '' END), 'ẞ', 'SS') AS badge
+FROM (SELECT doc_id, name, [x FOR x IN regexp_split_to_array({sql_trim("name")}, '[\s_-]+') IF x <> ''] AS w FROM (SELECT doc_id, substr(coalesce(text, ''), 1, (doc_id % 30)::INT) AS name FROM documents))""")
+def _(spark, d):
+    name = F.coalesce("text", F.lit("")).substr(F.lit(1), (F.col("doc_id") % 30).cast("int"))
+    return _docs(spark, d).select("doc_id", T.heading_key(name).alias("key"), T.label_badge(name).alias("badge"))
+
+
 @query("front_matter_prefix", f"WITH {CANDS} SELECT doc_id, count(*) FILTER (page_index = 0 AND sent_id < coalesce(first_long, 1000000000)) AS front_matter, count(*) AS n FROM (SELECT *, min(sent_id) FILTER (length(text) >= 120 OR page_index <> 0) OVER (PARTITION BY doc_id) AS first_long FROM sents) GROUP BY doc_id")
 def _(spark, d):
     s = sections.mark_front_matter(_sents(spark, d).withColumn("section", F.lit("body")))

@@ -69,11 +69,33 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from gistmill.llm.packing import digests, packed
+
+    return digests(packed(read(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gistmill.llm.resampling import resampled
+
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from gistmill.llm.manifest import fifth, manifest
+
+    return manifest(read(spark, sf_dir, "documents"), tampered=fifth(F.col("doc_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from gistmill.llm import jaccard_join, mixing, search, warc
+    from gistmill.llm import jaccard_join, manifest, mixing, search, warc
 
-    return {"op3_topk_search": search.oracle(), "op4_warc": warc.ORACLE, "op6_mixing": mixing.oracle(), "op10_ngram_jaccard_join": jaccard_join.oracle()}
+    return {"op3_topk_search": search.oracle(), "op4_warc": warc.ORACLE, "op6_mixing": mixing.oracle(), "op10_ngram_jaccard_join": jaccard_join.oracle(), "op13_manifest": manifest.oracle()}

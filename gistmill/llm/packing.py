@@ -8,8 +8,9 @@ a piece, with its boundary record (start, length, sequence, offset), on each sid
 Only the last window is short, so a corpus is padded by less than one window.
 
 Ids are those of the tokenizer for the whole text.  Its pre-tokenizer drops white
-space and no rule looks across it, so words between ASCII white space are encoded
-once and their ids gathered for each place, in pieces of a long text.
+space and no rule looks across it, so words between ASCII white space, and the
+runs that its pattern cuts from plain words, are encoded once and their ids gathered
+for each place, in pieces of a long text.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id and repeated
 rows are packed like others; extra columns are not touched; an empty table gives no
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,18 +39,25 @@ from gistmill.llm.order import before, joined
 WIDTH = 2048
 END_ID = 1
 PIECE_BYTES = 4 << 20
-CACHED = 400_000
+CACHED = 600_000
 _TOKENS = "part int, before long, doc_id long, tokens long, ids binary"
-# printable Latin-1: no white space, nothing that composes, lower case is one to one
-_PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+# a run that the splitting pattern leaves whole, of lower-case ASCII and Latin letters
+_RUN = regex.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+# classes of bytes: white space, letter (the bytes of U+00C0..U+00FF among them), digit, sign, other
+_GAP, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[kernel.SPACE] = _GAP
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[ord("'")] = _OTHER
 
 
 class WordEncoder:
     """Ids of single words, kept for the words seen last.
 
-    Plain words go through the tokenizer's model directly (its own splitting pattern,
-    then bytes as characters); all others, and words that hold a special token, go
-    through the whole tokenizer.
+    Runs that the tokenizer's pattern leaves whole go straight to its model (bytes as
+    characters); everything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,42 +71,31 @@ class WordEncoder:
         pre = spec["pre_tokenizer"]["pretokenizers"]
         if norm != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"] or not pre[0]["invert"] or pre[1]["add_prefix_space"]:
             raise ValueError("a tokenizer that lowers case, drops white space and splits words by a pattern is needed")
-        self.split = regex.compile(pre[0]["pattern"]["Regex"])
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        if any(_RUN.fullmatch(t["content"]) and "<|" not in t["content"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens must not be words")
         # printable bytes stand for themselves, the others follow from code point 256 on
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))
-            ids = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return ids
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if len(self.parts) > CACHED:
-            self.parts.clear()
-        out, slow = [], []
-        for i, word in enumerate(words):
-            ids = self.words.get(word)
-            if ids is None:
-                text = word.decode()
-                if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                    ids = self.words[word] = b"".join(map(self._part, self.split.findall(text.lower())))
-                else:
-                    slow.append(i)
-            out.append(ids)
-        texts = [words[i].decode() for i in slow]
-        for i, e in zip(slow, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > CACHED:
+            self.known.clear()
+        out = list(map(self.known.get, words))
+        missing, slow = [i for i, ids in enumerate(out) if ids is None], []
+        for i in missing:
+            text = words[i].decode()
+            if _RUN.fullmatch(text) and "<|" not in text:
+                tokens = self.model.tokenize(text if text.isascii() else words[i].decode("latin-1").translate(self.shown))
+                out[i] = array("I", [t.id for t in tokens]).tobytes()
+                self.known[words[i]] = out[i]
+            else:
+                slow.append(i)
+        for i, e in zip(slow, self.whole.encode_batch_fast([words[i].decode() for i in slow], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
             if len(words[i]) < 1024:
-                self.words[words[i]] = out[i]
+                self.known[words[i]] = out[i]
         return out
 
 
@@ -122,13 +120,39 @@ def _spans(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and starts and ends in them, of what is encoded by itself, in order:
+    runs of letters or of signs and single digits, with letters A-Z and U+00C0..U+00DE
+    lowered, and whole words as they are where they hold anything else."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]  # the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    low = kernel.LOWER[data]
+    low[lead[data[lead + 1] != 0x9F] + 1] |= 0x20  # all but the sharp s
+    starts, ends, _ = kernel.words(data, off)
+    mark = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # special tokens begin so
+    odd = np.concatenate((np.flatnonzero(kind == _OTHER), mark))
+    odd = np.unique(np.searchsorted(starts, odd, "right") - 1)
+    # odd words are one run each: a stretch of _OTHER, bytes as they were
+    size = ends[odd] - starts[odd]
+    at = np.arange(int(size.sum())) + np.repeat(starts[odd] + size - np.cumsum(size), size)
+    kind[at], low[at] = _OTHER, data[at]
+    first = np.empty(len(data), bool)
+    first[:1] = True
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first[starts] = True
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(data))
+    held = kind[begin] != _GAP
+    return low, begin[held], end[held]
+
+
 def word_ids(enc: WordEncoder, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words of some texts and, by text, how many."""
-    starts, ends, at = kernel.words(data, off)
-    size = ends - starts
-    ends_at = np.concatenate(([0], np.cumsum(size)))
-    inside = ~kernel.SPACE[data]
-    every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends_at.astype(np.int64)), pa.py_buffer(data[inside])])
+    low, starts, ends = runs(data, off)
+    bounds = np.concatenate(([0], np.cumsum(ends - starts)))
+    every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(low[~kernel.SPACE[low]])])
     coded = every.dictionary_encode()
     found = enc.encode(coded.dictionary.to_pylist())
     flat = np.frombuffer(b"".join(found), "<u4")
@@ -138,6 +162,7 @@ def word_ids(enc: WordEncoder, data: np.ndarray, off: np.ndarray) -> tuple[np.nd
     n = n[which]
     upto = np.concatenate(([0], np.cumsum(n)))
     ids = flat[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)]
+    at = np.searchsorted(starts, off)
     return ids, upto[at[1:]] - upto[at[:-1]]
 
 

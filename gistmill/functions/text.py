@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 from gistmill.functions import vocab
 
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The characters of WS.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_BEFORE, NOT_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: A border between ASCII word characters and others.
 BORDER = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

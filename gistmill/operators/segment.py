@@ -1,16 +1,12 @@
-"""Sentence candidates of text pages.
-
-Rule: a line break ends a sentence, and so do [.!?] with blanks after them.  This
-differs from a browser's Unicode segmenter at abbreviations.
-"""
+"""Sentence candidates of text pages, with their places in the page."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.functions import vocab
-from gistmill.functions.text import trim
+from gistmill.functions import sentences, vocab
+from gistmill.functions.text import BLANKS, trim
 
 _MARK = "\x01"
 
@@ -20,10 +16,16 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page_index", "text"))
 
 
-def sentences(text: Column) -> Column:
-    """Trimmed pieces of a text, in order."""
-    marked = F.regexp_replace(F.regexp_replace(text, r"([.!?])[ \t]+", f"$1{_MARK}"), "\n", _MARK)
-    return F.transform(F.split(marked, _MARK), trim)
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(pieces: Column, base: Column | int = 0) -> Column:
+    """(start_char, text) of pieces that make up a text from `base` on, trimmed."""
+    head = lambda p: F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))
+    place = lambda raw, at: F.struct((at + head(raw) + base).cast("int").alias("start_char"), F.btrim(raw, F.lit(BLANKS)).alias("text"))
+    return _once(pieces, lambda p: F.zip_with(p, sentences.starts(p), place))
 
 
 def is_candidate(c: Column) -> Column:
@@ -32,7 +34,7 @@ def is_candidate(c: Column) -> Column:
 
 def split_long(c: Column) -> Column:
     """A piece of over MAX_CHARS cut at clause marks once SPLIT_CHARS are held; the
-    rest stays if MIN_CHARS long."""
+    rest stays if MIN_CHARS long.  Nothing is dropped before that rest."""
     parts = F.split(F.regexp_replace(c, rf"([.;:!?»)]\s+)", f"$1{_MARK}"), _MARK)
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
 
@@ -42,14 +44,17 @@ def split_long(c: Column) -> Column:
         return F.struct(F.when(full, F.array_append(acc["out"], held)).otherwise(acc["out"]).alias("out"), F.when(full, F.lit("")).otherwise(held).alias("held"))
 
     end = lambda acc: F.when(F.length(acc["held"]) >= vocab.MIN_CHARS, F.array_append(acc["out"], acc["held"])).otherwise(acc["out"])
-    return F.when(F.length(c) <= vocab.MAX_CHARS, F.array(c)).otherwise(F.transform(F.aggregate(parts, state, step, end), trim))
+    return F.when(F.length(c) <= vocab.MAX_CHARS, F.array(c)).otherwise(F.aggregate(parts, state, step, end))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """doc_id, page_index, nth (within the page), text of every candidate sentence."""
-    pieces = F.filter(sentences(F.col("text")), is_candidate)
-    cut = F.filter(F.flatten(F.transform(pieces, split_long)), is_candidate)
-    return pages.select("doc_id", "page_index", F.posexplode(cut).alias("nth", "text"))
+    """doc_id, page_index, nth (within the page), start_char, end_char (code points of
+    the page), text of every candidate sentence."""
+    fits = lambda s: is_candidate(s["text"])
+    parts = lambda s: F.when(F.length(s["text"]) <= vocab.MAX_CHARS, F.array(s)).otherwise(F.filter(_placed(split_long(s["text"]), s["start_char"]), fits))
+    cut = F.flatten(F.transform(F.filter(_placed(sentences.split(F.col("text"))), fits), parts))
+    found = pages.select("doc_id", "page_index", F.posexplode(cut).alias("nth", "s"))
+    return found.select("doc_id", "page_index", "nth", "s.start_char", (F.col("s.start_char") + F.length("s.text")).alias("end_char"), "s.text")
 
 
 def numbered(cands: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from gistmill.functions import vocab
+from gistmill.functions import sentences, vocab
 from gistmill.operators.geometry import _END, _NUMBERED, _WORDS, page_lines
 
-_BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 _CLAUSE = re.compile(r"[.;:!?»)]\s+")
 _BYLINE = re.compile(vocab.BYLINE_NAME)
 _AFTER_BYLINE = re.compile(r"[\s,;&]*(?:and\s+)?")
@@ -62,7 +61,7 @@ def is_subtitle(line: dict, chars: list) -> bool:
 def _pieces(text: str):
     """(start, end) of trimmed sentences, long ones cut at clauses."""
     at = 0
-    for end in [m.end() for m in _BREAK.finditer(text)] + [len(text)]:
+    for end in sentences.boundaries(text):
         raw, start = text[at:end], at
         at = end
         a = start + len(raw) - len(raw.lstrip())

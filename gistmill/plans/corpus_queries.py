@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as T
 from gistmill.functions import vocab
+from gistmill.functions.sentences import ranges
 from gistmill.operators import budget, compare, geometry, labels, prompts, sections, segment, select, spans, validate, view, zoning
 from gistmill.plans.config import SkimConfig
 from gistmill.plans.pipeline import reduce_core, skim, text_sentences
@@ -31,19 +32,46 @@ def sql_trim(c: str) -> str:
 
 LINES = "lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS page_index, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
 _HELD = "acc.held || x.held"
+
+
+def _sentence_marks(c: str) -> str:
+    """SQL for a text with chr(1) after each sentence: every end is marked, then marks
+    go where a rule forbids them."""
+    own = {k: ranges(k) for k in ("STerm", "ATerm", "Close", "Sp", "SContinue")}
+    para, ext, upper, lower = r"\r\n\x{85}\x{2028}\x{2029}", r"\p{M}\p{Cf}", r"\p{Lu}\p{Lt}", r"\p{Ll}"
+    terms = own["STerm"] + own["ATerm"]
+    end = rf"[{own['Close']}{ext}]*[{own['Sp']}{ext}]*"
+    acronym = rf"([{upper}{lower}][{ext}]*[{own['ATerm']}][{ext}]*)\x01([{upper}])"
+    for pattern, new in (
+        (rf"([{terms}]{end})", r"'\1' || chr(1)"),
+        (rf"\x01([{own['SContinue']}{terms}{para}])", r"'\1'"),
+        (rf"([{own['ATerm']}][{ext}]*)\x01(\p{{Nd}})", r"'\1\2'"),
+        (acronym, r"'\1\2'"),
+        (acronym, r"'\1\2'"),
+        (rf"([{own['ATerm']}]{end})\x01([^\p{{L}}\p{{Nl}}{para}{terms}\x01]*[{lower}])", r"'\1\2'"),
+        (rf"(\r\n|[{para}])", r"'\1' || chr(1)"),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', {new}, 'g')"
+    return c
+
+
+_LEAD = f"length(raw) - length(regexp_replace(raw, '^{WS}+', ''))"
 CANDS = (
     LINES
     + rf""",
-pieces AS (SELECT doc_id, page_index, generate_subscripts(l, 1) AS i, {sql_trim("unnest(l)")} AS text
-  FROM (SELECT doc_id, page_index, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM lines)),
+raws AS (SELECT doc_id, page_index, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM (SELECT doc_id, page_index, string_split({_sentence_marks("text")}, chr(1)) AS l FROM lines)),
+pieces AS (SELECT doc_id, page_index, i, {sql_trim("raw")} AS text,
+    coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, page_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {_LEAD} AS place FROM raws),
 good AS (SELECT * FROM pieces WHERE length(text) >= 40 AND regexp_matches(text, '[A-Za-z]{{3}}')),
 folded AS (SELECT *, CASE WHEN length(text) > 800 THEN list_reduce(
     list_transform(string_split(regexp_replace(text, '([.;:!?»)]\s+)', '\1' || chr(1), 'g'), chr(1)), lambda p: {{'out': []::VARCHAR[], 'held': p}}),
     lambda acc, x: {{'out': CASE WHEN length({_HELD}) >= 480 THEN list_append(acc.out, {_HELD}) ELSE acc.out END, 'held': CASE WHEN length({_HELD}) >= 480 THEN '' ELSE {_HELD} END}},
     {{'out': []::VARCHAR[], 'held': ''}}) END AS f FROM good),
-cut AS (SELECT doc_id, page_index, i, CASE WHEN f IS NULL THEN [text] WHEN length(f.held) >= 40 THEN list_append(f.out, f.held) ELSE f.out END AS l FROM folded),
-parts AS (SELECT doc_id, page_index, i, generate_subscripts(l, 1) AS j, {sql_trim("unnest(l)")} AS text FROM cut),
-cands AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY i, j) - 1 AS nth, text
+cut AS (SELECT doc_id, page_index, i, place, CASE WHEN f IS NULL THEN [text] WHEN length(f.held) >= 40 THEN list_append(f.out, f.held) ELSE f.out END AS l FROM folded),
+raw_parts AS (SELECT doc_id, page_index, i, place, generate_subscripts(l, 1) AS j, unnest(l) AS raw FROM cut),
+parts AS (SELECT doc_id, page_index, i, j, {sql_trim("raw")} AS text,
+    place + coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, page_index, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {_LEAD} AS start_char FROM raw_parts),
+cands AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY i, j) - 1 AS nth, start_char::INT AS start_char, (start_char + length(text))::INT AS end_char, text
   FROM parts WHERE length(text) >= 40 AND regexp_matches(text, '[A-Za-z]{{3}}')),
 sents AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, nth) - 1 AS sent_id FROM cands)"""
 )
@@ -77,9 +105,9 @@ def _values(rows: list[tuple]) -> str:
 
 
 # segmentation and text ------------------------------------------------------------
-@query("sentence_candidates", f"WITH {CANDS} SELECT doc_id, sent_id, page_index, text FROM sents")
+@query("sentence_candidates", f"WITH {CANDS} SELECT doc_id, sent_id, page_index, start_char, end_char, text FROM sents")
 def _(spark, d):
-    return _sents(spark, d).select("doc_id", "sent_id", "page_index", "text")
+    return _sents(spark, d).select("doc_id", "sent_id", "page_index", "start_char", "end_char", "text")
 
 
 @query("token_estimate_by_doc", f"WITH {CANDS} SELECT doc_id, ceil(sum(length(text) + 20) / 3.5::DOUBLE)::BIGINT AS tokens FROM sents GROUP BY doc_id")
@@ -107,7 +135,7 @@ def _(spark, d):
     return segment.pages_from_sentences(_sents(spark, d))
 
 
-@query("conversation_sentences", "WITH " + CANDS.replace(LINES, "lines AS (SELECT conv_id AS doc_id, turn AS page_index, unnest(l) AS text, generate_subscripts(l, 1) AS li FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations))").replace("SELECT doc_id, page_index, generate_subscripts(l, 1) AS i", "SELECT doc_id, page_index, generate_subscripts(l, 1) + 100000 * li AS i").replace("SELECT doc_id, page_index, string_split(regexp", "SELECT doc_id, page_index, li, string_split(regexp") + " SELECT doc_id AS conv_id, page_index AS turn, count(*) AS n, sum(length(text))::BIGINT AS chars FROM sents GROUP BY ALL")
+@query("conversation_sentences", "WITH " + CANDS.replace(LINES, "lines AS (SELECT conv_id AS doc_id, turn AS page_index, coalesce(text, '') AS text FROM conversations)") + " SELECT doc_id AS conv_id, page_index AS turn, count(*) AS n, sum(length(text))::BIGINT AS chars FROM sents GROUP BY ALL")
 def _(spark, d):
     pages = _read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
     out = segment.candidates(pages).groupBy("doc_id", "page_index").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -490,7 +518,7 @@ viewed AS (SELECT * FROM eligible WHERE NOT has_core OR core)"""
 def _scored(spark, d):
     n = F.length("text")
     label = F.when(n % 5 == 4, "none").otherwise(F.element_at(F.array(*map(F.lit, ("goal", "method", "result", "novelty"))), (n % 5 + 1).cast("int")))
-    return _sents(spark, d).withColumn("confidence", select.cue_score(F.col("text"))).withColumn("label", label).withColumn("core", n % 7 == 0).withColumn("start_char", F.lit(0)).withColumn("end_char", n)
+    return _sents(spark, d).withColumn("confidence", select.cue_score(F.col("text"))).withColumn("label", label).withColumn("core", n % 7 == 0)
 
 
 @query("core_view", f"WITH {_SCORED} SELECT doc_id, sent_id, label, confidence, core FROM viewed")
@@ -516,15 +544,15 @@ def _(spark, d):
 _SHOWN = f"{_SCORED}, shown AS (SELECT v.*, l.name AS label_name, l.color FROM viewed v JOIN (VALUES {_values([(k, n, c) for k, n, c, _, _ in vocab.DEFAULT_LABELS])}) l(key, name, color) ON l.key = v.label WHERE label <> 'method')"
 
 
-@query("visible_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, 0 AS start_char, length(text) AS end_char, color, label_name, text FROM shown")
+@query("visible_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, start_char, end_char, color, label_name, text FROM shown")
 def _(spark, d):
     return view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
 
 
-@query("annotation_rows", f"""WITH {_SHOWN}, keyed AS (SELECT *, sha256(concat_ws('|', doc_id, page_index, 0, length(text))) AS h,
+@query("annotation_rows", f"""WITH {_SHOWN}, keyed AS (SELECT *, sha256(concat_ws('|', doc_id, page_index, start_char, end_char)) AS h,
  'rgb' AS t FROM shown)
 SELECT doc_id, sent_key AS key, comment, color, page_label, sort_index FROM (SELECT doc_id, list_aggregate([substr('{vocab.ANNOTATION_KEY_ALPHABET}', (('0x' || substr(h, 4 * i + 1, 4))::INT % 33 + 1)::INT, 1) FOR i IN range(0, 8)], 'string_agg', '') AS sent_key,
- label_name AS comment, '#' || array_to_string([lower(lpad(to_hex(x::INT), 2, '0')) FOR x IN string_split(color, ', ')], '') AS color, (page_index + 1)::VARCHAR AS page_label, lpad(left(page_index::VARCHAR, 5), 5, '0') || '|000000|00000' AS sort_index FROM keyed)""")
+ label_name AS comment, '#' || array_to_string([lower(lpad(to_hex(x::INT), 2, '0')) FOR x IN string_split(color, ', ')], '') AS color, (page_index + 1)::VARCHAR AS page_label, lpad(left(page_index::VARCHAR, 5), 5, '0') || '|' || lpad(left(start_char::VARCHAR, 6), 6, '0') || '|00000' AS sort_index FROM keyed)""")
 def _(spark, d):
     shown = view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
     return view.annotation_rows(shown).select("doc_id", "key", "comment", "color", "page_label", "sort_index")
@@ -692,21 +720,21 @@ def _(spark, d):
 _STATE = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 <> 1 END"
 
 
-@query("complete_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, 0 AS start_char, length(text) AS end_char, color, label_name, text FROM shown WHERE coalesce({_STATE}, true)")
+@query("complete_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, start_char, end_char, color, label_name, text FROM shown WHERE coalesce({_STATE}, true)")
 def _(spark, d):
     shown = view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
     state = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 != 1).alias("complete"))
     return view.of_complete_runs(shown, state)
 
 
-@query("grouped_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, count(*) AS n, string_agg(color || ' ' || text, chr(10) ORDER BY length(text), color, text) AS specs FROM shown GROUP BY ALL")
+@query("grouped_highlights", f"WITH {_SHOWN} SELECT doc_id, page_index, count(*) AS n, string_agg(color || ' ' || text, chr(10) ORDER BY start_char, end_char, color, text) AS specs FROM shown GROUP BY ALL")
 def _(spark, d):
     shown = view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"])
     listed = F.array_join(F.transform("specs", lambda s: F.concat(s["color"], F.lit(" "), s["text"])), "\n")
     return view.grouped(shown, "page_index").select("doc_id", "page_index", F.size("specs").cast("long").alias("n"), listed.alias("specs"))
 
 
-@query("unsaved_annotations", f"WITH {_SHOWN} SELECT doc_id, 'Skim: ' || label_name AS tag, '' AS comment, lpad(left(page_index::VARCHAR, 5), 5, '0') || '|000000|00000' AS sort_index, count(*) AS n FROM shown WHERE page_index % 2 = 1 GROUP BY ALL")
+@query("unsaved_annotations", f"WITH {_SHOWN} SELECT doc_id, 'Skim: ' || label_name AS tag, '' AS comment, lpad(left(page_index::VARCHAR, 5), 5, '0') || '|' || lpad(left(start_char::VARCHAR, 6), 6, '0') || '|00000' AS sort_index, count(*) AS n FROM shown WHERE page_index % 2 = 1 GROUP BY ALL")
 def _(spark, d):
     # even pages are saved already; keys hold the page
     rows = view.annotation_rows(view.highlights(view.view(_scored(spark, d)), labels.default_labels(spark), ["method"]), destination="tag", prefix=True)

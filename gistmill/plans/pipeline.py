@@ -27,7 +27,7 @@ class Run:
 def text_sentences(docs: DataFrame) -> DataFrame:
     """Candidates of plain documents: a page a line, body everywhere, no filter."""
     cands = segment.numbered(segment.candidates(segment.lines(docs)))
-    return cands.select("doc_id", "sent_id", "page_index", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), "text", F.lit("body").alias("section"))
+    return cands.select("doc_id", "sent_id", "page_index", "start_char", "end_char", "text", F.lit("body").alias("section"))
 
 
 def glyph_sentences(pages: DataFrame) -> DataFrame:

@@ -1,15 +1,64 @@
 """Comparison of two annotation sets of the same documents.
 
 entries: doc_id, set_name, text, page.  Overlap looks for containment within a
-document only, after an equi-join on doc_id, so no pair leaves its document.
+document.  Texts meet by anchors: a text's anchors are the least hashes of GRAM-
+character runs in each window of WINDOW such runs, so whatever contains a text has all
+its anchors.  The contained side offers its rarest anchor only, and what meets there is
+verified, so work follows the true overlaps and not the pairs of a document's lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_TEXT = 20
+GRAM, WINDOW = 8, 12  # a text of GRAM + WINDOW - 1 characters or more has an anchor
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 20
+
+
+def anchors(text: str) -> np.ndarray:
+    """The distinct anchors of a text, as signed 64-bit numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    found = [np.zeros(0, np.uint64)]
+    for at in range(0, max(len(codes) - GRAM - WINDOW + 2, 0), _PIECE):  # pieces overlap by a window
+        c = codes[at : at + _PIECE + GRAM + WINDOW - 2]
+        n = len(c) - GRAM + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(GRAM):
+            h = (h + c[j : j + n] + np.uint64(1)) * _ODD
+            h ^= h >> np.uint64(29)
+        found.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)))
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
+def _anchored(c: Column) -> Column:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: anchors(t).tolist())
+
+    return F.pandas_udf(run, "array<long>")(c)
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """doc_id, short, long: the pairs of different or equal texts of a document where
+    `short` stands in `long`.  Both inputs have doc_id and norm, distinct rows of at
+    least GRAM + WINDOW - 1 characters."""
+    named = lambda df: df.select("doc_id", F.xxhash64("norm").alias("id"), "norm")
+    posted = lambda df: named(df).select("doc_id", "id", F.explode(_anchored(F.col("norm"))).alias("anchor"))
+    held = posted(long)
+    often = held.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
+    rarest = posted(short).join(often, ["doc_id", "anchor"], "left").groupBy("doc_id", "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("best"))
+    rarest = rarest.where("best.n > 0").select("doc_id", F.col("id").alias("short_id"), F.col("best.anchor").alias("anchor"))
+    met = rarest.join(held.withColumnRenamed("id", "long_id"), ["doc_id", "anchor"]).select("doc_id", "short_id", "long_id")
+    met = met.join(named(short).select("doc_id", F.col("id").alias("short_id"), F.col("norm").alias("short")), ["doc_id", "short_id"])
+    met = met.join(named(long).select("doc_id", F.col("id").alias("long_id"), F.col("norm").alias("long")), ["doc_id", "long_id"])
+    return met.where(F.contains("long", "short")).select("doc_id", "short", "long")
 
 
 def partition_by_tags(annotations: DataFrame, tags: list[str], inside: str, outside: str) -> DataFrame:
@@ -25,12 +74,13 @@ def page_of(sort_index: Column) -> Column:
 def overlap(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
     """matched, total, share: how many of set a contain, or are contained in, a text of
     set b; short texts never match but count; 0 where a side is empty."""
-    e = entries.withColumn("norm", norm).withColumn("row", F.monotonically_increasing_id())
+    e = entries.select("doc_id", "set_name", norm.alias("norm"))
     left = e.where(F.col("set_name") == a)
-    x = left.where(F.length("norm") >= LEAST_TEXT).select(F.col("doc_id").alias("d"), F.col("norm").alias("x"))
-    y = e.where((F.col("set_name") == b) & (F.length("norm") > LEAST_TEXT)).select(F.col("doc_id").alias("e"), F.col("norm").alias("y")).distinct()
-    hit = x.join(y, (F.col("d") == F.col("e")) & (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))), "left_semi")
-    n = left.agg(F.count("*").alias("total")).join(hit.agg(F.count("*").alias("matched")))
+    x = left.where(F.length("norm") >= LEAST_TEXT).groupBy("doc_id", "norm").agg(F.count("*").alias("rows"))
+    y = e.where((F.col("set_name") == b) & (F.length("norm") > LEAST_TEXT)).select("doc_id", "norm").distinct()
+    met = contained(y, x).select("doc_id", F.col("long").alias("norm")).unionByName(contained(x, y).select("doc_id", F.col("short").alias("norm")))
+    hit = x.join(met, ["doc_id", "norm"], "left_semi")
+    n = left.agg(F.count("*").alias("total")).join(hit.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("matched")))
     return n.select("matched", "total", F.when(F.col("total") == 0, 0.0).otherwise(F.col("matched") / F.col("total")).alias("share"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import vocab
-from gistmill.functions.text import label_slug
+from gistmill.functions.text import label_slug, trim
 
 LABEL = "key string, name string, color string, description string, anti_description string, examples array<string>, ord int"
 MOST_CUSTOM, MOST_DISCOVERED, MOST_EVOLVING = 8, 6, 8
@@ -108,6 +108,41 @@ def reconcile(selected: DataFrame) -> DataFrame:
     return selected.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_id int, id long, key string, name string, importance double")
 
 
+KNOWN = "array<struct<key:string,name:string>>"
+_NAMED = "array<struct<id:bigint,key:string,name:string,importance:double>>"
+
+
+def fold(selected: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, named (id, key, name, importance in order), known: one unit's selection of
+    each document with labels replaced by keys, in order, as resolve_label does it.
+    selected: doc_id, id, label, importance; known: doc_id, known (KNOWN), for all
+    documents of the unit."""
+    picks = F.array_sort(F.collect_list(F.struct("id", "label", "importance")))
+    rows = known.join(selected.groupBy("doc_id").agg(picks.alias("picks")), "doc_id", "left")
+
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def step(acc, p):
+        seen = acc["known"]
+        row = lambda w, same: once(F.struct(F.get(same, 0).alias("same"), (F.isnull(F.get(same, 0)) & (F.size(seen) < MOST_EVOLVING)).alias("adds")), lambda m: add(w, m))
+
+        def add(w, m):
+            near = F.filter(seen, lambda k: F.contains(w["key"], k["key"]) | F.contains(k["key"], w["key"]))
+            new = F.struct(w["key"].alias("key"), w["name"].alias("name"))
+            to = F.coalesce(m["same"], F.when(m["adds"], new), F.get(near, 0), F.get(seen, 0))
+            named = once(to, lambda t: F.struct(p["id"].cast("bigint").alias("id"), t["key"].alias("key"), t["name"].alias("name"), p["importance"].cast("double").alias("importance")))
+            return F.struct(F.when(m["adds"], F.array_append(seen, new)).otherwise(seen).cast(KNOWN).alias("known"), F.array_append(acc["named"], named).cast(_NAMED).alias("named"))
+
+        words = F.struct(label_slug(p["label"]).alias("key"), F.substring(trim(p["label"]), 1, 24).alias("name"), F.lower(trim(p["label"])).alias("said"))
+        return once(words, lambda w: once(F.filter(seen, lambda k: (k["key"] == w["key"]) | (F.lower(k["name"]) == w["said"])), lambda same: row(w, same)))
+
+    start = F.struct(F.col("known").cast(KNOWN).alias("known"), F.array().cast(_NAMED).alias("named"))
+    none = F.array().cast("array<struct<id:bigint,label:string,importance:double>>")
+    out = rows.select("doc_id", F.aggregate(F.coalesce("picks", none), start, step).alias("acc"))
+    return out.select("doc_id", "acc.named", "acc.known")
+
+
 def known_before(reconciled: DataFrame, units: DataFrame) -> DataFrame:
     """doc_id, unit_id, known: names of the labels that earlier units of the document
     brought up, in that order, for each unit with any.  reconciled: as reconcile gives

@@ -15,9 +15,10 @@ from gistmill.functions import text as T
 from gistmill.functions import vocab
 from gistmill.functions.sentences import ranges
 from gistmill.operators import budget, compare, geometry, labels, prompts, sections, segment, select, spans, validate, view, zoning
+from gistmill.plans import rounds
 from gistmill.plans.config import SkimConfig
 from gistmill.plans.pipeline import reduce_core, skim, text_sentences
-from gistmill.sources.state import cache_key
+from gistmill.sources.state import cache_key, work_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -563,6 +564,52 @@ def _(spark, d):
     return skim(text_sentences(_docs(spark, d)), SkimConfig()).viewed.select("doc_id", "sent_id", "chunk_id", "label", "confidence")
 
 
+class _Namer:
+    """Names each pick by a label known so far whose name stands in the sentence, else by
+    the sentence's first word: what it says depends on the rounds before."""
+
+    def __init__(self, units: DataFrame):
+        self.units = units
+
+    def select(self, requests: DataFrame) -> DataFrame:
+        s = self.units.join(requests.select("doc_id", "chunk_id", "max_items", "known"), ["doc_id", "chunk_id"]).withColumn("importance", select.cue_score(F.col("text")))
+        nth = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy(F.desc("importance"), "local_id"))
+        met = F.filter("known", lambda k: F.contains(F.lower("text"), F.lower(k["name"])))
+        s = s.withColumn("nth", nth).where("nth <= max_items").withColumn("label", F.coalesce(F.get(met, 0)["name"], F.regexp_extract("text", "[A-Za-z]{3,}", 0)))
+        items = F.array_sort(F.collect_list(F.struct(F.col("local_id").alias("id"), "label", "importance")))
+        return s.groupBy("doc_id", "chunk_id").agg(F.lit(0).alias("attempt"), F.to_json(F.struct(items.alias("selected"))).alias("raw"), F.lit(1).alias("usage_in"), F.count("*").alias("usage_out"))
+
+
+_SLUG = "coalesce(nullif(substr(regexp_replace(lower(x.label), '[^a-z]', '', 'g'), 1, 12), ''), 'topic')"
+_SAME = f"list_filter(acc.known, lambda k: k.key = {_SLUG} OR lower(k.name) = lower(x.label))"
+_NEAR = f"list_filter(acc.known, lambda k: contains({_SLUG}, k.key) OR contains(k.key, {_SLUG}))"
+_ADDS = f"(len({_SAME}) = 0 AND len(acc.known) < 8)"
+_NEW = f"{{'key': {_SLUG}, 'name': left(x.label, 24)}}"
+_NAME_TYPE = "STRUCT(key VARCHAR, name VARCHAR)[]"
+_PICK_TYPE = "STRUCT(id BIGINT, key VARCHAR, name VARCHAR)[]"
+_TO = f"CASE WHEN len({_SAME}) > 0 THEN {_SAME}[1] WHEN {_ADDS} THEN {_NEW} WHEN len({_NEAR}) > 0 THEN {_NEAR}[1] ELSE acc.known[1] END"
+_CALLED = "coalesce(list_filter(w.known, lambda k: contains(lower(p.text), lower(k.name)))[1].name, p.word)"
+
+
+@query("live_labels", f"""WITH RECURSIVE {_PLAN}, body AS (SELECT s.*, floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::DOUBLE / ceil(n::DOUBLE / bands))::INT AS band_id FROM sents s JOIN plan USING (doc_id)),
+{_chunk_sql("body", SkimConfig().selection_budget, f"spent <= {SkimConfig().selection_budget}")},
+units AS (SELECT doc_id, sent_id, text, (dense_rank() OVER (PARTITION BY doc_id ORDER BY band_id, chunk_id) - 1)::INT AS unit_id, local_id FROM chunked),
+counts AS (SELECT doc_id, greatest(1, floor(target::DOUBLE / count(DISTINCT unit_id) + 0.5))::INT AS max_items FROM units JOIN plan USING (doc_id) GROUP BY doc_id, target),
+top AS (SELECT * FROM units JOIN counts USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY (40 + length(text) % 60) DESC, local_id) <= max_items),
+lists AS (SELECT doc_id, unit_id, list({{'id': local_id, 'text': text, 'word': regexp_extract(text, '[A-Za-z]{{3,}}')}} ORDER BY local_id) AS l FROM top GROUP BY ALL),
+walk AS (SELECT DISTINCT doc_id, -1 AS unit_id, []::{_NAME_TYPE} AS known, []::{_PICK_TYPE} AS named FROM lists
+  UNION ALL SELECT doc_id, unit_id, f.known, f.named FROM (SELECT l.doc_id, l.unit_id, list_reduce(
+    list_transform(l.l, lambda p: {{'known': []::{_NAME_TYPE}, 'named': []::{_PICK_TYPE}, 'id': p.id::BIGINT, 'label': {_CALLED}}}),
+    lambda acc, x: {{'known': CASE WHEN {_ADDS} THEN list_append(acc.known, {_NEW}) ELSE acc.known END, 'named': list_append(acc.named, {{'id': x.id, 'key': ({_TO}).key, 'name': ({_TO}).name}}), 'id': 0::BIGINT, 'label': ''}},
+    {{'known': w.known, 'named': []::{_PICK_TYPE}, 'id': 0::BIGINT, 'label': ''}}) AS f
+    FROM walk w JOIN lists l ON l.doc_id = w.doc_id AND l.unit_id = w.unit_id + 1)),
+named AS (SELECT doc_id, unit_id, unnest(named, recursive := true) FROM walk)
+SELECT doc_id, sent_id, unit_id AS chunk_id, key AS label, name AS label_name FROM named JOIN units USING (doc_id, unit_id) WHERE local_id = id""")
+def _(spark, d):
+    run = rounds.grow(text_sentences(_docs(spark, d)), SkimConfig(), _Namer, work_folder(spark, "live"))
+    return run.classified.select("doc_id", "sent_id", "chunk_id", "label", "label_name")
+
+
 # matching and comparison ----------------------------------------------------------
 def sql_form(c: str) -> str:
     """DuckDB has no NFKC; the tables' texts are in that form already."""

@@ -61,33 +61,56 @@ def skim(sents: DataFrame, config: SkimConfig, label_set: DataFrame | None = Non
     return Run(sents, requests, failed, classified, viewed, state)
 
 
-def skim_evolving(sents: DataFrame, config: SkimConfig, replies: DataFrame) -> Run:
-    """The run of long works, whose labels grow as they are read: bands, or chunks of
-    bands, are asked in order, labels are reconciled over each document's units.
-    replies: doc_id, unit_id, attempt, raw, usage_in, usage_out.  Each request carries
-    the labels that the replies to earlier units brought up, so a live selector is asked
-    unit by unit, with the replies so far."""
-    units = budget.banded_chunks(sents, config.selection_budget)
+def unit_sizes(sents: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, unit_id, sentence_count, max_items of the units of long works."""
     plan = budget.band_plan(sents).select("doc_id", "target")
     counts = units.groupBy("doc_id").agg(F.countDistinct("unit_id").alias("units")).join(plan, "doc_id")
     most = counts.select("doc_id", budget.per_unit(F.col("target"), F.col("units")).alias("max_items"))
-    sizes = units.groupBy("doc_id", "unit_id").agg(F.count("*").alias("sentence_count")).join(most, "doc_id")
+    return units.groupBy("doc_id", "unit_id").agg(F.count("*").alias("sentence_count")).join(most, "doc_id")
+
+
+def standing(replies: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(selected, failed): the entries of the first valid reply to each unit, and the
+    units without one, which are empty and do not stop the run."""
     keys = ["doc_id", "unit_id", "attempt"]
     read = replies.where(F.col("attempt") < select.ATTEMPTS).withColumn("json", validate.loose_json(validate.strip_reasoning(F.col("raw"))))
     read = validate.entries(read.join(sizes, ["doc_id", "unit_id"]).withColumn("allow_empty", F.lit(True)), "selected")
     valid = validate.adaptive_selection(read, keys)
     first = validate.accepted(read, valid, keys).where("accepted").groupBy("doc_id", "unit_id").agg(F.min("attempt").alias("attempt"))
     failed = sizes.join(first, ["doc_id", "unit_id"], "left_anti").select("doc_id", F.col("unit_id").alias("chunk_id"), F.lit("no valid reply").alias("error"))
-    named = labels.reconcile(valid.join(first, keys).withColumnRenamed("unit_id", "chunk_id").drop("attempt"))
-    asked = prompts.adaptive_requests(units, labels.known_before(named, units), F.lit(None).cast("int")).drop("max_items").join(most, "doc_id")
+    return valid.join(first, keys).drop("attempt"), failed
+
+
+def evolved(sents: DataFrame, config: SkimConfig, units: DataFrame, sizes: DataFrame, named: DataFrame, failed: DataFrame, usage: DataFrame, done: DataFrame | None = None) -> Run:
+    """The run of long works from named selections (doc_id, chunk_id, id, key, name,
+    importance) and token usage; done (doc_id, unit_id) holds the units read so far, all
+    if not given."""
+    asked = prompts.adaptive_requests(units, labels.known_before(named, units), F.lit(None).cast("int")).drop("max_items").join(sizes.select("doc_id", "unit_id", "max_items"), ["doc_id", "unit_id"])
     picked = named.select("doc_id", F.col("chunk_id").alias("unit_id"), F.col("id").alias("local_id"), F.col("key").alias("label"), F.col("name").alias("label_name"), F.col("importance").alias("confidence"))
     classified = units.join(picked, ["doc_id", "unit_id", "local_id"]).withColumn("core", F.lit(False)).withColumnRenamed("unit_id", "chunk_id")
     state = units.groupBy("doc_id").agg(F.count("*").cast("int").alias("classified_count"), (F.max("page_index") + 1).alias("page_span"))
-    state = state.join(validate.token_usage(replies), "doc_id", "left").withColumn("complete", F.lit(True))
-    # a unit that fails twice is empty; it does not stop the run
+    if done is None:
+        state = state.join(usage, "doc_id", "left").withColumn("complete", F.lit(True))
+    else:
+        asked = asked.join(done, ["doc_id", "unit_id"], "left_semi")
+        read = units.join(done, ["doc_id", "unit_id"], "left_semi").groupBy("doc_id").agg(F.count("*").cast("int").alias("read"))
+        state = state.join(read, "doc_id", "left").withColumn("complete", F.coalesce(F.col("read") == F.col("classified_count"), F.lit(False)))
+        state = state.withColumn("classified_count", F.coalesce("read", F.lit(0))).drop("read").join(usage, "doc_id", "left")
     return Run(sents, asked.withColumnRenamed("unit_id", "chunk_id"), failed, classified, view.view(classified, config.view == "core"), state)
 
 
+def skim_evolving(sents: DataFrame, config: SkimConfig, replies: DataFrame) -> Run:
+    """The run of long works, whose labels grow as they are read: bands, or chunks of
+    bands, are asked in order, labels are reconciled over each document's units.
+    replies: doc_id, unit_id, attempt, raw, usage_in, usage_out, all there already;
+    plans.rounds asks a live selector."""
+    units = budget.banded_chunks(sents, config.selection_budget)
+    sizes = unit_sizes(sents, units)
+    valid, failed = standing(replies, sizes)
+    named = labels.reconcile(valid.withColumnRenamed("unit_id", "chunk_id"))
+    return evolved(sents, config, units, sizes, named, failed, validate.token_usage(replies))
+
+
 def summarize(pages: DataFrame, cached: DataFrame, replies: DataFrame, *, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(summaries, requests): doc_id, tldr of the first usable of two replies for the
     documents that have none cached (all, if forced), with the cached ones.

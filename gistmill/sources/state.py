@@ -8,6 +8,9 @@ touches their buckets only; one run writes at a time.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -31,6 +34,20 @@ def _bucket() -> Column:
     return F.concat(F.lit("h"), F.substring("cache_key", 1, BUCKET_CHARS)).alias("bucket")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of a run, in spark.checkpoint.dir, which driver and
+    executors share; only a local session may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="gistmill-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def cache_key(text: Column, provider: str, model: str, mode: str, label_keys: list[str]) -> Column:
     """SHA-256 of file hash, provider, model, mode, label keys and version."""
     parts = [F.sha2(F.encode(text, "UTF-8"), 256), *map(F.lit, (provider, model, mode, ",".join(label_keys), f"v{vocab.PROMPT_VERSION}"))]

@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_TEXT = 20
@@ -22,43 +22,70 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = 1 << 20
 
 
-def anchors(text: str) -> np.ndarray:
-    """The distinct anchors of a text, as signed 64-bit numbers."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    found = [np.zeros(0, np.uint64)]
-    for at in range(0, max(len(codes) - GRAM - WINDOW + 2, 0), _PIECE):  # pieces overlap by a window
-        c = codes[at : at + _PIECE + GRAM + WINDOW - 2]
-        n = len(c) - GRAM + 1
-        h = np.zeros(n, np.uint64)
-        for j in range(GRAM):
-            h = (h + c[j : j + n] + np.uint64(1)) * _ODD
-            h ^= h >> np.uint64(29)
-        found.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)))
-    return np.unique(np.concatenate(found)).view(np.int64)
-
-
-def _anchored(c: Column) -> Column:
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: anchors(t).tolist())
-
-    return F.pandas_udf(run, "array<long>")(c)
-
-
-def contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """doc_id, short, long: the pairs of different or equal texts of a document where
-    `short` stands in `long`.  Both inputs have doc_id and norm, distinct rows of at
-    least GRAM + WINDOW - 1 characters."""
-    named = lambda df: df.select("doc_id", F.xxhash64("norm").alias("id"), "norm")
-    posted = lambda df: named(df).select("doc_id", "id", F.explode(_anchored(F.col("norm"))).alias("anchor"))
-    held = posted(long)
-    often = held.groupBy("doc_id", "anchor").agg(F.count("*").alias("n"))
-    rarest = posted(short).join(often, ["doc_id", "anchor"], "left").groupBy("doc_id", "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("best"))
-    rarest = rarest.where("best.n > 0").select("doc_id", F.col("id").alias("short_id"), F.col("best.anchor").alias("anchor"))
-    met = rarest.join(held.withColumnRenamed("id", "long_id"), ["doc_id", "anchor"]).select("doc_id", "short_id", "long_id")
-    met = met.join(named(short).select("doc_id", F.col("id").alias("short_id"), F.col("norm").alias("short")), ["doc_id", "short_id"])
-    met = met.join(named(long).select("doc_id", F.col("id").alias("long_id"), F.col("norm").alias("long")), ["doc_id", "long_id"])
-    return met.where(F.contains("long", "short")).select("doc_id", "short", "long")
+def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, anchor) of the distinct anchors of some texts, in order."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = len(codes) - GRAM - WINDOW + 2
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        h = (h + codes[j : j + len(h)] + np.uint64(1)) * _ODD
+        h ^= h >> np.uint64(29)
+    low, width = h, 1
+    while 2 * width <= WINDOW:  # least of `width` neighbours, doubled
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    low = np.minimum(low[:n], low[WINDOW - width :][:n])
+    own = np.repeat(np.arange(len(texts)), size)[:n]
+    within = own == np.repeat(np.arange(len(texts)), size)[GRAM + WINDOW - 2 :]
+    own, low = own[within], low[within]
+    change = np.flatnonzero((own[1:] != own[:-1]) | (low[1:] != low[:-1])) + 1
+    first = np.concatenate(([0], change)) if len(own) else change
+    own, low = own[first], low[first]
+    order = np.lexsort((low, own))
+    own, low = own[order], low[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (low[1:] != low[:-1])
+    return own[new], low[new].view(np.int64)
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """doc_id, id, in_a, in_b, anchor of distinct texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = batch.column(4).to_pylist()
+            ends = np.cumsum([len(t) for t in norm])
+            at = 0
+            while at < len(norm):  # groups of about _PIECE characters
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE)))
+                own, anchor = anchors(norm[at:end])
+                held = batch.slice(at, end - at).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*held.columns[:4], pa.array(anchor)], names=["doc_id", "id", "in_a", "in_b", "anchor"])
+                at = end
+
+    return texts.select("doc_id", "id", "in_a", "in_b", "norm").mapInArrow(run, "doc_id long, id long, in_a boolean, in_b boolean, anchor long")
+
+
+def overlapping(texts: DataFrame) -> DataFrame:
+    """doc_id, a, b: the pairs of a text of side a and one of side b, of one document, of
+    which one stands in the other.  texts: doc_id, norm, in_a, in_b, distinct by document
+    and text, of at least GRAM + WINDOW - 1 characters."""
+    texts = texts.withColumn("id", F.xxhash64("norm"))
+    key = Window.partitionBy("doc_id", "anchor")
+    posted = _postings(texts).withColumn("n_a", F.count_if("in_a").over(key)).withColumn("n_b", F.count_if("in_b").over(key))
+    # the anchor by which a text looks for what holds it on the other side, if all its anchors are there
+    best = lambda own, other: F.min(F.when(F.col(own), F.struct(F.col(other).alias("n"), "anchor")))
+    rarest = posted.groupBy("doc_id", F.col("id").alias("short_id")).agg(best("in_a", "n_b").alias("b"), best("in_b", "n_a").alias("a"))
+    wanted = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("b").alias("best")), F.struct(F.lit("a").alias("side"), F.col("a").alias("best"))))
+    wanted = rarest.select("doc_id", "short_id", wanted.alias("w")).where("w.best.n > 0").select("doc_id", "short_id", "w.side", F.col("w.best.anchor").alias("anchor"))
+    met = wanted.join(posted.withColumnRenamed("id", "long_id"), ["doc_id", "anchor"]).where(F.when(F.col("side") == "a", F.col("in_a")).otherwise(F.col("in_b")))
+    met = met.select("doc_id", "side", "short_id", "long_id")
+    met = met.join(texts.select("doc_id", F.col("id").alias("short_id"), F.col("norm").alias("short")), ["doc_id", "short_id"])
+    met = met.join(texts.select("doc_id", F.col("id").alias("long_id"), F.col("norm").alias("long")), ["doc_id", "long_id"]).where(F.contains("long", "short"))
+    in_a = F.col("side") == "a"
+    return met.select("doc_id", F.when(in_a, F.col("long")).otherwise(F.col("short")).alias("a"), F.when(in_a, F.col("short")).otherwise(F.col("long")).alias("b"))
 
 
 def partition_by_tags(annotations: DataFrame, tags: list[str], inside: str, outside: str) -> DataFrame:
@@ -75,11 +102,10 @@ def overlap(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
     """matched, total, share: how many of set a contain, or are contained in, a text of
     set b; short texts never match but count; 0 where a side is empty."""
     e = entries.select("doc_id", "set_name", norm.alias("norm"))
-    left = e.where(F.col("set_name") == a)
-    x = left.where(F.length("norm") >= LEAST_TEXT).groupBy("doc_id", "norm").agg(F.count("*").alias("rows"))
-    y = e.where((F.col("set_name") == b) & (F.length("norm") > LEAST_TEXT)).select("doc_id", "norm").distinct()
-    met = contained(y, x).select("doc_id", F.col("long").alias("norm")).unionByName(contained(x, y).select("doc_id", F.col("short").alias("norm")))
-    hit = x.join(met, ["doc_id", "norm"], "left_semi")
+    left, n = e.where(F.col("set_name") == a), F.length("norm")
+    sides = e.where(n >= LEAST_TEXT).groupBy("doc_id", "norm").agg(F.count_if(F.col("set_name") == a).alias("rows"), (F.bool_or(F.col("set_name") == b) & (n > LEAST_TEXT)).alias("in_b"))
+    sides = sides.withColumn("in_a", F.col("rows") > 0).where("in_a or in_b")
+    hit = sides.join(overlapping(sides.drop("rows")).select("doc_id", F.col("a").alias("norm")), ["doc_id", "norm"], "left_semi")
     n = left.agg(F.count("*").alias("total")).join(hit.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("matched")))
     return n.select("matched", "total", F.when(F.col("total") == 0, 0.0).otherwise(F.col("matched") / F.col("total")).alias("share"))
 

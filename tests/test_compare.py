@@ -42,13 +42,16 @@ def test_an_empty_side(spark):
     assert tuple(compare.overlap(df, "b", "a", F.col("text")).first()) == (0, 0, 0.0)
 
 
-def test_anchors_do_not_depend_on_pieces(monkeypatch):
-    text = "".join(chr(97 + i * i % 26) for i in range(3000))
-    whole = compare.anchors(text).tolist()
-    monkeypatch.setattr(compare, "_PIECE", 100)
-    assert compare.anchors(text).tolist() == whole
-    assert set(compare.anchors(text[1000:1200]).tolist()) <= set(whole)
-    assert len(compare.anchors("x" * 18)) == 0 and len(compare.anchors("x" * 19)) == 1
+def test_anchors():
+    text = "".join(chr(97 + i * i * i % 26) for i in range(3000)) + "é\U0001f600" * 20
+    texts = [text, "", text[1000:1200], "x" * 18, "x" * 19, "x" * 40, text[-15:]]
+    own, anchor = compare.anchors(texts)
+    by = {i: set(anchor[own == i].tolist()) for i in range(len(texts))}
+    assert by[2] <= by[0] and len(by[2]) > 1
+    assert not by[1] and not by[3] and not by[6] and len(by[4]) == 1 and by[4] == by[5]
+    for i, t in enumerate(texts):  # a text's anchors do not depend on its neighbours
+        assert set(compare.anchors([t])[1].tolist()) == by[i]
+    assert len(compare.anchors([])[0]) == len(compare.anchors(["short", "x"])[0]) == 0
 
 
 def test_one_document_of_many_lines(spark):

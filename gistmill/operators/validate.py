@@ -71,10 +71,15 @@ def loose_json_text(text: str | None) -> str | None:
 
 
 def loose_json(c: Column) -> Column:
+    """loose_json_text as a column.  A reply that is strict JSON as it stands is told by
+    the JVM; Python gets nulls for those."""
+
     def run(s: pd.Series) -> pd.Series:
         return s.map(loose_json_text)
 
-    return F.pandas_udf(run, StringType())(c)
+    body = F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    strict = body.rlike(r"\A[{\[]") & F.try_parse_json(body).isNotNull()
+    return F.coalesce(F.when(strict, body), F.pandas_udf(run, StringType())(F.when(~F.coalesce(strict, F.lit(False)), c)))
 
 
 def entries(replies: DataFrame, *names: str, bare: bool = False) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from gistmill.functions.text import reference_score
 from gistmill.operators import budget, geometry, labels, prompts, sections, segment, select, spans, validate, view, zoning
 from gistmill.plans.config import SkimConfig
+from gistmill.sources.state import work_folder
 
 
 @dataclass
 class Run:
-    """What a run gives: every table is lazy."""
+    """What a run gives."""
 
     sentences: DataFrame
     requests: DataFrame
@@ -24,6 +25,13 @@ class Run:
     state: DataFrame
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the shared folder."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_sentences(docs: DataFrame) -> DataFrame:
     """Candidates of plain documents: a page a line, body everywhere, no filter."""
     cands = segment.numbered(segment.candidates(segment.lines(docs)))
@@ -41,14 +49,19 @@ def glyph_sentences(pages: DataFrame) -> DataFrame:
 
 
 def skim(sents: DataFrame, config: SkimConfig, label_set: DataFrame | None = None, selector=None, reduce_replies: DataFrame | None = None) -> Run:
-    """Chunk, ask, validate, reduce and view the candidates of a corpus."""
+    """Chunk, ask, validate, reduce and view the candidates of a corpus.  Chunks and
+    replies are tables of the run in the shared folder, so they are worked out once.  A
+    chunk whose estimate is over 1.2 times the budget is not asked but fails."""
     spark = sents.sparkSession
     label_set = labels.default_labels(spark) if label_set is None else label_set
-    chunked = budget.chunks(sents, config.selection_budget)
+    chunked = written(budget.chunks(sents, config.selection_budget), "chunks")
     requests = prompts.selection_requests(chunked)
+    over = budget.chunk_guard(chunked, config.selection_budget).select("doc_id", "chunk_id", F.lit("over the budget").alias("error"))
+    asked = requests.join(over, ["doc_id", "chunk_id"], "left_anti")
     selector = select.HeuristicSelector(chunked) if selector is None else selector
-    replies = selector.select(requests)
-    picked, failed = select.chosen(replies, requests, label_set)
+    replies = written(selector.select(asked), "replies")
+    picked, failed = select.chosen(replies, asked, label_set)
+    failed = failed.unionByName(over)
     picked = picked.select("doc_id", "chunk_id", F.col("id").alias("local_id"), "label", F.col("importance").alias("confidence"))
     classified = chunked.join(picked, ["doc_id", "chunk_id", "local_id"]).withColumn("core", F.lit(False))
     if reduce_replies is not None:

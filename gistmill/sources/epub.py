@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -46,25 +49,42 @@ def spine_paths(book: zipfile.ZipFile) -> list[str]:
     return [resolve_path(opf, unquote(manifest[i])) for i in spine if manifest.get(i)]
 
 
+# what zipfile raises on archives and entries that are cut, encrypted, damaged or packed in an unknown way
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, RuntimeError, EOFError, OSError, ValueError, IndexError)
+
+
+def _book(content: bytes) -> Iterator[tuple[int, str | None, str | None, str | None]]:
+    """(place, entry, html, error) of a book's chapters; an entry that cannot be read has
+    an error, and so has a book, without an entry."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            names = set(book.namelist())
+            found = spine_paths(book) or sorted(n for n in names if n.lower().endswith((".html", ".xhtml", ".htm")))
+            for i, name in enumerate(found):
+                if name in names:
+                    try:
+                        yield i, name, book.read(name).decode("utf-8", "replace"), None
+                    except _UNREADABLE as e:
+                        yield i, name, None, f"{type(e).__name__}: {e}"
+    except _UNREADABLE as e:
+        yield -1, None, None, f"{type(e).__name__}: {e}"
+
+
 def _chapters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            rows = []
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    names = set(book.namelist())
-                    found = spine_paths(book) or sorted(n for n in names if n.lower().endswith((".html", ".xhtml", ".htm")))
-                    rows = [(path, i, n, book.read(n).decode("utf-8", "replace")) for i, n in enumerate(found) if n in names]
-            except zipfile.BadZipFile:
-                rows = []
-            yield pd.DataFrame(rows, columns=["path", "spine", "name", "html"])
+            yield pd.DataFrame([(path, *row) for row in _book(content)], columns=["path", "spine", "name", "html", "error"])
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return books.mapInPandas(_chapters, "path string, spine int, name string, html string, error string")
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """path, section_index (dense), title, text of the sections of every book under
-    `path`; short sections are passed over, and an unreadable archive has none."""
-    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    raw = books.mapInPandas(_chapters, "path string, spine int, name string, html string")
+    `path`; short sections are passed over, and what cannot be read has none."""
+    raw = _read(spark, path).where("error is null")
     body = F.regexp_replace("html", r"(?is)<head\b.*?</head>", " ")
     title = html_to_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     named = F.when(title == "", F.regexp_extract("name", "([^/]+)$", 1)).otherwise(title)
@@ -73,6 +93,12 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("section_index", F.row_number().over(order) - 1).select("path", "section_index", "title", "text")
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """path, name (null: the whole book), error of what read_sections leaves out because
+    it cannot be read.  A file without any bytes is passed over by Spark itself."""
+    return _read(spark, path).where("error is not null").select("path", "name", "error")
+
+
 def section_pages(sections: DataFrame) -> DataFrame:
     """Sections as pages with an identity map and no glyphs."""
     return sections.select("path", "title", *identity_page(F.col("section_index"), F.col("text")))

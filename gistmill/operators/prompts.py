@@ -35,6 +35,16 @@ def selection_requests(chunked: DataFrame) -> DataFrame:
     return grouped.withColumn("user", F.concat(head, "body")).drop("body")
 
 
+def with_contract(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """requests with `system` (what to do, the labels) and `schema` (JSON of the reply
+    asked for: the labels' keys, at most max_items entries)."""
+    slot = 987_654_321  # stands for max_items, which is the row's
+    keys = [r.key for r in labels.select("key", "ord").orderBy("ord").collect()]  # a label set has at most eight
+    head, tail = selection_schema(keys, slot).split(str(slot))
+    schema = F.concat(F.lit(head), F.col("max_items").cast("string"), F.lit(tail))
+    return requests.crossJoin(F.broadcast(system_text(labels))).withColumn("schema", schema)  # one row
+
+
 def adaptive_requests(units: DataFrame, known: DataFrame, per_unit: Column) -> DataFrame:
     """As selection_requests for units whose labels may grow: the labels known so far
     come first.  known: doc_id, unit_id, known (text); a unit without a row knows none."""

@@ -27,6 +27,12 @@ class Selector(Protocol):
         """Replies to requests, at most ATTEMPTS for each."""
 
 
+def require_consent(selector: Selector, consent: bool) -> None:
+    """A selector that says it sends texts elsewhere (sends_text) needs consent."""
+    if getattr(selector, "sends_text", False) and not consent:
+        raise PermissionError("this selector sends document text to a service; set consent to allow that")
+
+
 class ReplaySelector:
     """Answers from a table doc_id, chunk_id, attempt, raw, usage_in, usage_out."""
 

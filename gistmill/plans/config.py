@@ -23,6 +23,7 @@ class SkimConfig:
     annotation_destination: str = "comment"
     annotation_prefix: bool = False
     summaries: bool = True
+    consent: bool = False
     chunk_budget: int | None = None
 
     @classmethod

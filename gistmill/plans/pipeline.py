@@ -55,10 +55,11 @@ def skim(sents: DataFrame, config: SkimConfig, label_set: DataFrame | None = Non
     spark = sents.sparkSession
     label_set = labels.default_labels(spark) if label_set is None else label_set
     chunked = written(budget.chunks(sents, config.selection_budget), "chunks")
-    requests = prompts.selection_requests(chunked)
+    requests = prompts.with_contract(prompts.selection_requests(chunked), label_set)
     over = budget.chunk_guard(chunked, config.selection_budget).select("doc_id", "chunk_id", F.lit("over the budget").alias("error"))
     asked = requests.join(over, ["doc_id", "chunk_id"], "left_anti")
     selector = select.HeuristicSelector(chunked) if selector is None else selector
+    select.require_consent(selector, config.consent)
     replies = written(selector.select(asked), "replies")
     picked, failed = select.chosen(replies, asked, label_set)
     failed = failed.unionByName(over)
@@ -124,6 +125,14 @@ def skim_evolving(sents: DataFrame, config: SkimConfig, replies: DataFrame) -> R
     return evolved(sents, config, units, sizes, named, failed, validate.token_usage(replies))
 
 
+def annotations(run: Run, config: SkimConfig, label_set: DataFrame) -> DataFrame:
+    """Annotation rows of what a run shows, less hidden labels, with the label where the
+    configuration wants it."""
+    hidden = F.array_contains(labels.hidden_labels(F.lit(config.hidden_labels)), F.col("label"))
+    shown = view.highlights(run.viewed.where(~hidden), label_set, [])
+    return view.annotation_rows(shown, destination=config.annotation_destination, prefix=config.annotation_prefix)
+
+
 def summarize(pages: DataFrame, cached: DataFrame, replies: DataFrame, *, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(summaries, requests): doc_id, tldr of the first usable of two replies for the
     documents that have none cached (all, if forced), with the cached ones.

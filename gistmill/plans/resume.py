@@ -107,7 +107,9 @@ def resume(
     sizes = chunked.groupBy("doc_id", F.col("chunk_id").alias("unit_id")).agg(F.count("*").alias("size"))
     begin = budget.resume_unit(sizes.join(todo.select("doc_id", "classified_count"), "doc_id"))
     asked = prompts.selection_requests(chunked).join(begin, "doc_id").where("chunk_id >= next_unit").drop("next_unit")
-    replies = _written(selector_of(chunked).select(asked), f"{work}/replies")
+    selector = selector_of(chunked)
+    select.require_consent(selector, config.consent)
+    replies = _written(selector.select(asked), f"{work}/replies")
     picked, failed = select.chosen(replies, asked, todo.select("doc_id", F.inline("labels")))
     stop = failed.groupBy("doc_id").agg(F.min("chunk_id").alias("stop"))
     done = sizes.join(stop, "doc_id", "left").where(F.col("stop").isNull() | (F.col("unit_id") < F.col("stop"))).groupBy("doc_id").agg(F.sum("size").cast("int").alias("classified"))

@@ -82,6 +82,7 @@ def grow(sents: DataFrame, config: SkimConfig, selector_of, path: str, *, most_r
     sizes = _kept(f"{here}/sizes", lambda: counted, counted.schema)
     last = sizes.agg(F.max("unit_id")).first()[0]
     selector = selector_of(units.withColumnRenamed("unit_id", "chunk_id"))
+    select.require_consent(selector, config.consent)
     known = sizes.select("doc_id").distinct().select("doc_id", F.array().cast(labels.KNOWN).alias("known"))
     asked, last_read = 0, -1
     for n in range(-1 if last is None else last + 1):

@@ -410,6 +410,18 @@ def _(spark, d):
     return budget.chunk_guard(budget.chunks(s, 150), 150)
 
 
+@query("corpus_resume_cursor", f"""{_BODY}{_chunk_sql('body', 400)},
+sizes AS (SELECT doc_id, chunk_id, count(*) AS size FROM chunked GROUP BY ALL),
+reads AS (SELECT doc_id, (sum(size) * (doc_id % 5) // 4)::BIGINT AS classified_count FROM sizes GROUP BY doc_id)
+SELECT doc_id, classified_count, (SELECT count(*) FROM sizes s WHERE s.doc_id = r.doc_id AND (SELECT sum(size) FROM sizes t WHERE t.doc_id = s.doc_id AND t.chunk_id <= s.chunk_id) <= classified_count)::INT AS next_unit FROM reads r""")
+def _(spark, d):
+    # documents stopped after none, a quarter and so on up to all of their sentences
+    chunked = budget.chunks(_sents(spark, d).withColumn("section", F.lit("body")), 400)
+    sizes = chunked.groupBy("doc_id", F.col("chunk_id").alias("unit_id")).agg(F.count("*").alias("size"))
+    read = sizes.groupBy("doc_id").agg(F.expr("sum(size) * (doc_id % 5) div 4").alias("classified_count"))
+    return read.join(budget.resume_unit(sizes.join(read, "doc_id")), "doc_id")
+
+
 @query("banded_chunks", f"""WITH RECURSIVE {_PLAN}, body AS (SELECT s.*, floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::DOUBLE / ceil(n::DOUBLE / bands))::INT AS band_id FROM sents s JOIN plan USING (doc_id)),
 {_chunk_sql("body", 400, "spent <= 400")} SELECT doc_id, sent_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY band_id, chunk_id) - 1)::INT AS unit_id, local_id::INT AS local_id FROM chunked""")
 def _(spark, d):

@@ -603,6 +603,27 @@ _TO = f"CASE WHEN len({_SAME}) > 0 THEN {_SAME}[1] WHEN {_ADDS} THEN {_NEW} WHEN
 _CALLED = "coalesce(list_filter(w.known, lambda k: contains(lower(p.text), lower(k.name)))[1].name, p.word)"
 
 
+@query("corpus_selection", f"""{_BODY}{_chunk_sql('body', 400)},
+given AS (SELECT doc_id, chunk_id, local_id, length(chunked.text) AS n, page_index FROM chunked JOIN sents USING (doc_id, sent_id)),
+most AS (SELECT doc_id, chunk_id, 3 * count(DISTINCT page_index) AS max_items FROM given GROUP BY ALL),
+valid AS (SELECT doc_id, chunk_id, local_id AS id, ['goal', 'method', 'result', '', 'novelty'][(n % 5 + 1)::INT] AS label,
+  CASE WHEN n % 4 = 0 THEN 0.7::DOUBLE ELSE least(1.0::DOUBLE, (n % 200)::DOUBLE / 100) END AS importance FROM given WHERE n % 7 <> 0 AND n % 5 <> 3)
+SELECT doc_id, chunk_id::INT AS chunk_id, id, label, importance FROM valid JOIN most USING (doc_id, chunk_id)
+QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY importance DESC, id) <= max_items""")
+def _(spark, d):
+    # replies made of the sentences: ids as text, out of range or twice, labels by key in capitals or unknown, scores over 1 or missing
+    s = budget.chunks(_sents(spark, d).withColumn("section", F.lit("body")), 400)
+    n = F.length("text")
+    label = F.element_at(F.array(*map(F.lit, ("goal", "METHOD", "Result", "no such label", "novelty"))), (n % 5 + 1).cast("int"))
+    entry = lambda label, score: F.struct((F.col("local_id") + F.when(n % 7 == 0, 1000).otherwise(0)).cast("string").alias("id"), label.alias("label"), score.alias("importance"))
+    first = F.array_sort(F.collect_list(F.struct("local_id", entry(label, F.when(n % 4 != 0, F.col("n") % 200 / 100.0)).alias("e"))))
+    again = F.array_sort(F.collect_list(F.when((n % 6 == 0) & (n % 5 != 3), F.struct("local_id", entry(F.lit("goal"), F.lit(1.0).cast("double")).alias("e")))))
+    grouped = s.withColumn("n", n).groupBy("doc_id", "chunk_id").agg(first.alias("first"), again.alias("again"), F.count("*").alias("sentence_count"), (3 * F.countDistinct("page_index")).alias("max_items"))
+    items = F.transform(F.concat("first", "again"), lambda x: x["e"])
+    replies = grouped.withColumn("json", validate.loose_json(F.to_json(F.struct(items.alias("selected")))))
+    return validate.selection(validate.entries(replies, "selected"), labels.default_labels(spark), ["doc_id", "chunk_id"])
+
+
 @query("live_labels", f"""WITH RECURSIVE {_PLAN}, body AS (SELECT s.*, floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::DOUBLE / ceil(n::DOUBLE / bands))::INT AS band_id FROM sents s JOIN plan USING (doc_id)),
 {_chunk_sql("body", SkimConfig().selection_budget, f"spent <= {SkimConfig().selection_budget}")},
 units AS (SELECT doc_id, sent_id, text, (dense_rank() OVER (PARTITION BY doc_id ORDER BY band_id, chunk_id) - 1)::INT AS unit_id, local_id FROM chunked),

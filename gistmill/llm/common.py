@@ -100,8 +100,9 @@ def largest(df: DataFrame, count: str, most: int, *, fill: str | None = None) ->
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, left_out: int = 0, extra: tuple[str, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, label, extra columns) of at most `per_class` rows and SAMPLE_BYTES
-    of text of each class: the first in the order of a hash of the id, none from fold
-    `left_out`; the first row of a class is taken whatever its length.
+    of text of each class: the first rows in the order of a hash of the id, none from
+    fold `left_out`; where these pass the bytes, the longest of them go, so one long
+    text costs no other row.  A class's shortest is taken whatever its length.
 
     Null labels and ids are passed over; a doc_id with several labels takes the
     largest; of repeated documents the row with the largest text is kept, so reruns
@@ -116,9 +117,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     totals = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
     rows = docs.select("doc_id", "text", *extra).join(few, "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.max(F.struct("text", *extra)).alias("row")).select("doc_id", "label", "row.*")  # 2 * per_class rows
-    upto = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto))
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    upto = Window.partitionBy("label").orderBy(size, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__before", F.sum(size).over(upto))
     return rows.where(F.col("__before").isNull() | (F.col("__before") + size <= SAMPLE_BYTES)).drop("__before"), totals
 
 

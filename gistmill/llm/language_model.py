@@ -10,17 +10,20 @@ The model is a gated recurrent network over the VOCAB commonest tokens.  Its
 softmax is factored into CLASSES of equal size by frequency: the probability of
 the class, then of the word in the class.  Other words are one token, unknown,
 times their share among such words in training where they are among the HOT
-words, plus what is left times the probability of their spelling under a
-byte-pair chain with an end, so every text has a proper probability.  Truncated backpropagation in numpy trains
-it on every training text: from a start on the driver (TRAIN_DOCS documents, the
-first by a hash of the id) each task goes on over all texts of its own partition,
-and the weights are averaged by tokens; byte pairs are counted over all of them.  Weights hang on how
-the input is partitioned, as sums of floats do.  Scoring runs documents through
+words, plus what is left (at least LEFT) times the probability of their spelling
+under a byte-pair chain with an end, so the words of a place share at most a
+probability of 1.  Truncated backpropagation in numpy trains it on every training
+text: from a start on the driver (TRAIN_DOCS documents, the first by a hash of the
+id, of longer ones a stretch of START_CHARS at a place by that hash) each task goes
+on over all whole texts of its own partition, and the weights are averaged by
+tokens, FAN tasks at a time in levels; byte pairs are counted over all of them.
+Weights hang on how the input is partitioned, as sums of floats do.  Scoring runs documents through
 lanes, window by window; a lane carries its state across windows and starts anew
 with each document, so a log-likelihood is that of the complete document.
 
 Defined cases: a null or empty text is the end alone; a null doc_id trains and is
-not held out; repeated rows count and are scored each; without training texts all
+not held out; repeated rows count and are scored each (the start takes the largest
+text of an id, so reruns agree); without training texts all
 counts are 0 and the model is untrained; extra columns are not touched.
 """
 
@@ -46,7 +49,10 @@ DIM = 16
 HOT = 131_072
 TRAIN_DOCS = 1_200
 PASS_RATE = 0.004
+START_CHARS = 16_384
 CHUNKS = 32
+FAN = 64
+LEFT = 1e-3
 WINDOW = 32
 LANES = 256
 END_HASH = np.uint64(0x5EED0F7E17E17E15)
@@ -334,14 +340,20 @@ class Model:
         return out
 
 
+def shares(counts: np.ndarray, others: float) -> tuple[np.ndarray, float]:
+    """Each word's share of the unknown token, and what is left for all spellings; 1 in all."""
+    share = counts / max(1.0, others)
+    share *= min(1.0, (1 - LEFT) / max(share.sum(), LEFT))
+    return share, 1 - share.sum()
+
+
 def _score(sent, z: float, others: float, n_ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot, counts = pickle.loads(sent.value)
         hot = Lookup(hot)
         weight = np.log10((counts + 0.5) / z)
         outside = model.tokens(hot.keys) == UNKNOWN
-        share = np.where(outside, counts, 0) / max(1.0, others)
-        left = max(1e-3, 1 - share.sum())
+        share, left = shares(np.where(outside, counts, 0), others)
         end_weight, end_known = np.log10((n_ends + 0.5) / z), int(n_ends > 0)
         uid = TaskContext.get().partitionId() << 33
         for batch in gathered(batches, _GROUP):
@@ -414,18 +426,35 @@ def _train(sent):
 def _added(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("part")
     total = sum(np.asarray(v.values) for v in rows["v"])
-    return pa.table({"chunk": rows["chunk"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+    return pa.table({"chunk": rows["chunk"][:1], "part": rows["to"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+
+def summed(sums: DataFrame) -> DataFrame:
+    """(chunk, part, v) added up by chunk: FAN parts at a time, level by level, so no
+    group grows with the number of parts."""
+    most = sums.agg(F.max("part")).first()[0]
+    while most:
+        sums = sums.withColumn("to", F.expr(f"cast(part div {FAN} as int)"))
+        sums = sums.groupBy("chunk", "to").applyInArrow(_added, "chunk int, part int, v array<double>")
+        most //= FAN
+    return sums
+
+
+def start_texts(training: DataFrame) -> pa.Table:
+    """(doc_id, text) of TRAIN_DOCS documents, each text at most START_CHARS long."""
+    ids = F.broadcast(first_by_hash(training.where("doc_id is not null").select("doc_id").distinct(), TRAIN_DOCS, "doc_id"))  # TRAIN_DOCS ids
+    over = F.greatest(F.length("text") - START_CHARS, F.lit(0)) + 1
+    part = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), over) + 1).cast("int"), F.lit(START_CHARS))
+    return training.join(ids, "doc_id").select("doc_id", part.alias("text")).groupBy("doc_id").agg(F.max("text").alias("text")).toArrow().sort_by("doc_id")
 
 
 def fit(training: DataFrame, vocab: np.ndarray) -> Model:
-    """Start on whole texts of at most TRAIN_DOCS rows, then train on all rows."""
+    """Start on stretches of at most TRAIN_DOCS rows, then train on all rows."""
     model = Model(vocab)
-    ids = F.broadcast(first_by_hash(training.where("doc_id is not null").select("doc_id").distinct(), TRAIN_DOCS, "doc_id"))  # TRAIN_DOCS ids
-    some = training.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").toArrow().sort_by("doc_id")
-    model.train(_encoded(model, strings(some["text"]))[0])
+    model.train(_encoded(model, strings(start_texts(training)["text"]))[0])
     sent = training.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    sums = training.select("text").mapInArrow(_train(sent), "chunk int, part int, v array<double>")
-    sums = sums.groupBy("chunk").applyInArrow(_added, "chunk int, v array<double>").toArrow().sort_by("chunk")  # CHUNKS rows
+    sums = table(training.select("text").mapInArrow(_train(sent), "chunk int, part int, v array<double>"), "sums")
+    sums = summed(sums).toArrow().sort_by("chunk")  # CHUNKS rows
     if not len(sums):
         model.fit_spelling(np.zeros((257, 257)))
         return model

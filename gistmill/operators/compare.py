@@ -5,6 +5,7 @@ document.  Texts meet by anchors: a text's anchors are the least hashes of GRAM-
 character runs in each window of WINDOW such runs, so whatever contains a text has all
 its anchors.  The contained side offers its rarest anchor only, and what meets there is
 verified, so work follows the true overlaps and not the pairs of a document's lines.
+Texts are dealt by document once; anchors stay in the task that makes them.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.operators.documents import through
+
 LEAST_TEXT = 20
 GRAM, WINDOW = 8, 12  # a text of GRAM + WINDOW - 1 characters or more has an anchor
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,42 +53,70 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[new], low[new].view(np.int64)
 
 
-def _postings(texts: DataFrame) -> DataFrame:
-    """doc_id, id, in_a, in_b, anchor of distinct texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            norm = batch.column(4).to_pylist()
-            ends = np.cumsum([len(t) for t in norm])
-            at = 0
-            while at < len(norm):  # groups of about _PIECE characters
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE)))
-                own, anchor = anchors(norm[at:end])
-                held = batch.slice(at, end - at).take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*held.columns[:4], pa.array(anchor)], names=["doc_id", "id", "in_a", "in_b", "anchor"])
-                at = end
-
-    return texts.select("doc_id", "id", "in_a", "in_b", "norm").mapInArrow(run, "doc_id long, id long, in_a boolean, in_b boolean, anchor long")
-
-
-def overlapping(texts: DataFrame) -> DataFrame:
-    """doc_id, a, b: the pairs of a text of side a and one of side b, of one document, of
-    which one stands in the other.  texts: doc_id, norm, in_a, in_b, distinct by document
-    and text, of at least GRAM + WINDOW - 1 characters."""
-    texts = texts.withColumn("id", F.xxhash64("norm"))
-    key = Window.partitionBy("doc_id", "anchor")
-    posted = _postings(texts).withColumn("n_a", F.count_if("in_a").over(key)).withColumn("n_b", F.count_if("in_b").over(key))
-    # the anchor by which a text looks for what holds it on the other side, if all its anchors are there
-    best = lambda own, other: F.min(F.when(F.col(own), F.struct(F.col(other).alias("n"), "anchor")))
-    rarest = posted.groupBy("doc_id", F.col("id").alias("short_id")).agg(best("in_a", "n_b").alias("b"), best("in_b", "n_a").alias("a"))
-    wanted = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("b").alias("best")), F.struct(F.lit("a").alias("side"), F.col("a").alias("best"))))
-    wanted = rarest.select("doc_id", "short_id", wanted.alias("w")).where("w.best.n > 0").select("doc_id", "short_id", "w.side", F.col("w.best.anchor").alias("anchor"))
-    met = wanted.join(posted.withColumnRenamed("id", "long_id"), ["doc_id", "anchor"]).where(F.when(F.col("side") == "a", F.col("in_a")).otherwise(F.col("in_b")))
-    met = met.select("doc_id", "side", "short_id", "long_id")
-    met = met.join(texts.select("doc_id", F.col("id").alias("short_id"), F.col("norm").alias("short")), ["doc_id", "short_id"])
-    met = met.join(texts.select("doc_id", F.col("id").alias("long_id"), F.col("norm").alias("long")), ["doc_id", "long_id"]).where(F.contains("long", "short"))
-    in_a = F.col("side") == "a"
-    return met.select("doc_id", F.when(in_a, F.col("long")).otherwise(F.col("short")).alias("a"), F.when(in_a, F.col("short")).otherwise(F.col("long")).alias("b"))
+def _postings(texts: list[str], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of all texts, by key; texts of one document with an anchor in
+    common have a key in common."""
+    owns, keys, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    ends = np.cumsum([len(t) for t in texts])
+    while at < len(texts):  # groups of about _PIECE characters
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE)))
+        own, anchor = anchors(texts[at:end])
+        owns.append(own + at)
+        keys.append((anchor.view(np.uint64) ^ (doc[own + at].astype(np.uint64) * _ODD)) * _ODD)
+        at = end
+    own, key = np.concatenate(owns), np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return own[order], key[order]
+
+
+def contained(texts: list[str], doc: np.ndarray, short: np.ndarray, long: np.ndarray, own: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(s, l) pairs, in pieces, of a text marked `short` that stands in a text marked
+    `long` of its document; own, key are the postings of texts."""
+    if not len(own):
+        return
+    held = np.flatnonzero(long[own])  # postings of long texts, by key
+    lo, hi = np.searchsorted(key[held], key), np.searchsorted(key[held], key, "right")
+    mine = np.flatnonzero(short[own])
+    rarest = mine[np.lexsort(((hi - lo)[mine], own[mine]))]
+    rarest = rarest[np.concatenate(([True], own[rarest][1:] != own[rarest][:-1]))] if len(rarest) else rarest
+    n = (hi - lo)[rarest]
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(rarest):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PIECE)))
+        size = n[at:end]
+        s = np.repeat(own[rarest[at:end]], size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[rarest[at:end]], size)
+        l = own[held[place]]  # noqa: E741
+        may = np.flatnonzero(doc[s] == doc[l])
+        s, l = s[may], l[may]  # noqa: E741
+        true = np.fromiter((texts[i] in texts[j] for i, j in zip(s.tolist(), l.tolist(), strict=True)), bool, len(s))
+        yield s[true], l[true]
+        at = end
+
+
+def matches(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
+    """in_a, in_b: by task, the rows of each set that contain, or are contained in, a
+    text of the other one of their document."""
+    e = entries.select("doc_id", norm.alias("norm"), (F.col("set_name") == a).alias("in_a"), (F.col("set_name") == b).alias("in_b"))
+    e = e.where((F.length("norm") >= LEAST_TEXT) & (F.col("in_a") | F.col("in_b")))
+
+    def work(made: pa.Table, bounds: np.ndarray) -> pa.Table:
+        line, docs = made["norm"].to_pylist(), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        number: dict[tuple, int] = {}
+        text = np.array([number.setdefault(x, len(number)) for x in zip(docs.tolist(), line, strict=True)], np.int64)
+        texts, doc = [t for _, t in number], np.array([d for d, _ in number], np.int64)
+        rows = [np.bincount(text, weights=made[c].to_numpy(), minlength=len(texts)) for c in ("in_a", "in_b")]
+        longer = np.fromiter((len(t) > LEAST_TEXT for t in texts), bool, len(texts))
+        own, key = _postings(texts, doc)
+        hit = [np.zeros(len(texts), bool), np.zeros(len(texts), bool)]
+        for x, y in ((0, 1), (1, 0)):  # texts of set x in those of set y
+            for s, l in contained(texts, doc, rows[x] > 0, rows[y] > 0, own, key):  # noqa: E741
+                hit[x][s[longer[l]]] = True
+                hit[y][l[longer[s]]] = True
+        return pa.table({c: pa.array([int(r[h].sum())], pa.int64()) for c, r, h in zip(("in_a", "in_b"), rows, hit, strict=True)})
+
+    return through(e, "in_a", work, "in_a long, in_b long")
 
 
 def partition_by_tags(annotations: DataFrame, tags: list[str], inside: str, outside: str) -> DataFrame:
@@ -98,16 +129,22 @@ def page_of(sort_index: Column) -> Column:
     return F.coalesce(F.split(sort_index, r"\|")[0].try_cast("int"), F.lit(0))
 
 
+def _shares(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
+    """One row: matched and total of each of two sets."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("in_a", "matched_a"), ("in_b", "matched_b"))]
+    totals = [F.count_if(F.col("set_name") == s).alias(n) for s, n in ((a, "total_a"), (b, "total_b"))]
+    return entries.agg(*totals).join(matches(entries, a, b, norm).agg(*sums))
+
+
+def _share(matched: str, total: str) -> Column:
+    return F.when(F.col(total) == 0, 0.0).otherwise(F.col(matched) / F.col(total))
+
+
 def overlap(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
     """matched, total, share: how many of set a contain, or are contained in, a text of
     set b; short texts never match but count; 0 where a side is empty."""
-    e = entries.select("doc_id", "set_name", norm.alias("norm"))
-    left, n = e.where(F.col("set_name") == a), F.length("norm")
-    sides = e.where(n >= LEAST_TEXT).groupBy("doc_id", "norm").agg(F.count_if(F.col("set_name") == a).alias("rows"), (F.bool_or(F.col("set_name") == b) & (n > LEAST_TEXT)).alias("in_b"))
-    sides = sides.withColumn("in_a", F.col("rows") > 0).where("in_a or in_b")
-    hit = sides.join(overlapping(sides.drop("rows")).select("doc_id", F.col("a").alias("norm")), ["doc_id", "norm"], "left_semi")
-    n = left.agg(F.count("*").alias("total")).join(hit.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("matched")))
-    return n.select("matched", "total", F.when(F.col("total") == 0, 0.0).otherwise(F.col("matched") / F.col("total")).alias("share"))
+    one = _shares(entries, a, b, norm)
+    return one.select(F.col("matched_a").alias("matched"), F.col("total_a").alias("total"), _share("matched_a", "total_a").alias("share"))
 
 
 def set_stats(entries: DataFrame, span: Column) -> DataFrame:
@@ -126,6 +163,6 @@ def report(entries: DataFrame, a: str, b: str, norm: Column) -> DataFrame:
     stats = set_stats(entries.join(F.broadcast(page_span(entries))), F.col("span"))  # one row
     names = ["n", "pages", "first_third", "second_third", "last_third", "mean_chars"]
     long = stats.unpivot("set_name", names, "measure", "value").select("measure", "set_name", F.col("value").cast("double").alias("value"))
-    for x, y in ((a, b), (b, a)):
-        long = long.unionByName(overlap(entries, x, y, norm).select(F.lit(f"share in {y}").alias("measure"), F.lit(x).alias("set_name"), F.col("share").alias("value")))
-    return long
+    one = _shares(entries, a, b, norm)  # both directions at once
+    told = [F.struct(F.lit(f"share in {y}").alias("measure"), F.lit(x).alias("set_name"), _share(f"matched_{c}", f"total_{c}").alias("value")) for c, x, y in (("a", a, b), ("b", b, a))]
+    return long.unionByName(one.select(F.inline(F.array(*told))))

@@ -78,7 +78,7 @@ def grow(sents: DataFrame, config: SkimConfig, selector_of, path: str, *, most_r
     here = _folder(sents, config, path)
     banded = budget.banded_chunks(sents, config.selection_budget)
     units = _kept(f"{here}/units", lambda: banded, banded.schema, by="unit_id")
-    counted = unit_sizes(sents, units)
+    counted = unit_sizes(units, units)  # units hold all sentences
     sizes = _kept(f"{here}/sizes", lambda: counted, counted.schema)
     last = sizes.agg(F.max("unit_id")).first()[0]
     selector = selector_of(units.withColumnRenamed("unit_id", "chunk_id"))

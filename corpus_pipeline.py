@@ -8,10 +8,27 @@ None and tests compare the stages with brute force.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gistmill.llm import decontamination, jaccard_join, mixing, secrets, toxicity
 from gistmill.llm.common import read, table
+from gistmill.workers import give_back
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _frugal(stage: Stage) -> Stage:
+    """The stage, with workers that give memory back, also where it runs by itself."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +57,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("secret_scans", redact_secrets),
-    ("mixing", mix_sources),
+    ("toxicity", _frugal(drop_toxic)),
+    ("ngram_jaccard_join", _frugal(drop_near_copies)),
+    ("decontamination", _frugal(drop_contaminated)),
+    ("secret_scans", _frugal(redact_secrets)),
+    ("mixing", _frugal(mix_sources)),
 ]
 
 ORACLE_SQL = None

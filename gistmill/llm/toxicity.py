@@ -8,7 +8,8 @@ Filters one, two and three words wide run over the whole text, each is pooled by
 its maximum, and a logistic layer weighs the pools.  Training is plain numpy on
 the driver, on a bounded sample of labelled rows (at most TRAIN_PER_CLASS of
 each class, a documented bound), with sparse gradients: a maximum passes its
-gradient to one window only.  Scoring multiplies embeddings and filters once
+gradient to one window only.  Tasks find which buckets have enough texts and turn the
+sample into rows of the embeddings, so the driver takes 4 bytes a word.  Scoring multiplies embeddings and filters once
 into a table of rows, so a text costs one gather and add for each word and
 filter tap.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import fold, labelled_sample
+from gistmill.llm.common import fold, labelled_sample, table
 from gistmill.llm.kernel import NOT_LETTER, buffers, columns, groups, hashes, strings, words
 
 BUCKET_BITS = 21
@@ -82,6 +83,9 @@ class Model:
     thresholds: dict = field(default_factory=dict)
     constant: float | None = None
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_maps"}  # 24 MB that tasks work out anew
+
     def rows(self, buckets: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_maps"):
             self._maps, first = [], 1
@@ -95,8 +99,8 @@ class Model:
             out[none] = self._maps[i][buckets[none, i]]
         return out
 
-    def raw(self, buckets: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ids, bounds = padded(self.rows(buckets), at)
+    def raw(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ids, bounds = padded(rows, at)
         pools = []
         for w, tap, b in zip(WIDTHS, self.taps, self.bias, strict=True):
             span = len(ids) - w + 1
@@ -110,7 +114,7 @@ class Model:
         if self.constant is not None:
             return np.full(len(at) - 1, self.constant)
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.raw(buckets, at).astype(np.float64) + b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * self.raw(self.rows(buckets), at).astype(np.float64) + b, -30, 30)))
 
     def threshold(self, lang: str | None) -> float:
         return self.thresholds.get(lang, self.thresholds.get(None, 0.5))
@@ -135,9 +139,9 @@ def _best_f1(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(grid[best[np.argmin(np.abs(grid[best] - 0.5))]])
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int, int] | None = None, *, epochs: int = 4, seed: int = 7) -> Model:
-    """texts: word buckets of each sampled text; langs only choose thresholds;
-    totals: labelled rows by class, to calibrate to their true share."""
+def train(keep: list[np.ndarray], rows: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int, int] | None = None, *, epochs: int = 4, seed: int = 7) -> Model:
+    """rows: those of each sampled text's words, by the buckets `keep`; langs only choose
+    thresholds; totals: labelled rows by class, to calibrate to their true share."""
     rng = np.random.default_rng(seed)
     if len(y) < 10 or y.min() == y.max():
         return Model([], constant=float(y.mean()) if len(y) else 0.5)
@@ -145,11 +149,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int,
     for v in (0, 1):  # both parts have both classes
         which = np.flatnonzero(y == v)
         calib[which[:2]] = [True, False] if len(which) > 1 else [False]
-    model = Model([])
-    for i, least in enumerate(LEAST):
-        bucket, df = np.unique(np.concatenate([np.unique(t[:, i]) for t in texts]), return_counts=True)
-        model.keep.append(bucket[df >= least])
-    rows = [model.rows(t) for t in texts]
+    model = Model(keep)
     n = sum(map(len, model.keep)) + 1
     # how much likelier a row is in positives, less for rare rows, starts the first embedding dimension
     part = np.flatnonzero(~calib)
@@ -219,7 +219,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list, totals: dict[int,
     model.taps = [np.ascontiguousarray(np.stack([emb @ f[j] for j in range(len(f))], 1).astype(np.float32)) for f in filt]
     model.bias, model.out, model.out_bias = bias, out, float(out_b)
     held = np.flatnonzero(calib)
-    raw = np.concatenate([model.raw(texts[i], np.array([0, len(texts[i])])) for i in held]).astype(np.float64)
+    raw = np.concatenate([model.raw(rows[i], np.array([0, len(rows[i])])) for i in held]).astype(np.float64)
     share = np.array([(totals or {}).get(v, (y == v).sum()) / (y == v).sum() for v in (0, 1)])
     share = (share / share.mean())[y[held]]
     model.scale = platt(raw, y[held].astype(float), share)
@@ -242,15 +242,46 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, lang, label, pa.array(out, pa.binary())], ["doc_id", "lang", "label", "words"])
 
 
+def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, bucket, n): in how many of this task's texts a bucket stands, by its place in LEAST."""
+    for batch in batches:
+        met = [np.frombuffer(b, np.int32).reshape(-1, len(LEAST)) for b in batch.column(0).to_pylist()]
+        for i in range(len(LEAST)):
+            bucket, n = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.unique(t[:, i]) for t in met)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, np.int32)), pa.array(bucket), pa.array(n, pa.int64())], ["place", "bucket", "n"])
+
+
+def _as_rows(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(pickle.loads(sent.value))
+        for batch in batches:
+            ids, lang, label, text = columns(batch, "doc_id", "lang", "label", "words")
+            out = [model.rows(np.frombuffer(b, np.int32).reshape(-1, len(LEAST))).tobytes() for b in text.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, lang, label, pa.array(out, pa.binary())], ["doc_id", "lang", "label", "rows"])
+
+    return run
+
+
+def sampled_rows(sample: DataFrame) -> tuple[list[np.ndarray], pa.Table]:
+    """The buckets that at least LEAST texts of (doc_id, text, lang, label) have, and
+    (doc_id, lang, label, rows): a row of 4 bytes for each word, by doc_id."""
+    hashed = table(sample.select("doc_id", "text", "lang", "label").mapInArrow(_hashed, "doc_id long, lang string, label int, words binary"), "toxic-words")
+    counts = hashed.select("words").mapInArrow(_texts_with, "place int, bucket int, n long").groupBy("place", "bucket").agg(F.sum("n").alias("n"))
+    kept = counts.where(F.col("n") >= F.element_at(F.array(*map(F.lit, LEAST)), F.col("place") + 1)).select("place", "bucket").toArrow()  # at most 2**BUCKET_BITS of a place
+    place, bucket = kept["place"].to_numpy(), kept["bucket"].to_numpy()
+    keep = [np.sort(bucket[place == i]) for i in range(len(LEAST))]
+    sent = sample.sparkSession.sparkContext.broadcast(pickle.dumps(keep))
+    return keep, hashed.mapInArrow(_as_rows(sent), "doc_id long, lang string, label int, rows binary").toArrow().sort_by("doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", left_out: int = 0, per_class: int = TRAIN_PER_CLASS) -> Model:
-    """Train on rows outside fold `left_out`; the driver gets word buckets of at
-    most 2 * per_class texts."""
+    """Train on rows outside fold `left_out`; the driver gets rows of embeddings for
+    the words of at most 2 * per_class texts."""
     docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     sample, totals = labelled_sample(docs, labels, label, per_class, left_out=left_out, extra=("lang",))
-    got = sample.select("doc_id", "text", "lang", "label").mapInArrow(_hashed, "doc_id long, lang string, label int, words binary")
-    rows = got.toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(b, np.int32).reshape(-1, 1 + len(HEADS)) for b in rows["words"].to_pylist()]
-    return train(texts, rows["label"].to_numpy().astype(int), rows["lang"].to_pylist(), totals)
+    keep, got = sampled_rows(sample)
+    rows = [np.frombuffer(b.as_buffer(), np.int32) for b in got["rows"]]
+    return train(keep, rows, got["label"].to_numpy().astype(int), got["lang"].to_pylist(), totals)
 
 
 def _score(model) -> object:

@@ -59,6 +59,7 @@ END_HASH = np.uint64(0x5EED0F7E17E17E15)
 UNKNOWN, END = 0, 1
 _GROUP = 8 << 20
 _FLUSH = 2_000_000
+_ONES = np.ones(VOCAB, np.float32)  # sums of rows and columns as products
 
 
 def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -152,26 +153,28 @@ class Model:
             at = end
         return out
 
-    def steps(self, x: np.ndarray, h: np.ndarray, table_: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden states (time, lanes, hidden) for inputs x (lanes, time), and the last."""
+    def steps(self, x: np.ndarray, h: np.ndarray, table_: np.ndarray, keep: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden states (time, lanes, hidden) for inputs x (lanes, time), and the last;
+        keep: by time, takes the states before, gates, candidates and their recurrent parts."""
         u, n = self.p["u"], HIDDEN
         out = np.empty((x.shape[1], len(x), n), np.float32)
         for t in range(x.shape[1]):
             ids = x[:, t]
-            h = h * (ids != END)[:, None]
+            at = [k[t] for k in keep] if keep else [None] * 4
+            h = np.multiply(h, (ids != END)[:, None], out=at[0])
             a = table_[ids]
             r = h @ u
-            g = a[:, : 2 * n] + r[:, : 2 * n]
+            g = np.add(a[:, : 2 * n], r[:, : 2 * n], out=at[1])
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
             z, rn = g[:, :n], r[:, 2 * n :]
-            c = g[:, n:] * rn
+            c = np.multiply(g[:, n:], rn, out=at[2])
             c += a[:, 2 * n :]
             np.tanh(c, out=c)
-            if keep is not None:
-                keep.append((ids, h, g, c, rn))
+            if keep:
+                at[3][:] = rn
             h = h - c
             h *= z
             h += c
@@ -187,14 +190,14 @@ class Model:
         logit = h @ p["wc"]
         logit += p["bc"]
         got = logit[rows, cls]
-        total = np.exp(logit, out=logit).sum(1)
+        total = np.exp(logit, out=logit) @ _ONES[:CLASSES]
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             some = slice(cuts[c], cuts[c + 1])
             np.matmul(h[some], p["wo"][c], out=logit[some])
             logit[some] += p["bo"][c]
         got += logit[rows, y % CLASSES]
-        total *= np.exp(logit, out=logit).sum(1)
+        total *= np.exp(logit, out=logit) @ _ONES[:CLASSES]
         out = np.empty_like(got)
         out[order] = got - np.log(total)
         return out
@@ -206,7 +209,7 @@ class Model:
         rows = np.arange(len(want))
         own = logit[rows, want]
         np.exp(logit, out=logit)
-        total = logit.sum(1)
+        total = logit @ _ONES[:CLASSES]
         logit *= (1 / (total * np.float32(count)))[:, None]
         logit[rows, want] -= np.float32(1 / count)
         return logit, float((np.log(total) - own).sum(dtype=np.float64))
@@ -214,7 +217,7 @@ class Model:
     def gradients(self, x: np.ndarray, y: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Truncated backpropagation over one window."""
         p, n = self.p, HIDDEN
-        kept: list = []
+        kept = [np.empty((x.shape[1], len(x), k * n), np.float32) for k in (1, 2, 1, 1)]
         hs, last = self.steps(x, h0, p["e"] @ p["w"] + p["b"], kept)
         want = y.T.reshape(-1)
         order = np.argsort(want // CLASSES, kind="stable")  # all by class from here
@@ -224,7 +227,8 @@ class Model:
         met = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
         g = {k: np.zeros_like(v) for k, v in p.items() if k in ("wo", "bo")}
         d, loss = self._softmax(flat @ p["wc"] + p["bc"], cls, len(want))
-        g["wc"], g["bc"] = flat.T @ d, d.sum(0)
+        ones = np.ones(len(want), np.float32)
+        g["wc"], g["bc"] = flat.T @ d, ones @ d
         to_states = d @ p["wc"].T
         inner = np.empty((len(want), CLASSES), np.float32)
         for c, rows in met:
@@ -235,11 +239,11 @@ class Model:
         for c, rows in met:
             np.matmul(flat[rows].T, d[rows], out=g["wo"][c])
             to_states[rows] += d[rows] @ p["wo"][c].T
-        g["bo"][[c for c, _ in met]] = np.add.reduceat(d, [rows.start for _, rows in met])
+            g["bo"][c] = ones[rows] @ d[rows]
         dh_all = np.empty_like(to_states)
         dh_all[order] = to_states
         dh_all = dh_all.reshape(hs.shape)
-        h, gate, c, rn = (np.stack([k[i] for k in kept]) for i in (1, 2, 3, 4))
+        h, gate, c, rn = kept
         z, r = np.ascontiguousarray(gate[:, :, :n]), np.ascontiguousarray(gate[:, :, n:])
         open_ = 1 - z
         by_c, by_z, by_r = (1 - c * c) * open_, (h - c) * z * open_, rn * r * (1 - r)
@@ -261,13 +265,13 @@ class Model:
             dh += to @ u
             dh *= goes_on[t]
         g["u"] = h.reshape(-1, n).T @ back.reshape(-1, 3 * n)
-        by_token = np.zeros((VOCAB, 3 * n), np.float32)
-        tokens = x.T.reshape(-1)
+        by_step, tokens = by_step.reshape(-1, 3 * n), x.T.reshape(-1)
+        g["b"], g["w"], g["e"] = ones @ by_step, p["e"][tokens].T @ by_step, np.zeros_like(p["e"])
+        to_tokens = by_step @ p["w"].T  # DIM numbers a token are added up, not 3 * HIDDEN
         order = np.argsort(tokens, kind="stable")
         tokens = tokens[order]
         cuts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        by_token[tokens[cuts]] = np.add.reduceat(by_step.reshape(-1, 3 * n)[order], cuts)
-        g["b"], g["w"], g["e"] = by_token.sum(0), p["e"].T @ by_token, by_token @ p["w"].T
+        g["e"][tokens[cuts]] = np.add.reduceat(to_tokens[order], cuts)
         return g, last, loss / len(want)
 
     def train(self, texts: list[np.ndarray], *, epochs: int = 2, lanes: int = 48, window: int = 20, seed: int = 2, first: float = 0.01, last: float = 0.002, state: dict | None = None) -> list[float]:

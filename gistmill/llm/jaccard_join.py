@@ -20,13 +20,14 @@ Sketches of two to four bits a shingle tell which members may link with the head
 and which are near it, within twice the distance of a link; whole texts are compared
 for the former.  Links give components, and only keys with several components stay open.
 Distance is a metric, so in an open key a member that links with the head cannot
-link with one that is not near it: linked members meet the near ones alone, and the
-remaining members meet each other.  A single shingle that more than HOT remaining
-members share gives way to pairs of such shingles, dealt into G groups as above;
-groups are cut into blocks before they meet.  Pairs are cut by size, by an exact lower
-bound of the symmetric difference (parity bitmaps), by the count of keys that a link
-needs and by sketches; whole texts decide.  Every link is thus either verified or
-inside one component already.
+link with one that is not near it: linked members meet the near ones alone, once for
+each head, however many keys they share, and the remaining members meet each other.
+A single shingle that more than HOT remaining members share gives way to pairs of such
+shingles, dealt into G groups as above; groups are cut into blocks before they meet.
+Pairs are cut by size, by an exact lower bound of the symmetric difference (parity
+bitmaps), among remaining members by the count of keys that a link needs, and by
+sketches; whole texts decide.  Every link is thus either verified or inside one
+component already.
 
 Defined cases: a null text is empty; a null doc_id gets no links and a null
 component; rows that repeat a doc_id are one node with the links of all their
@@ -270,6 +271,17 @@ def _linked(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return _judged(likely.select("x", "y"), texts, lambda c: shingle_sets(strings(c), k), lambda s, t: links(s, t, percent), "links").select("x", "y")
 
 
+def _facing(wide: DataFrame, one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members that link with a head and those near it alone, once for each head,
+    ready for _in_blocks with the head as the key; the head has met all of them."""
+    sides = wide.where("rep <> head and (linked or near)").select(F.col("head").alias("key"), "rep", "component", "linked").distinct()
+    sizes = sides.groupBy("key").agg(F.count_if("linked").alias("heads"), F.count_if(~F.col("linked")).alias("nears")).where("heads > 0 and nears > 0")
+    sides = table(sides.join(sizes, "key").join(one, "rep"), "facing")
+    p_side = sides.where("linked").select("key", "rep", "component", "set", F.col("heads").alias("here"), F.col("nears").alias("there"))
+    q_side = sides.where("not linked").select("key", "rep", "component", "set", F.col("nears").alias("here"), F.col("heads").alias("there"))
+    return p_side, q_side
+
+
 def _in_blocks(p: DataFrame, q: DataFrame, may: Column) -> DataFrame:
     """p (alias p) joined with q (alias q) on their key, where `may` holds.  A key's
     rows are dealt into blocks of about BLOCK on each side, which meet pair by pair,
@@ -320,8 +332,8 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     wide = wide.join(near.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("near")), ["head", "rep"], "left")
     wide = wide.join(sure.select(F.col("x").alias("head"), F.col("y").alias("rep"), F.lit(True).alias("link")), ["head", "rep"], "left")
     by_head = ((F.col("rep") == F.col("head")) & F.col("several").isNull()) | F.col("link").isNotNull()
-    wide = table(wide.select("key", "rep", "component", by_head.alias("linked"), F.col("near").isNotNull().alias("near")), "wide")
-    sizes = wide.groupBy("key").agg(F.count_if("linked").alias("heads"), F.count_if(~F.col("linked")).alias("others"), F.count_if(~F.col("linked") & F.col("near")).alias("nears"))
+    wide = table(wide.select("key", "head", "rep", "component", by_head.alias("linked"), F.col("near").isNotNull().alias("near")), "wide")
+    sizes = wide.groupBy("key").agg(F.count_if(~F.col("linked")).alias("others"))
     hot = (F.col("key").bitwiseAND(F.lit(1)) == 0) & (F.col("others") > HOT)
     rest = wide.where(~F.col("linked")).join(sizes, "key").withColumn("hot", hot)
     heated = table(rest.where("hot").join(keyed.select("rep", "n").distinct(), "rep").groupBy("rep", "n").agg(F.collect_set("key").alias("hot")), "hot")  # of one text each
@@ -334,18 +346,17 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     combined = combined.join(combined.groupBy("key").agg(F.count("*").alias("others")).where("others > 1"), "key")
     direct = rest.where("not hot and others > 1").select("key", "rep", "component", "others").unionByName(combined.select("key", "rep", "component", "others"))
     direct = table(direct.join(one, "rep").withColumn("here", F.col("others")).withColumn("there", F.col("others")).drop("others"), "direct")
-    facing = wide.join(sizes.where("nears > 0"), "key").join(one, "rep")
-    p_side = table(facing.where("linked").select("key", "rep", "component", "set", F.col("heads").alias("here"), F.col("nears").alias("there")), "heads")
-    q_side = table(facing.where("not linked and near").select("key", "rep", "component", "set", F.col("nears").alias("here"), F.col("heads").alias("there")), "nears")
 
     differ = sum((F.bit_count(F.col(f"p.set.s{i}").bitwiseXOR(F.col(f"q.set.s{i}"))) for i in range(_SIG_WORDS)), F.lit(0))
     n, m = F.col("p.set.n"), F.col("q.set.n")
     may = (F.col("p.component") != F.col("q.component")) & ratio(n, m, percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
-    # linked sets share over 2 G shingles of their extended prefixes; those neither frequent nor hot are keys here
+    pair = [F.least("p.rep", "q.rep").alias("x"), F.greatest("p.rep", "q.rep").alias("y")]
+    # linked sets share over 2 G shingles of their extended prefixes; those neither frequent nor hot are keys here,
+    # all of them if no shared key has a head that one links with and the other is near
     least = 2 * _groups(F.greatest(n, m)) - F.least("p.set.elsewhere", "q.set.elsewhere")
-    pair = [F.least("p.rep", "q.rep").alias("x"), F.greatest("p.rep", "q.rep").alias("y"), least.alias("least")]
-    met = _in_blocks(direct, direct, may & (F.col("p.rep") < F.col("q.rep"))).select(*pair).unionByName(_in_blocks(p_side, q_side, may).select(*pair))
-    across = met.groupBy("x", "y").agg(F.count("*").alias("held"), F.min("least").alias("least")).where(F.col("held") > F.col("least")).select("x", "y")
+    met = _in_blocks(direct, direct, may & (F.col("p.rep") < F.col("q.rep"))).select(*pair, least.alias("least"))
+    met = met.groupBy("x", "y").agg(F.count("*").alias("held"), F.min("least").alias("least")).where(F.col("held") > F.col("least")).select("x", "y")
+    across = met.unionByName(_in_blocks(*_facing(wide, one), may).select(*pair)).distinct()
     likely = _judged(table(across, "pairs"), sketches, lambda c: c.to_pylist(), lambda s, t: nearness(s, t, percent) == MAY, "likely")
     more = _linked(likely, docs, k, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 

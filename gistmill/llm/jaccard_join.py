@@ -154,6 +154,18 @@ def nearness(one: bytes, two: bytes, percent: int) -> int:
     return NEAR if differ * percent <= (n + m) * (100 - percent) else FAR
 
 
+def recurring(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that recur in `held`, ascending, and how often; `held` is emptied
+    and sorted in place, so two copies of it are the most that is in memory."""
+    x = np.concatenate(held)
+    held.clear()
+    x.sort()
+    same = np.concatenate(([False], x[1:] == x[:-1], [False]))  # as the one before it
+    first = np.flatnonzero(same[1:] & ~same[:-1])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return x[first], last - first + 1
+
+
 def _sets_and_counts(k: int):
     """Rows of kind 0: doc_id, n, digest; of kind 1: a shingle that recurs within
     this task's distinct sets, and how often."""
@@ -167,9 +179,7 @@ def _sets_and_counts(k: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "doc_id", "n", "a", "b"])
 
         def flush():
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            x, c = x[c > 1], c[c > 1]
-            held.clear()
+            x, c = recurring(held)
             seen.clear()
             return row(1, pa.nulls(len(x), pa.int64()), c, x.view(np.int64), np.zeros(len(x), np.int64))
 

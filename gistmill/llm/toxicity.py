@@ -47,6 +47,9 @@ FILTERS = 8
 DIM = 12
 PAD = max(WIDTHS) - 1
 THRESHOLD_RANGE = (0.3, 0.7)
+#: Texts go through in groups of about so many bytes: arrays of a group take many times that.
+GROUP_BYTES = 512 << 10
+_BLOCK_BITS = 7
 
 
 def bucketed(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,15 @@ def padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def places(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets stand in `keep` (ascending, without repeats), in 2 MB: by bucket one
+    more than the kept ones before it in its block, 0 for others; by block those before it."""
+    before = np.searchsorted(keep, np.arange(0, 1 << BUCKET_BITS, 1 << _BLOCK_BITS)).astype(np.int32)
+    within = np.zeros(1 << BUCKET_BITS, np.uint8)
+    within[keep] = np.arange(1, len(keep) + 1) - before[keep >> _BLOCK_BITS]
+    return within, before
+
+
 @dataclass
 class Model:
     keep: list[np.ndarray]  # by word, longer, shorter beginning: buckets with a row; row 0 is for all others
@@ -84,19 +96,18 @@ class Model:
     constant: float | None = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_maps"}  # 24 MB that tasks work out anew
+        return {k: v for k, v in self.__dict__.items() if k != "_places"}  # 6 MB that tasks work out anew
 
     def rows(self, buckets: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_maps"):
-            self._maps, first = [], 1
-            for keep in self.keep:
-                self._maps.append(np.zeros(1 << BUCKET_BITS, np.int32))
-                self._maps[-1][keep] = np.arange(first, first + len(keep))
-                first += len(keep)
-        out = self._maps[0][buckets[:, 0]]
-        for i in range(1, len(self._maps)):
+        if not hasattr(self, "_places"):
+            self._places = [places(keep) for keep in self.keep]
+        out, first = np.zeros(len(buckets), np.int32), 0
+        for i, (within, before) in enumerate(self._places):
             none = np.flatnonzero(out == 0)
-            out[none] = self._maps[i][buckets[none, i]]
+            asked = buckets[none, i]
+            at = within[asked]
+            out[none] = np.where(at > 0, before[asked >> _BLOCK_BITS] + at + first, 0)
+            first += len(self.keep[i])
         return out
 
     def raw(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -236,7 +247,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text, lang, label = columns(batch, "doc_id", "text", "lang", "label")
         arr, out = strings(text), []
-        for lo, hi in groups(arr):
+        for lo, hi in groups(arr, GROUP_BYTES):
             b, at = bucketed(arr.slice(lo, hi - lo))
             out += [b[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
         yield pa.RecordBatch.from_arrays([ids, lang, label, pa.array(out, pa.binary())], ["doc_id", "lang", "label", "words"])
@@ -289,7 +300,7 @@ def _score(model) -> object:
         m = pickle.loads(model.value)
         for batch in batches:
             arr, parts = strings(batch.column(0)), [np.zeros(0)]
-            for lo, hi in groups(arr):
+            for lo, hi in groups(arr, GROUP_BYTES):
                 parts.append(m.score(*bucketed(arr.slice(lo, hi - lo))))
             score = np.concatenate(parts)
             lang = batch.column(1).to_pylist()
